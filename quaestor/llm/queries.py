@@ -64,6 +64,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.exact import exact_groups
+
+    rows = exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP9_SQL = """
+    SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+      sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.urls import Rule, filter_urls
 
@@ -92,9 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
     "op7_token_counts": op7_token_counts,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_chat": op2_sql(), "op10_url_filter": op10_sql()}
+    return {"op2_chat": op2_sql(), "op9_exact_dedup": OP9_SQL, "op10_url_filter": op10_sql()}

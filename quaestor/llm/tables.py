@@ -119,3 +119,30 @@ def sql_values(rows: list[tuple]) -> str:
 
 def plain_name(name: str) -> str:
     return re.sub(r"\W+", "_", name)
+
+
+#: Bits of the membership bitmap: 8 MB when every bucket is used, whatever the input.
+BITMAP_BITS = 1 << 26
+BUCKET_BITS = 1 << 15
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with a column `_maybe`: false only where the row's key is surely not among `keys`.
+
+    A bitmap of fixed size over hashed keys is built on the executors and broadcast, so that a later join has to
+    move only the rows that can match. A full bitmap costs time, never rows. Null keys are never among `keys`.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
+    bucket, place = (bit / F.lit(BUCKET_BITS)).cast("int"), bit % BUCKET_BITS
+    maps = keys.where(F.col(key).isNotNull()).select(bucket.alias("_bucket"), place.alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    probed = rows.withColumns({"_bucket": bucket, "_place": place}).join(F.broadcast(maps), "_bucket", "left")
+    hit = F.coalesce(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return probed.withColumn("_maybe", hit).drop("_bucket", "_place", "_bits")
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str = "_at") -> DataFrame:
+    """rows whose key is not among `dropped`; only rows that the bitmap can't clear are shuffled."""
+    probed = maybe_in(rows, dropped, key)
+    doubtful = probed.where("_maybe").join(dropped.select(key), key, "left_anti")
+    return probed.where("NOT _maybe").drop("_maybe").select(*map(quoted, rows.columns)).unionByName(doubtful.drop("_maybe").select(*map(quoted, rows.columns)))
