@@ -64,6 +64,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.simhash import hexed, near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.exact import exact_groups
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
