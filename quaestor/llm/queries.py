@@ -54,6 +54,33 @@ def op2_sql() -> str:
     FROM turns GROUP BY conv_id"""
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.fmindex import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op4_sql() -> str:
+    words = lambda c: f"regexp_extract_all({sql_lower(f'coalesce({c}, {chr(39) * 2})')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    WITH docs AS (SELECT doc_id, {words("text")} AS w FROM documents),
+    items AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item, array_to_string(w[i + 1 : i + 10], ' ') AS phrase, least(len(w), 10) AS n
+      FROM items, LATERAL (SELECT unnest(range(greatest(len(w) - 9, 1))) AS i) WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    grams AS (
+      SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS phrase
+      FROM docs, sizes, LATERAL (SELECT unnest(range(len(w) - n + 1)) AS i) WHERE len(w) >= n),
+    hits AS (SELECT doc_id, i, g.n, item FROM grams g JOIN windows v ON g.phrase = v.phrase AND g.n = v.n),
+    hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, LATERAL (SELECT unnest(range(i, i + n)) AS k) GROUP BY doc_id),
+    hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.tokens import count_tokens
 
@@ -110,6 +137,7 @@ def op1_sql() -> None:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
+    "op4_decontamination": op4_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
@@ -118,4 +146,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_chat": op2_sql(), "op9_exact_dedup": OP9_SQL, "op10_url_filter": op10_sql()}
+    return {"op2_chat": op2_sql(), "op4_decontamination": op4_sql(), "op9_exact_dedup": OP9_SQL, "op10_url_filter": op10_sql()}
