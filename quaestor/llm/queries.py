@@ -81,6 +81,14 @@ def op4_sql() -> str:
     FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.toxicity import is_held_out, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.tokens import count_tokens
 
@@ -138,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
