@@ -54,6 +54,12 @@ def op2_sql() -> str:
     FROM turns GROUP BY conv_id"""
 
 
+def op3_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.ctw import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.fmindex import find_contamination
 
@@ -151,6 +157,7 @@ def op1_sql() -> None:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
+    "op3_ctw_scores": op3_ctw_scores,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
