@@ -6,6 +6,7 @@ through the ranks of a wavelet tree, their places by sampled suffix positions, a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -246,3 +247,59 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(work, f"{head}, {HITS}")
+
+
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def without_spans(text: bytes, spans: np.ndarray) -> bytes:
+    """A text without its words [begin, end) and what stands between them; of the blanks on both sides one stays."""
+    places = [m.span() for m in WORD.finditer(text.translate(WORD_BYTES))]
+    out, at = [], 0
+    for begin, end in spans.tolist():
+        first, last = places[begin][0], places[end - 1][1]
+        out.append(text[at:first])
+        at = last + (text[first - 1 : first] in (b" ", b"\n") and text[last : last + 1] == b" ")
+    return b"".join([*out, text[at:]])
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str = "n_chars", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, all columns, with hit spans cut out of the texts and `length`, where there is such a column, put right.
+
+    A cut text is searched again until nothing is hit, as words that a cut brings together may form a window anew. A
+    document of which no word is left goes; one without hits stays as it is.
+    """
+    spark = docs.sparkSession
+    sent = [spark.sparkContext.broadcast(b) for b in compiled(benchmark, window=window, block_bytes=block_bytes)]
+    at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [s.value for s in sent]
+        for whole in batches:
+            for batch in slices(whole, text, SHARD_BYTES):
+                texts = bytes_of(batch.column(at)).to_pylist()
+                cut, gone, left = {}, set(), list(range(len(texts)))
+                while left:
+                    n, spans, _ = shard_hits([texts[i] for i in left], blocks)
+                    hit = [(i, s, k) for i, s, k in zip(left, spans, n, strict=True) if len(s)]
+                    for i, s, k in hit:
+                        texts[i] = cut[i] = without_spans(texts[i], s)
+                        if int((s[:, 1] - s[:, 0]).sum()) == k:
+                            gone.add(i)
+                    left = [i for i, *_ in hit if i not in gone]
+                if cut:
+                    columns = list(batch.columns)
+                    old = columns[at].to_pylist()
+                    for i, t in cut.items():
+                        old[i] = t.decode("utf-8", "replace")
+                    columns[at] = pa.array(old, columns[at].type)
+                    if size is not None:
+                        sizes = columns[size].to_pylist()
+                        for i in cut:
+                            sizes[i] = len(old[i])
+                        columns[size] = pa.array(sizes, columns[size].type)
+                    batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    batch = batch.filter(pa.array([i not in gone for i in range(batch.num_rows)]))
+                yield batch
+
+    return docs.mapInArrow(work, docs.schema)

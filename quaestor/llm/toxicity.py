@@ -191,3 +191,17 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep:
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(work, f"{head}, score double")
+
+
+def keep_harmless(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows that score `limit` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        terms = Terms(m.terms)
+        for batch in batches:
+            yield batch.filter(pa.array(m.score(bytes_of(batch.column(at)).to_pylist(), terms) < limit))
+
+    return docs.mapInArrow(work, docs.schema)
