@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import maybe_in, new_path, quoted, with_locator, without
+from quaestor.llm.tables import maybe_in, new_path, quoted, staged, with_locator, without
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -69,9 +69,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", no
     several = state.where("group_size > 1")
     hits = maybe_in(rows, several, "digest").where("_maybe").select("at", "digest", "body")
     survivors = hits.join(several.select(F.col("keep.at").alias("at")), "at").select("digest", F.col("body").alias("kept_body"))
-    unequal = hits.join(survivors, "digest").where("body <> kept_body").select("digest").distinct().cache()
+    unequal = staged(hits.join(survivors, "digest").where("body <> kept_body").select("digest"), "unequal")
     grouped = log.join(state, "digest").select("doc_id", "at", "digest", "keep", "group_size")
     if not unequal.isEmpty():
+        unequal = unequal.distinct()
         by_bytes = rows.join(unequal, "digest").groupBy("digest", "body").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("group_size"))
         mixed = rows.join(unequal, "digest").join(by_bytes, ["digest", "body"]).select("doc_id", "at", "digest", "keep", "group_size")
         grouped = grouped.join(unequal, "digest", "left_anti").unionByName(mixed)
