@@ -1,4 +1,340 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each takes (spark, sf_dir) and runs over its whole tables; its SQL states the same for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaestor.functions import text as X
+from quaestor.functions import vector as V
+from quaestor.operators import catalog, chat, evaluation, integrity, retrieval
+from quaestor.operators.chunking import chunks, counted
+from quaestor.plans import sql
+from quaestor.sources import adapters
+from quaestor.sources.adapters import read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.round(c, 5).alias(c) if c.startswith("avg_") and c != "avg_latency_ms" else c for c in rows.columns))
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return evaluation.experiments(spark), evaluation.embedding_models(spark), evaluation.run_experiments(spark, adapters.evaluation_questions(spark, sf_dir), docs(spark, sf_dir))
+
+
+@query(sql.dashboard())
+def experiment_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.dashboard(*_run(spark, sf_dir)))
+
+
+@query(sql.dashboard())
+def dashboard_preaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.dashboard_preaggregated(*_run(spark, sf_dir)))
+
+
+@query(f"SELECT * FROM ({sql.dashboard()}) WHERE top_k = 5 AND experiment_name = 'fixed_1200_150_top5'")
+def dashboard_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.dashboard(*_run(spark, sf_dir)).where("top_k = 5 AND experiment_name = 'fixed_1200_150_top5'"))
+
+
+def _dashboard_shape_sql() -> str:
+    return """SELECT o_orderpriority, c_mktsegment, o_orderstatus, count(l_orderkey) AS n_lines, round(avg(l_quantity), 5) AS avg_quantity, CAST(sum(l_linenumber) AS BIGINT) AS sum_linenumber
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"""
+
+
+@query(_dashboard_shape_sql())
+def dashboard_shape_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's shape, left joins to a dimension and to facts, on larger tables; facts are added up before the join."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum("l_linenumber").alias("s"))
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    n = F.sum(F.coalesce("n", F.lit(0)))
+    return rows.groupBy("o_orderpriority", "c_mktsegment", "o_orderstatus").agg(n.alias("n_lines"), F.round(F.sum("q") / n, 5).alias("avg_quantity"), F.sum("s").alias("sum_linenumber"))
+
+
+@query(f"WITH {sql.chunks()} SELECT doc_id, chunk_index, content FROM chunks")
+def chunk_fixed_1200_150(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(docs(spark, sf_dir)).select("doc_id", "chunk_index", "content")
+
+
+@query(f"""WITH {sql.chunks()} SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(len({sql.tokens("content")})) AS BIGINT) AS n_tokens FROM chunks GROUP BY doc_id""")
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(chunks(docs(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("char_count").alias("n_chars"), F.sum("token_count").alias("n_tokens"))
+
+
+@query(rf"""SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count, CAST(len({sql.tokens("text")}) AS INTEGER) AS token_count,
+  CAST(len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda t: t <> '')) AS INTEGER) AS word_count FROM documents""")
+def document_word_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", X.char_count(t).alias("char_count"), F.size(X.tokens(t)).alias("token_count"), X.word_count(t).alias("word_count"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS cleaned_text FROM pages""")
+def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.document_pages(spark, sf_dir).select("page_id", "cleaned_text")
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    return retrieval.keyword_topk(read(spark, sf_dir, "benchmark"), chunks(docs(spark, sf_dir)), k=k)
+
+
+@query(f"WITH {sql.chunks()}, {sql.hits()} SELECT item_id, doc_id, chunk_index, round(score, 6) AS score, result_rank FROM hits")
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("item_id", "doc_id", "chunk_index", F.round("score", 6).alias("score"), "result_rank")
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, count(doc_id) AS n_hits, count(doc_id) > 0 AS is_answerable,
+  CASE WHEN count(doc_id) = 0 THEN 'NO_CHUNK_ABOVE_THRESHOLD' END AS no_answer_reason FROM benchmark LEFT JOIN hits USING (item_id) GROUP BY item_id""")
+def keyword_threshold_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.answerable(read(spark, sf_dir, "benchmark"), _hits(spark, sf_dir))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 20 = 0)
+  SELECT query_id, vec_id, round(score, 6) AS score, CAST(result_rank AS INTEGER) AS result_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS result_rank FROM (
+      SELECT query_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(asked AS DOUBLE[])) AS score FROM embeddings, q)) WHERE result_rank <= 5""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 as a query, against all vectors."""
+    e = read(spark, sf_dir, "embeddings")
+    top = retrieval.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
+    return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "result_rank")
+
+
+@query(f"""SELECT doc_id, b AS bucket, count(*) AS n FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 128 AS INTEGER) AS b FROM (SELECT doc_id, unnest({sql.tokens("text")}) AS t FROM documents)) GROUP BY doc_id, b""")
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-zero places of each document's hashed bag of tokens."""
+    held = docs(spark, sf_dir).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("t"))
+    return held.groupBy("doc_id", V.bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.with_content(_hits(spark, sf_dir), docs(spark, sf_dir), 1200, 150)
+
+
+@query(f"WITH {sql.chunks()}, {sql.hits()} SELECT item_id, doc_id, chunk_index, result_rank, content FROM hits JOIN chunks USING (doc_id, chunk_index)")
+def retrieved_chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contents(spark, sf_dir).select("item_id", "doc_id", "chunk_index", "result_rank", "content")
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, result_rank AS citation_order, doc_id, chunk_index, 1 AS page_start, 1 AS page_end, substr(content, 1, 200) AS quote_text FROM hits JOIN chunks USING (doc_id, chunk_index)""")
+def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.citations(_contents(spark, sf_dir))
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, '[' || string_agg('{{"citation_order":' || result_rank || ',"doc_id":' || doc_id || ',"chunk_index":' || chunk_index || '}}', ',' ORDER BY result_rank) || ']' AS citations_json FROM hits GROUP BY item_id""")
+def citations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.citations_json(_hits(spark, sf_dir).withColumnRenamed("result_rank", "citation_order"))
+
+
+_ANSWERS = f"WITH {sql.QUESTIONS}, {sql.results('fixed_1200_150', 1200, 150)}"
+
+
+@query(f"{_ANSWERS} SELECT item_id, top_k, context_precision, context_recall FROM r_fixed_1200_150")
+def context_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment_results_by_question(spark, sf_dir).select("item_id", "top_k", "context_precision", "context_recall")
+
+
+@query(f"{_ANSWERS} SELECT item_id, faithfulness, answer_relevance, answer_correctness, semantic_similarity FROM r_fixed_1200_150 WHERE top_k = 5")
+def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment_results_by_question(spark, sf_dir).where("top_k = 5").select("item_id", "faithfulness", "answer_relevance", "answer_correctness", "semantic_similarity")
+
+
+@query(f"{_ANSWERS} SELECT * FROM r_fixed_1200_150")
+def experiment_results_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.question_results(adapters.evaluation_questions(spark, sf_dir), docs(spark, sf_dir), "fixed_1200_150", [1, 3, 5])
+
+
+@query(f"WITH {sql.QUESTIONS} SELECT item_id, question_text, question_text AS ground_truth_answer, expected_doc_id FROM questions")
+def evaluation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.evaluation_questions(spark, sf_dir)
+
+
+@query("SELECT conv_id, turn, role AS sender_role, text AS message_content, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position FROM conversations")
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.history(adapters.chat_messages(spark, sf_dir)).select("conv_id", "turn", "sender_role", "message_content", "position")
+
+
+@query("""SELECT conv_id, turn AS question_turn, answer_turn, text AS question, answer FROM (
+  SELECT *, lead(role) OVER w AS next_role, lead(turn) OVER w AS answer_turn, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def chat_qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.qa_pairs(adapters.chat_messages(spark, sf_dir))
+
+
+@query(f"""SELECT conv_id, count(*) AS n_messages, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE n END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS output_tokens, CAST(sum(n) AS BIGINT) AS total_tokens
+  FROM (SELECT *, len({sql.tokens("coalesce(text, '')")}) AS n FROM conversations) GROUP BY conv_id""")
+def session_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.session_tokens(adapters.chat_messages(spark, sf_dir))
+
+
+_JSON = "CAST(to_json(coalesce({0}, '')) AS VARCHAR)"
+
+
+@query(f"""SELECT item_id, '{{"messages":[{{"role":"system","content":"{chat.SYSTEM_PROMPT}"}},{{"role":"user","content":' || {_JSON.format("text")} || '}},{{"role":"assistant","content":' || {_JSON.format("text")} || '}}]}}' AS line FROM benchmark""")
+def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark")
+    return chat.export_questions(b.select("item_id", F.col("text").alias("question_text"), F.col("text").alias("ground_truth_answer")))
+
+
+@query(f"""SELECT conv_id, '{{"messages":[' || string_agg('{{"role":' || {_JSON.format("role")} || ',"content":' || {_JSON.format("text")} || '}}', ',' ORDER BY turn) || ']}}' AS line FROM conversations GROUP BY conv_id""")
+def jsonl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.export_sessions(adapters.chat_messages(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total_lines FROM benchmark")
+def jsonl_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl_export(spark, sf_dir).agg(F.count("line").alias("total_lines"))
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def unique_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.duplicates(docs(spark, sf_dir), ["text"])
+
+
+@query("SELECT conv_id, turn, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
+def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.duplicates(read(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label row, as a reference check in that direction."""
+    return integrity.orphans(docs(spark, sf_dir).select("doc_id"), "doc_id", read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT conv_id, turn, upper(role) AS role_name FROM conversations WHERE upper(role) NOT IN ('ADMIN', 'TEACHER', 'STUDENT', 'RESEARCHER')")
+def role_check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.role_violations(read(spark, sf_dir, "conversations").select("conv_id", "turn", F.upper("role").alias("role_name")))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Documents, chunks and citations of hits as tables of the model, to delete from."""
+    d = adapters.course_documents(spark, sf_dir)
+    owner = X.uid("user", F.col("source"))
+    documents = d.select("document_id", "workspace_id", "course_id", owner.alias("uploaded_by"), "document_title")
+    cut = chunks(docs(spark, sf_dir)).select(X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")).alias("chunk_id"), X.uid("document", F.col("doc_id")).alias("document_id"), "chunk_index")
+    return {"course_documents": documents, "document_chunks": cut}
+
+
+@query(f"""WITH {sql.chunks()} SELECT {sql.uid("chunk", "doc_id || ':' || chunk_index")} AS chunk_id, {sql.uid("document", "doc_id")} AS document_id, chunk_index FROM chunks JOIN documents USING (doc_id) WHERE source <> 'src3'""")
+def cascade_delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that stay when the documents of one source are deleted."""
+    tables = _model(spark, sf_dir)
+    gone = adapters.course_documents(spark, sf_dir).where("source = 'src3'").select("document_id")
+    left, _ = integrity.delete(tables, "course_documents", gone)
+    return left["document_chunks"]
+
+
+@query(f"""SELECT {sql.uid("document", "doc_id")} AS document_id, CASE WHEN source <> 'src3' THEN {sql.uid("user", "source")} END AS uploaded_by FROM documents""")
+def set_null_on_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after one user is deleted: they stay, and their uploader is cleared."""
+    tables = _model(spark, sf_dir)
+    users = tables["course_documents"].select(F.col("uploaded_by").alias("user_id")).distinct()
+    gone = spark.range(1).select(X.uid("user", F.lit("src3")).alias("user_id"))
+    left, _ = integrity.delete(tables | {"users": users}, "users", gone)
+    return left["course_documents"].select("document_id", "uploaded_by")
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, {sql.uid("document", "doc_id")} AS document_id, result_rank FROM hits JOIN documents USING (doc_id) WHERE source = 'src3'""")
+def restrict_delete_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval results that keep the documents of one source from being deleted."""
+    tables = _model(spark, sf_dir)
+    results = _hits(spark, sf_dir).select("item_id", X.uid("hit", F.concat_ws(":", "item_id", "result_rank")).alias("retrieval_result_id"), X.uid("document", F.col("doc_id")).alias("document_id"), X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")).alias("chunk_id"), "result_rank")
+    gone = adapters.course_documents(spark, sf_dir).where("source = 'src3'").select("document_id")
+    _, blocked = integrity.delete(tables | {"retrieval_results": results}, "course_documents", gone)
+    return blocked["retrieval_results", "document_id"].select("item_id", "document_id", "result_rank")
+
+
+@query("""SELECT md5_id AS document_id, 'UPLOADED' AS processing_status, lang AS language, CAST('2024-01-01' AS TIMESTAMP) AS uploaded_at FROM (SELECT *, """ + sql.uid("course_documents", "doc_id") + """ AS md5_id FROM documents)""")
+def defaults_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"))
+    return integrity.with_defaults(rows, "course_documents", ["doc_id"], "2024-01-01").select("document_id", "processing_status", "language", "uploaded_at")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'low' ELSE lang END AS lang, source FROM documents LEFT JOIN labels USING (doc_id)")
+def patch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "low").alias("lang"))
+    return integrity.patch(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), changes, "doc_id")
+
+
+@query(f"""SELECT {sql.uid("document", "doc_id")} AS document_id, 'doc_' || doc_id AS document_title, 'doc_' || doc_id || '.txt' AS original_filename, 'TXT' AS file_type, 'UPLOADED' AS processing_status, 1 AS total_pages FROM documents WHERE source = 'src1'""")
+def documents_by_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.course_documents(spark, sf_dir).where(F.col("source") == "src1")
+    return catalog.listing(d, "courses").select("document_id", "document_title", "original_filename", "file_type", "processing_status", "total_pages")
+
+
+@query(f"""WITH {sql.chunks()} SELECT chunk_index, content, CAST(len({sql.tokens("content")}) AS INTEGER) AS token_count FROM chunks WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE length(text) = (SELECT max(length(text)) FROM documents))""")
+def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the longest document."""
+    d = docs(spark, sf_dir)
+    longest = d.agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
+    return counted(chunks(d.join(F.broadcast(longest), "doc_id"))).select("chunk_index", "content", "token_count")
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
+def active_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.active(read(spark, sf_dir, "labels").withColumn("is_active", F.col("quality") == 1)).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) >= 50 AS granted FROM events")
+def permissions_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permission JSON built from the events' property, and read back."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct((k >= 50).alias("chat"), F.lit(False).alias("all"))).alias("permission_json"))
+    return e.select("event_id", catalog.allowed(F.col("permission_json"), "chat").alias("granted"))
+
+
+@query("""SELECT n_nationkey, n_name, 'ADMIN' AS role_name FROM nation WHERE n_name = 'NATION_1' UNION ALL SELECT n_nationkey, n_name, 'TEACHER' FROM nation WHERE n_name = 'NATION_2'""")
+def insert_from_select_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return integrity.insert_from_select(n, [("NATION_1", {"role_name": "ADMIN"}), ("NATION_2", {"role_name": "TEACHER"})], "n_name")
+
+
+@query("SELECT s_suppkey, s_name, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = 99) AS missing_key, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = 1) AS found_key FROM supplier")
+def scalar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups into a value: null where nothing matches."""
+    n = read(spark, sf_dir, "nation")
+    one = n.agg(F.max(F.when(F.col("n_regionkey") == 99, F.col("n_nationkey"))).alias("missing_key"), F.max(F.when(F.col("n_regionkey") == 1, F.col("n_nationkey"))).alias("found_key"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").crossJoin(F.broadcast(one))
+
+
+@query("SELECT lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS rewritten_query, item_id FROM benchmark")
+def rewritten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(X.rewrite(F.col("text")).alias("rewritten_query"), "item_id")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) = 64 AS right_dimension, CAST(len(embedding) AS INTEGER) AS dimension FROM embeddings")
+def embedding_dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as JSON text and parsed again, against the dimension they should have."""
+    parsed = read(spark, sf_dir, "embeddings").select("vec_id", V.from_json(F.to_json("embedding")).alias("v"))
+    return parsed.select("vec_id", V.right_dimension(F.col("v"), F.lit(64)).alias("right_dimension"), F.size("v").alias("dimension"))
+
+
+@query("SELECT doc_id, true AS success, 'OK' AS message, lang FROM documents")
+def response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = catalog.envelope(read(spark, sf_dir, "documents").select("doc_id", "lang"))
+    return e.select("response.data.doc_id", "response.success", "response.message", "response.data.lang")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the streaming window query; an addition of this engine."""
+    e = read(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("w.start", "event_type", "n", "total")
