@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import maybe_in, new_path, quoted, staged, with_locator, without
+from quaestor.llm.tables import maybe_in, new_path, numbered, quoted, renamed_back, staged, with_locator, without
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store reserves some MB of disk
 }
 
@@ -54,13 +54,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", no
 
     Texts are equal when their normalised bytes are; null counts as empty. The row with the largest doc_id stays; a
     null id is the smallest, and rows with the same id and text are told apart by their locators, of which the largest
-    stays, so exactly one row of every group is kept. Other columns are not read. An empty table gives no rows.
+    stays, so exactly one row of every group is kept. Other columns are not read, but for `_at`, which is taken
+    for the rows' locator where there is one. An empty table gives no rows.
     Equal digests are hits; their rows' full bytes are compared with the survivor's, and should a digest join unequal
     texts, its rows are grouped by the bytes themselves.
     """
     spark = docs.sparkSession
-    body = normalise(F.coalesce(F.col(quoted(text)), F.lit("")))
-    located = with_locator(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")) if (doc_id, text) != ("doc_id", "text") else docs)
+    narrow = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"), *(["_at"] if "_at" in docs.columns else []))
+    located = narrow if "_at" in docs.columns else with_locator(narrow)
     body = normalise(F.coalesce(F.col("text"), F.lit("")))
     rows = located.select("doc_id", F.col("_at").alias("at"), digest(body).alias("digest"), body.alias("body"))
     log_path, state_path = new_path(spark, "digest-log"), new_path(spark, "digest-state")
@@ -80,8 +81,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", no
     return grouped.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep.at")).alias("kept"), "digest", F.col("at").alias("_at"))
 
 
-def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts; see exact_groups()."""
-    located = with_locator(docs)
-    dropped = exact_groups(docs, **options).where("NOT kept").select("_at")
-    return without(located, dropped).drop("_at")
+    plain, names = numbered(docs)
+    located = with_locator(plain)
+    groups = exact_groups(located.select(F.col(names[doc_id]).alias("doc_id"), F.col(names[text]).alias("text"), "_at"), **options)
+    return renamed_back(without(located, groups.where("NOT kept").select("_at")), names)

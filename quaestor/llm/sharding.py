@@ -12,7 +12,7 @@ from quaestor.llm.tables import quoted, staged
 
 SLOTS = 4096
 #: Slots that one slot is split into when it alone outweighs a shard.
-FAN = 64
+FAN = 1024
 #: Runs over which rows are numbered; each holds one in so many rows of every shard.
 RUNS = 4096
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.tables import bytes_of, quoted, slices, staged, union_all, with_locator, without
+from quaestor.llm.tables import bytes_of, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
 
 SEED = 42
 #: Blocks that a fingerprint is cut into. Two that differ in 2 bits or fewer agree in all but two of them.
@@ -327,8 +327,9 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of similar_groups(): the one with the smallest doc_id, of those the first by place."""
-    located = with_locator(docs)
-    groups = staged(similar_groups(located.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"), "_at"), ("doc_id", "_at")), "similar")
+    plain, names = numbered(docs)
+    located = with_locator(plain)
+    groups = staged(similar_groups(located.select(F.col(names[doc_id]).alias("doc_id"), F.col(names[text]).alias("text"), "_at"), ("doc_id", "_at")), "similar")
     stays = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_at"))).alias("first"))
     dropped = groups.join(staged(stays.select("group", F.col("first._at").alias("stays")), "stays"), "group").where("_at <> stays").select("_at")
-    return without(located, staged(dropped, "dropped")).drop("_at")
+    return renamed_back(without(located, staged(dropped, "dropped")), names)

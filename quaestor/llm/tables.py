@@ -146,3 +146,13 @@ def without(rows: DataFrame, dropped: DataFrame, key: str = "_at") -> DataFrame:
     probed = maybe_in(rows, dropped, key)
     doubtful = probed.where("_maybe").join(dropped.select(key), key, "left_anti")
     return probed.where("NOT _maybe").drop("_maybe").select(*map(quoted, rows.columns)).unionByName(doubtful.drop("_maybe").select(*map(quoted, rows.columns)))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ..., so that no name clashes with one of ours, and those names by the old ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(quoted(c)).alias(n) for c, n in names.items())), names
+
+
+def renamed_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*(F.col(n).alias(c) for c, n in names.items()))
