@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
-from quaestor.functions import vector as V
 
 TOP_K, THRESHOLD = 5, 0.05
 NO_ANSWER = "NO_CHUNK_ABOVE_THRESHOLD"
@@ -87,15 +86,45 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshol
     return ranked(hits, query, keep, k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, threshold: float | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
     """The k best vectors (vec_id, embedding) of each query (query_id, embedding) by their product; unit lengths make it the cosine.
 
-    Queries are a stated set, gathered into one row that is sent to every task; each vector is scored against the array.
+    Queries are a stated set and go to the workers in blocks, as a matrix; a task multiplies its vectors by it and
+    passes on no more than its k best per query. Scores are rounded to 12 digits, so equal vectors tie, and ties go by
+    vec_id. Rows without a vector, or with one of another length than the query's, have no score.
     """
-    asked = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("asked"))).alias("asked"))
-    pairs = vectors.crossJoin(F.broadcast(asked)).select("vec_id", "embedding", F.explode("asked").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", V.dot(F.col("embedding"), F.col("q.asked")).alias("score"))
-    return ranked(scored if threshold is None else scored.where(F.col("score") >= threshold), "query_id", ["vec_id"], k)
+    spark = vectors.sparkSession
+    asked = [(r[0], r[1]) for r in queries.where("query_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>")).toLocalIterator()]
+    sizes = sorted({len(v) for _, v in asked})
+    blocks = [own[i : i + block] for n in sizes if (own := [a for a in asked if len(a[1]) == n]) for i in range(0, len(own), block)]
+    schema = "query_id long, score double, vec_id long"
+    rows = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+
+    def hits(part: list[tuple]) -> DataFrame:
+        ids = np.array([q for q, _ in part], np.int64)
+        sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in part], np.float64).T))
+        width = len(part[0][1])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = sent.value
+            for batch in batches:
+                held, of = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
+                score = np.round(held.reshape(batch.num_rows, width) @ matrix, 12).T if batch.num_rows else np.zeros((len(names), 0))
+                by_id = np.argsort(of, kind="stable")
+                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
+                q = np.repeat(np.arange(len(names)), best.shape[1])
+                s = np.take_along_axis(score, best, axis=1).ravel()
+                ok = np.ones(len(s), bool) if threshold is None else s >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(names[q][ok]), pa.array(s[ok]), pa.array(of[best.ravel()][ok])], names=["query_id", "score", "vec_id"])
+
+        return rows.where(F.size("embedding") == width).mapInArrow(work, schema)
+
+    if not blocks:
+        return spark.createDataFrame([], schema + ", result_rank int")
+    found = hits(blocks[0])
+    for part in blocks[1:]:
+        found = found.unionByName(hits(part))
+    return ranked(found, "query_id", ["vec_id"], k)
 
 
 def answerable(queries: DataFrame, hits: DataFrame, query: str = "item_id") -> DataFrame:

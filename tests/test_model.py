@@ -83,6 +83,15 @@ def test_vectors(spark):
     assert tuple(out) == (0.0, 4.0, [1.5, 2.0])
 
 
+def test_vector_topk(spark):
+    v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, None), (5, [1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.5]), (8, [2.0]), (9, None)], "query_id long, embedding array<float>")
+    rank = lambda rows: [tuple(r) for r in rows.select("query_id", "vec_id", "score", "result_rank").orderBy("query_id", "result_rank").collect()]
+    want = [(7, 1, 1.0, 1), (7, 3, 1.0, 2), (8, 5, 2.0, 1)]
+    assert rank(retrieval.vector_topk(q, v, k=2)) == want == rank(retrieval.vector_topk(q, v, k=2, block=1))
+    assert rank(retrieval.vector_topk(q, v, threshold=1.5)) == [(8, 5, 2.0, 1)] and rank(retrieval.vector_topk(q.limit(0), v)) == []
+
+
 def test_integrity(spark):
     users = spark.createDataFrame([("u1", "a@x"), ("u2", "a@x"), ("u3", None)], "user_id string, email string")
     assert integrity.duplicates(users, ["email"]).collect()[0].n == 2
