@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.fmindex import words_of
-from quaestor.llm.tables import bytes_of, quoted
+from quaestor.llm.tables import bytes_of, quoted, slices
 
 BUCKETS = 1 << 20
 #: Bytes of the word beginnings that are terms beside the whole word; inflected forms share them.
@@ -21,7 +21,7 @@ STEMS = (3, 4, 5, 6, 7, 8)
 MAX_TRAINING = 12_000
 FACTORS = 4
 #: Words whose terms a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 def terms_of(word: bytes) -> set[int]:
@@ -81,10 +81,19 @@ class Machine:
             return np.full(len(texts), sigmoid(np.array(self.bias)))
         width = max(1, len(self.weights))
         cells, values = np.unique(np.array(rows) * width + np.array(columns), return_counts=True)
-        return sigmoid(self.raw(cells // width, cells % width, values.astype(float), len(texts)))
+        return sigmoid(self.raw(cells // width, cells % width, np.minimum(values, 20).astype(float), len(texts)))
 
 
-def select_terms(docs: list[np.ndarray], labels: np.ndarray, passes: int = 4, l1: float = 8.0, rate: float = 0.3) -> np.ndarray:
+#: A row's distinct terms, and for each how many of its words have it.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(found: list[int]) -> Bag:
+    terms, counts = np.unique(np.array(found, np.int32), return_counts=True)
+    return terms, np.minimum(counts, 20).astype(np.uint8)
+
+
+def select_terms(docs: list[Bag], labels: np.ndarray, passes: int = 4, l1: float = 8.0, rate: float = 0.3) -> np.ndarray:
     """Buckets that a sparse logistic regression (FTRL-proximal, McMahan et al. 2013) keeps, trained in small batches."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
@@ -93,8 +102,8 @@ def select_terms(docs: list[np.ndarray], labels: np.ndarray, passes: int = 4, l1
     for _ in range(passes):
         for at in range(0, len(order), 64):
             part = order[at : at + 64]
-            sizes = np.array([len(docs[i]) for i in part])
-            ids = np.concatenate([docs[i] for i in part]) if len(part) else np.zeros(0, np.int32)
+            sizes = np.array([len(docs[i][0]) for i in part])
+            ids = np.concatenate([docs[i][0] for i in part])
             used, where = np.unique(ids, return_inverse=True)
             w = weigh(used)
             rows = np.repeat(np.arange(len(part)), sizes)
@@ -106,10 +115,10 @@ def select_terms(docs: list[np.ndarray], labels: np.ndarray, passes: int = 4, l1
     return np.flatnonzero(np.abs(z) > l1)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, passes: int = 60) -> Machine:
+def fit(docs: list[Bag], labels: np.ndarray, factors: int = FACTORS, passes: int = 60) -> Machine:
     """A machine over the selected terms. Rare marks weigh in fully as rows of either label count the same in total.
 
-    docs: each row's terms, one entry per word that has the term. Without both labels there is nothing to learn: the
+    Counts above 20 weigh as 20. Without both labels there is nothing to learn: the
     score is then the share of label 1, smoothed.
     """
     labels = labels.astype(float)
@@ -117,16 +126,20 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, pass
     plain = Machine({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
     if len(set(labels.tolist())) < 2:
         return plain
-    kept = select_terms([np.unique(d) for d in docs], labels)
+    kept = select_terms(docs, labels)
     if not len(kept):
         return plain
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     width = len(kept)
-    found = [place[d] for d in docs]
-    found = [f[f >= 0] for f in found]
-    cells, values = np.unique(np.concatenate([i * width + f for i, f in enumerate(found)]), return_counts=True)
-    rows, columns, values = cells // width, cells % width, np.minimum(values.astype(float), 20.0)
+    rows, columns, values = [], [], []
+    for i, (terms, counts) in enumerate(docs):
+        at = place[terms]
+        own = at >= 0
+        rows.append(np.full(int(own.sum()), i))
+        columns.append(at[own])
+        values.append(counts[own].astype(float))
+    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
     n = len(docs)
     rng = np.random.default_rng(11)
     m = Machine({int(t): i for i, t in enumerate(kept)}, plain.bias, np.zeros(width), rng.normal(0, 0.01, (width, factors)))
@@ -166,15 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
-            blobs = [np.array(counted(t.as_py(), terms), np.int32).tobytes() for t in bytes_of(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "label", "terms"])
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            bags = [bag(counted(t.as_py(), terms)) for t in bytes_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary())], names=["doc_id", "label", "terms", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(work, f"doc_id {kind}, label int, terms binary").toArrow()
+    found = texts.mapInArrow(work, f"doc_id {kind}, label int, terms binary, counts binary").toArrow()
     order = np.argsort(np.array([xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"].to_pylist()], np.uint64), kind="stable")[:rows]
-    blobs = [np.frombuffer(found["terms"][int(i)].as_py(), np.int32) for i in order]
-    return fit(blobs, np.array([found["label"][int(i)].as_py() for i in order], np.int64))
+    view = lambda name, i, kind: np.frombuffer(found[name][int(i)].as_buffer(), kind)  # noqa: E731  no copy
+    bags = [(view("terms", i, np.int32), view("counts", i, np.uint8)) for i in order]
+    return fit(bags, np.array([found["label"][int(i)].as_py() for i in order], np.int64))
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -184,7 +198,7 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         terms = Terms(m.terms)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_text")):
             scores = m.score(bytes_of(batch.column(len(keep))).to_pylist(), terms)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
@@ -201,7 +215,7 @@ def keep_harmless(docs: DataFrame, machine: Machine, text: str = "text", limit:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         terms = Terms(m.terms)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             yield batch.filter(pa.array(m.score(bytes_of(batch.column(at)).to_pylist(), terms) < limit))
 
     return docs.mapInArrow(work, docs.schema)
