@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, quoted, slices
+from quaestor.llm.tables import bytes_of, quoted, slices, tidied
 
 WINDOW = 10
 #: Bytes of text in a shard, and words between sampled suffix positions.
@@ -246,7 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(work, f"{head}, {HITS}")
+    return rows.mapInArrow(tidied(work), f"{head}, {HITS}")
 
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -302,4 +302,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                     batch = batch.filter(pa.array([i not in gone for i in range(batch.num_rows)]))
                 yield batch
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidied(work), docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.tables import bytes_of, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
+from quaestor.llm.tables import bytes_of, numbered, quoted, renamed_back, slices, staged, tidied, union_all, with_locator, without
 
 SEED = 42
 #: Blocks that a fingerprint is cut into. Two that differ in 2 bits or fewer agree in all but two of them.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     rows = docs.select(*map(quoted, keep), quoted(text))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(work, f"{head}, fp long")
+    return rows.mapInArrow(tidied(work), f"{head}, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def links(distinct: DataFrame, budget: int = 2, hot: int = HOT) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     dealt = units.select(F.col("turn").cast("int"), F.col("unit").cast("int"), "value", "fp", "node").repartition("turn", "node", "unit").drop("node")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(work), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), words: int = 3, hot: int = HOT) -> DataFrame:
@@ -287,7 +287,7 @@ def signature_links(distinct: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
         pairs = np.array(forest(np.array(out, np.int64).reshape(-1, 2)), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(work), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3, most: int = SIMILAR_BITS) -> DataFrame:
@@ -309,7 +309,7 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
     names = [f"s{k}" for k in range(SIGNATURE)]
     source = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep)
-    made = source.mapInArrow(work, f"{head}, fp long, worded boolean, " + ", ".join(f"{n} long" for n in names))
+    made = source.mapInArrow(tidied(work), f"{head}, fp long, worded boolean, " + ", ".join(f"{n} long" for n in names))
     rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
     by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("low")), "by-fp")
     by_sign = staged(rows.where("worded").groupBy(*names).agg(F.min("row").alias("low")), "by-signature")

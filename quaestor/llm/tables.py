@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import reduce
 
 import numpy as np
@@ -86,6 +88,24 @@ def text_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the machine: worker processes live on and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, with tidy() behind its last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        tidy()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about `most` bytes; a longer text is a run of its own."""
     if not batch.num_rows:
@@ -98,10 +118,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         begin = end
 
 
-def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -117,10 +133,6 @@ def sql_values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
 
-def plain_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name)
-
-
 #: Bits of the membership bitmap: 8 MB when every bucket is used, whatever the input.
 BITMAP_BITS = 1 << 26
 BUCKET_BITS = 1 << 15
