@@ -159,10 +159,10 @@ def test_catalog(spark):
     rows = spark.createDataFrame([("d1", "w1", "x"), ("d2", "w2", "y")], "document_id string, workspace_id string, secret string")
     assert catalog.listing(rows, "documents_of_workspace", "w1").columns == ["document_id", "workspace_id"]
     assert catalog.envelope(rows).count() == 2 and catalog.failure(spark, "no").first().response.success is False
-    catalog.create_database(spark, "courseqa_test")
+    catalog.create_database(spark, "model_test")
     assert {t.name for t in spark.catalog.listTables() if not t.isTemporary} == set(S.TABLES)
     spark.sql("USE default")
-    spark.sql("DROP DATABASE courseqa_test CASCADE")
+    spark.sql("DROP DATABASE model_test CASCADE")
 
 
 def test_stream(spark, tmp_path):
