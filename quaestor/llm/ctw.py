@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,18 @@ from quaestor.llm.tables import bytes_of, quoted, slices, staged, tidied
 
 #: Bytes of context. A context and the byte behind it are one number of DEPTH + 1 bytes.
 DEPTH = 5
-#: (context, byte) entries of all depths that the model sent to the workers may hold; rarer contexts are leaves cut off.
-MAX_ENTRIES = 800_000
+#: Bytes of context that deal a number to a part of the tree. Nodes of fewer are the top of the tree, which the alphabet
+#: bounds at 2 ** 24 numbers, whatever the input; a subtree below it holds at most as many.
+TOP = 3
+#: (context, byte) numbers that a part of the tree is meant to hold, one for TEXT_BYTES bytes of text; parts grow in number with the input.
+ENTRIES, TEXT_BYTES = 1_000_000, 16
+#: Texts are counted and scored in slices of so many bytes, or so many different numbers.
+SLICE_BYTES, SLICE_NUMBERS = 16 << 20, 2_000_000
 #: Most frequent words whose counts are sent to the workers; all other words meet their counts in a join.
 FREQUENT = 1 << 16
 #: Bytes that no UTF-8 text holds: before a text's first byte, and behind its last.
 BEFORE, END = 0xFE, 0xFF
-#: Groups that (context, byte) numbers are merged in, and distinct words or numbers held before they are passed on.
+#: Parts of the tree at least, and distinct words held before they are passed on.
 MERGE, HOLD = 64, 100_000
 
 
@@ -53,87 +59,235 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-COUNTS = "word binary, n long, part int, numbers binary, counts binary"
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), codec="zstd", asbytes=True)
 
 
-def count_texts(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows with a word's count in some texts, or with the counts of one part's (context, byte) numbers as blobs."""
+def unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).reshape(-1).view(kind)
 
-    def rows(words: Counter | dict, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        part = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(MERGE + 1))
-        spans = [(p, order[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        k, m = len(words), len(spans)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*words, *[None] * m], pa.binary()),
-                pa.array([*words.values(), *[None] * m], pa.int64()),
-                pa.array([None] * k + [p for p, _ in spans], pa.int32()),
-                pa.array([None] * k + [keys[i].tobytes() for _, i in spans], pa.binary()),
-                pa.array([None] * k + [counts[i].tobytes() for _, i in spans], pa.binary()),
-            ],
-            names=["word", "n", "part", "numbers", "counts"],
-        )
+
+def by_part(numbers: np.ndarray, parts: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings numbers of one part together, by part and then as given, and each one's part."""
+    context = numbers >> np.uint64(8) & np.uint64((1 << 8 * min(TOP, depth)) - 1)
+    part = ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), part
+
+
+def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
+    """Rows with a word's count in some training texts, with one slice's numbers of one part and how often training texts hold them, or with a text.
+
+    docs: doc_id, _text, and whether the row is a training row. A slice's numbers are those of all its texts.
+    """
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    names = ["word", "n", "slice", "part", "size", "numbers", "counts", "doc_id", "_text"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), None, pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = None
+
+        def rows(height: int, /, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(height, t or id_type)) for c, t in zip(names, kinds, strict=True)], names=names)
+
+        def words_out() -> pa.RecordBatch:
+            return rows(len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+
+        def numbers_out() -> pa.RecordBatch:
+            order, part = by_part(keys, parts, depth)
+            edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+            spans = [order[i:j] for i, j in zip(edges, [*edges[1:], len(order)], strict=True)]
+            return rows(
+                len(spans),
+                slice=pa.array([place] * len(spans), pa.int64()),
+                part=pa.array([part[i[0]] for i in spans], pa.int32()),
+                size=pa.array(list(map(len, spans)), pa.int32()),
+                numbers=pa.array([packed(np.diff(keys[i], prepend=np.uint64(0))) for i in spans], pa.binary()),
+                counts=pa.array([packed(counts[i].astype(np.uint32)) for i in spans], pa.binary()),
+            )
+
         words: Counter = Counter()
+        place, held = TaskContext.get().partitionId() << 32, 0
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for whole in batches:
+            id_type = whole.column(0).type
             for batch in slices(whole, "_text", 2 << 20):
-                texts = bytes_of(batch.column(0)).to_pylist()
-                for t in texts:
-                    words.update(t.lower().split())
-                numbers, real, _ = spread(texts, depth)
-                new, n = np.unique(numbers[real], return_counts=True)
-                keys, counts = merged(np.concatenate([keys, new]), np.concatenate([counts, n.astype(np.int64)]))
+                texts, training = bytes_of(batch.column(1)).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                for t, learn in zip(texts, training.tolist(), strict=True):
+                    if learn:
+                        words.update(t.lower().split())
+                numbers, real, starts = spread(texts, depth)
+                learned = np.repeat(training, np.diff(np.concatenate([starts, [len(numbers)]])))
+                for some, once in ((learned, 1), (~learned, 0)):
+                    new, n = np.unique(numbers[real & some], return_counts=True)
+                    keys, counts = merged(np.concatenate([keys, new]), np.concatenate([counts, n * once]))
+                yield rows(len(texts), slice=pa.array([place] * len(texts), pa.int64()), doc_id=batch.column(0), _text=pa.array(texts, pa.binary()))
+                held += sum(map(len, texts))
                 if len(words) > HOLD:
-                    yield rows(words, *nothing)
-                    words = Counter()
-                if len(keys) > 5 * HOLD:
-                    yield rows({}, keys, counts)
-                    keys, counts = nothing
-        yield rows(words, keys, counts)
+                    yield words_out()
+                    words.clear()
+                if held > SLICE_BYTES or len(keys) > SLICE_NUMBERS:
+                    yield numbers_out()
+                    place, held, keys, counts = place + 1, 0, keys[:0], counts[:0]
+        if id_type is not None:
+            yield words_out()
+            yield numbers_out()
+
+    return docs.mapInArrow(tidied(work), f"word binary, n long, slice long, part int, size int, numbers binary, counts binary, doc_id {ident}, _text binary")
+
+
+class Subtrees:
+    """A part of the tree: the nodes of TOP and more bytes of context over some numbers, each decision a tree of its own."""
+
+    def __init__(self, numbers: np.ndarray, counts: np.ndarray, depth: int):
+        self.top, self.depth = min(TOP, depth), depth
+        self.numbers, self.counts, self.up = {depth: numbers}, {depth: counts}, {}
+        for d in range(depth - 1, self.top - 1, -1):
+            short = self.numbers[d + 1] & np.uint64((1 << 8 * (d + 1)) - 1)
+            self.numbers[d], self.counts[d] = merged(short, self.counts[d + 1])
+            self.up[d + 1] = np.searchsorted(self.numbers[d], short)
+
+    def decision(self, k: int) -> tuple[dict, dict, dict, dict, dict, dict, np.ndarray, np.ndarray]:
+        """By depth: each number's node, nodes' first numbers, totals, ones, parents and trust; the top nodes' keys and weighted probabilities."""
+        of, first, total, ones, own, up, trust = {}, {}, {}, {}, {}, {}, {}
+        for d, g in self.numbers.items():
+            new = np.diff(g >> np.uint64(8 - k), prepend=~np.uint64(0)) != 0
+            of[d], first[d] = np.cumsum(new) - 1, np.flatnonzero(new)
+            total[d] = np.add.reduceat(self.counts[d], first[d])
+            ones[d] = np.add.reduceat(self.counts[d] * (g >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64), first[d])
+            own[d] = kt_of_counts(total[d] - ones[d], ones[d])
+        weighted = own[self.depth]
+        trust[self.depth] = np.ones(len(weighted))
+        for d in range(self.depth - 1, self.top - 1, -1):
+            up[d + 1] = of[d][self.up[d + 1][first[d + 1]]]
+            weighted, trust[d] = weigh(own[d], np.bincount(up[d + 1], weighted, len(own[d])))
+        g = self.numbers[self.top][first[self.top]]
+        node = g >> np.uint64(8) << np.uint64(8) | (g & np.uint64(255)) >> np.uint64(8 - k) | np.uint64(1 << k)
+        return of, first, total, ones, up, trust, node & np.uint64((1 << 8 * self.top) - 1), weighted
+
+    def for_top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes above: their key, how often they were met, how often by a one, and the weighted probability of those below."""
+        out = []
+        for k in range(8):
+            _, _, total, ones, _, _, node, weighted = self.decision(k)
+            key, at = np.unique(node, return_inverse=True)
+            out.append((key, *(np.bincount(at, x, len(key)) for x in (total[self.top], ones[self.top], weighted))))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    def log10(self, top: Top) -> np.ndarray:
+        """Log10 probability of each number's last byte: each decision is mixed over all contexts that have met it, else 1/2."""
+        sums = np.zeros(len(self.numbers[self.depth]))
+        for k in range(8):
+            of, _, total, ones, up, trust, node, _ = self.decision(k)
+            mixed, rest, one = top.of(node)
+            for d in range(self.top, self.depth + 1):
+                if d > self.top:
+                    u = up[d]
+                    mixed, rest, one = (mixed + rest * trust[d - 1] * estimate)[u], (rest * (1 - trust[d - 1]))[u], one[u]
+                estimate = (ones[d] + 0.5) / (total[d] + 1)
+                one = np.where(total[d] > 0, mixed + rest * estimate, one)
+            p = np.clip(one, 1e-12, 1 - 1e-12)[of[self.depth]]
+            sums += np.log10(np.where(self.numbers[self.depth] >> np.uint64(7 - k) & np.uint64(1), p, 1 - p))
+        return sums
 
-    return docs.mapInArrow(tidied(work), COUNTS)
 
+@dataclass
+class Top:
+    """What nodes of TOP - 1 bytes hand down: the sum mixed so far, the share left to those below, their own probability of a one."""
 
-def number_counts(counts: DataFrame) -> DataFrame:
-    """(number, n) over all texts: a part's blobs meet in one task and are merged."""
+    nodes: np.ndarray
+    mixed: np.ndarray
+    rest: np.ndarray
+    one: np.ndarray
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for part, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
-                if part in held:
-                    keys, n = merged(np.concatenate([held[part][0], keys]), np.concatenate([held[part][1], n]))
-                held[part] = keys, n
-        for keys, n in held.values():
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["number", "n"])
+    @classmethod
+    def build(cls, nodes: np.ndarray, total: np.ndarray, ones: np.ndarray, below: np.ndarray, depth: int) -> Top:
+        """From the lowest nodes of the top, in order, each once."""
+        levels, ups = [(nodes, total, ones)], []
+        for d in range(depth - 1, -1, -1):
+            node, at = np.unique(levels[0][0] & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            levels.insert(0, (node, *(np.bincount(at, x, len(node)) for x in levels[0][1:])))
+            ups.insert(0, at)
+        trust: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
+        for d in range(depth, -1, -1):
+            _, n, hits = levels[d]
+            weighted, trust[d] = weigh(kt_of_counts((n - hits).astype(np.int64), hits.astype(np.int64)), below)
+            below = np.bincount(ups[d - 1], weighted, len(levels[d - 1][0])) if d else below
+        size = len(levels[0][0])
+        mixed, rest, one = np.zeros(size), np.ones(size), np.full(size, 0.5)
+        for d, (_, n, hits) in enumerate(levels):
+            if d:
+                mixed, rest, one = (x[ups[d - 1]] for x in (mixed, rest, one))
+            estimate = (hits + 0.5) / (n + 1)
+            one = np.where(n > 0, mixed + rest * estimate, one)
+            mixed, rest = mixed + rest * trust[d] * estimate, rest * (1 - trust[d])
+        return cls(nodes, mixed, rest, one)
 
-    return counts.where("part IS NOT NULL").select("part", "numbers", "counts").repartition(MERGE, "part").mapInArrow(tidied(work), "number long, n long")
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.nodes, nodes)
+        return self.mixed[at], self.rest[at], self.one[at]
 
 
-def tree_entries(numbers: DataFrame, depth: int, most: int = MAX_ENTRIES) -> DataFrame:
-    """(d, number, n): (context, byte) numbers of each depth and their counts, for contexts seen often enough to fit into `most`.
+def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
+    """(slice, part, scores): for each slice its numbers' log10 probabilities, in their order.
 
-    The bound is one power of two for all depths, so a context's own contexts are there with it. Counts of shorter
-    contexts are over all texts, whatever is cut off below them.
+    Each part of the tree is built twice where its numbers meet: for the top, which needs all parts, and with the top at hand.
     """
-    masks = [(1 << 8 * (d + 1)) - 1 for d in range(depth + 1)]
-    each = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col("number").bitwiseAND(F.lit(m)).alias("number")) for d, m in enumerate(masks))))
-    entries = staged(numbers.select(each.alias("e"), "n").groupBy("e.d", "e.number").agg(F.sum("n").alias("n")).withColumn("context", F.shiftrightunsigned("number", 8)), "tree")
-    contexts = entries.groupBy("d", "context").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"), F.count("*").alias("k"))
-    by_level = {r["level"]: r["k"] for r in contexts.groupBy("level").agg(F.sum("k").alias("k")).collect()}
-    level, room = 64, most
-    while level > 0 and by_level.get(level - 1, 0) <= room:
-        level -= 1
-        room -= by_level.get(level, 0)
-    if level:
-        entries = entries.join(contexts.where(F.col("level") >= level).select("d", "context"), ["d", "context"])
-    return entries.select("d", "number", "n")
+    spark = counts.sparkSession
+    dealt = counts.where("part IS NOT NULL").select("slice", "part", "size", "numbers", "counts").repartition(parts, "part")
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Subtrees, int, list[tuple[int, np.ndarray]]]]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for place, part, size, numbers, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                held.setdefault(part, []).append((place, size, numbers, n))
+        for part in list(held):
+            blobs = held.pop(part)
+            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for at in range(0, len(blobs), 16):
+                some = blobs[at : at + 16]
+                new = [np.cumsum(unpacked(b[2], b[1], np.uint64), dtype=np.uint64) for b in some]
+                keys, n = merged(np.concatenate([keys, *new]), np.concatenate([n, *(unpacked(b[3], b[1], np.uint32).astype(np.int64) for b in some)]))
+            yield Subtrees(keys, n, depth), part, blobs
+
+    def upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, _, _ in subtrees(batches):
+            node, *sums = tree.for_top()
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, sums)], names=["node", "total", "ones", "below"])
+
+    sums = dealt.mapInArrow(tidied(upward), "node long, total double, ones double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("total", "ones", "below")))
+    lowest = sums.toArrow().sort_by("node")
+    nodes, total, ones, below = (lowest[c].to_numpy() for c in ("node", "total", "ones", "below"))
+    sent = spark.sparkContext.broadcast(Top.build(nodes.astype(np.uint64), total, ones, below, min(TOP, depth) - 1))
+
+    def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, part, blobs in subtrees(batches):
+            values = tree.log10(sent.value).astype(np.float32)
+            for place, size, numbers, _ in blobs:
+                at = np.searchsorted(tree.numbers[depth], np.cumsum(unpacked(numbers, size, np.uint64), dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([part], pa.int32()), pa.array([values[at].tobytes()], pa.binary())], names=["slice", "part", "scores"])
+
+    return dealt.mapInArrow(tidied(downward), "slice long, part int, scores binary")
+
+
+def text_scores(groups: list[list[bytes]], scores: np.ndarray, depth: int, parts: int) -> list[np.ndarray]:
+    """Log10 probabilities of a slice's texts, ends included, from those of its numbers by part."""
+    seen = []
+    for texts in groups:
+        numbers, real, starts = spread(texts, depth)
+        own, at = np.unique(numbers[real], return_inverse=True)
+        seen.append((own, at.astype(np.int32), real, starts))
+    keys = np.unique(np.concatenate([own for own, *_ in seen]))
+    values = np.zeros(len(keys), np.float32)
+    values[by_part(keys, parts, depth)[0]] = scores
+    out = []
+    for own, at, real, starts in seen:
+        each = np.zeros(len(real))
+        each[real] = values[np.searchsorted(keys, own)][at]
+        out.append(np.add.reduceat(each, starts))
+    return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -150,6 +304,27 @@ def kt_log_probability(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
 
 
+#: ln Gamma of n + 1/2 and of n + 1.
+HALVES, WHOLES = log_gamma(np.arange(1 << 14) + 0.5), log_gamma(np.arange(1 << 14) + 1.0)
+
+
+def kt_of_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """kt_log_probability() of whole numbers, from tables where they are small; exactly 0 where nothing was met."""
+    total = zeros + ones
+    few = total < len(WHOLES)
+    z, o, t = (np.where(few, x, 0) for x in (zeros, ones, total))
+    out = np.where(t > 0, HALVES[z] + HALVES[o] - np.log(np.pi) - WHOLES[t], 0)
+    if not few.all():
+        out[~few] = kt_log_probability(zeros[~few].astype(float), ones[~few].astype(float))
+    return out
+
+
+def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted log probability of nodes, and the share of it that is their own."""
+    weighted = np.logaddexp(own, below) + np.log(0.5)
+    return weighted, np.exp(np.minimum(own + np.log(0.5) - weighted, 0))
+
+
 class Table:
     """Numbers looked up in a hash table of two arrays, many at a time."""
 
@@ -195,7 +370,7 @@ class Table:
 
 @dataclass
 class ContextTree:
-    """Log10 probabilities of bytes in contexts of the tree, and for other bytes those of single decisions."""
+    """The whole tree in one process, which tests hold the parts against. Log10 probabilities of bytes in contexts of the tree, and for other bytes those of single decisions."""
 
     depth: int
     bytes: Table
@@ -295,85 +470,82 @@ class ContextTree:
         return np.add.reduceat(values, starts) if len(texts) else np.zeros(0)
 
 
-def built(entries: DataFrame, depth: int) -> ContextTree:
-    """The tree of `entries`, whose number is bounded: one task builds it, and its arrays come to the driver in pieces."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.zeros(0, np.int64)] * 3, *([b.column(i).to_numpy().astype(np.int64) for i in range(3)] for b in batches)]
-        d, number, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        levels = [merged(number[d == k].view(np.uint64), n[d == k]) for k in range(depth + 1)]
-        tree = ContextTree.build([k for k, _ in levels], [c for _, c in levels])
-        for name, table in (("bytes", tree.bytes), ("nodes", tree.nodes)):
-            for array in (table.keys, table.values):
-                data, step = array.tobytes(), 8 << 20
-                for at in range(0, len(data), step):
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{array.dtype}"]), pa.array([at], pa.int64()), pa.array([data[at : at + step]], pa.binary())], names=["name", "at", "data"])
-
-    pieces = entries.repartition(1).mapInArrow(tidied(work), "name string, at long, data binary").toArrow().sort_by([("name", "ascending"), ("at", "ascending")])
-    names = pieces["name"].to_pylist()
-
-    def array(name: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.frombuffer(pieces["data"][i].as_buffer(), kind) for i, x in enumerate(names) if x == f"{name}-{np.dtype(kind)}"])
-
-    return ContextTree(depth, *(Table.of(array(name, np.uint64), array(name, np.float32)) for name in ("bytes", "nodes")))
-
-
 def is_held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds == fold
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, entries: int = MAX_ENTRIES) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, entries: int = ENTRIES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is the context tree's log10 probability of the whole text and its end; base_score that of add-one counts of
     lower-cased words and one end. Both learn from all rows that are not held out; null ids are not. A null text counts
     as empty: one token, its end. Rows with equal ids are scored each for itself. Without training rows every decision
-    is even, and every word's base is 1. What leaves the executors is bounded: tree entries (`entries`), the counts of
-    the `frequent` most frequent words, sums. Other words join their counts, from which no word has a large share.
+    is even, and every word's base is 1. No context is left out: the tree is dealt by context over parts of about
+    `entries` numbers, whose number grows with the input. A slice of texts sends its distinct numbers to them and gets
+    their probabilities back, where it meets its texts again. What leaves the executors is bounded: the top of the
+    tree, the counts of the `frequent` most frequent words, sums. Other words join their counts, from which no word has
+    a large share.
     """
     spark = docs.sparkSession
     ident, body = F.col(quoted(doc_id)), F.col(quoted(text))
-    training = docs.where(~is_held_out(ident)).select(body.alias("_text"))
-    counts = staged(count_texts(training, depth), "counts")
+    rows = docs.select(ident.alias("doc_id"), body.alias("_text"), (~is_held_out(ident)).alias("training"))
+    size, trained = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count_if("training")).first()
+    parts = max(MERGE, -(-size // (TEXT_BYTES * entries)))
+    counts = staged(count_texts(rows, depth, parts), "counts")
     vocabulary = staged(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     words, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    trained = training.count()
     top = {bytes(r["word"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()}
     all_tokens, all_kinds = words + trained, distinct + (trained > 0)
-    sent = spark.sparkContext.broadcast((built(tree_entries(number_counts(counts), depth, entries), depth), {w: float(np.log10(c + 1)) for w, c in top.items()}))
+    sent = spark.sparkContext.broadcast({w: float(np.log10(c + 1)) for w, c in top.items()})
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    values = number_values(counts, depth, parts).select("slice", "part", "scores", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("_text"))
+    texts = counts.where("_text IS NOT NULL").select("slice", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("scores"), "doc_id", "_text")
+    met = values.unionByName(texts).repartition(parts, "slice").sortWithinPartitions("slice", F.col("part").asc_nulls_last())
+
+    def scored_slice(scores: list[bytes], groups: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        get = sent.value.get
+        found_scores = text_scores([t for _, t in groups], np.frombuffer(b"".join(scores), np.float32), depth, parts)
+        for (ids, texts), score in zip(groups, found_scores, strict=True):
+            tokens, known, sums, rare, times = [], [], [], [], []
+            for t in texts:
+                found = Counter(t.lower().split())
+                own_rare, own_times, total, n = [], [], 0.0, 0
+                for w, k in found.items():
+                    value = get(w)
+                    if value is None:
+                        own_rare.append(w)
+                        own_times.append(k)
+                    else:
+                        total += k * value
+                        n += k
+                tokens.append(n + sum(own_times) + 1)
+                known.append(n)
+                sums.append(total)
+                rare.append(own_rare)
+                times.append(own_times)
+            columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_bytes", "n_tokens", "known", "sums", "score", "rare", "times"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common = sent.value
-        get = common.get
+        now, scores, groups = None, [], []
         for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
-                texts = bytes_of(batch.column(1)).to_pylist()
-                tokens, known, sums, rare, times = [], [], [], [], []
-                for t in texts:
-                    found = Counter(t.lower().split())
-                    own_rare, own_times, total, n = [], [], 0.0, 0
-                    for w, k in found.items():
-                        value = get(w)
-                        if value is None:
-                            own_rare.append(w)
-                            own_times.append(k)
-                        else:
-                            total += k * value
-                            n += k
-                    tokens.append(n + sum(own_times) + 1)
-                    known.append(n)
-                    sums.append(total)
-                    rare.append(own_rare)
-                    times.append(own_times)
-                columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(tree.score(texts)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_tokens", "known", "sums", "score", "rare", "times"])
-
-    rows = docs.select(ident.alias("doc_id"), body.alias("_text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(tidied(work), f"doc_id {kind}, n_bytes long, n_tokens long, known long, sums double, score double, rare array<binary>, times array<int>")
+            place = whole.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)] if len(place) else []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if now is not None and now != place[begin]:
+                    yield from scored_slice(scores, groups)
+                    scores, groups = [], []
+                now, run = place[begin], whole.slice(begin, end - begin)
+                scores += run.column(2).drop_null().to_pylist()
+                run = run.filter(run.column(4).is_valid())
+                groups += [(b.column(3), bytes_of(b.column(4)).to_pylist()) for b in slices(run, "_text", 1 << 20)]
+        if groups:
+            yield from scored_slice(scores, groups)
+
+    scored = met.mapInArrow(tidied(work), f"doc_id {kind}, n_bytes long, n_tokens long, known long, sums double, score double, rare array<binary>, times array<int>")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    met = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
-    joined = met.join(vocabulary, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum("k").alias("more_known"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
+    joined = rare.join(vocabulary, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum("k").alias("more_known"))
     out = scored.drop("rare", "times").join(joined, "row", "left")
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) + float(np.log10(trained + 1)) - F.col("n_tokens") * float(np.log10(all_tokens + all_kinds + 1))
     n_known = F.col("known") + F.coalesce("more_known", F.lit(0)) + int(trained > 0)

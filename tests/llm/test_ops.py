@@ -168,6 +168,20 @@ def test_ctw_odd_rows(odd, empty):
     assert ctw.score_documents(odd, entries=50).count() == len(ODD)
 
 
+def test_ctw_scores_by_the_whole_tree(spark, duck):
+    """However small the parts are, no context is left out: scores equal those of the whole tree in one process."""
+    rows = duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 60").fetchall() + [(-1, "zß門 new \x00 " * 3), (-2, None)]
+    texts = [(t or "").encode() for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    numbers, real, _ = ctw.spread(texts)
+    levels = [ctw.merged(numbers[real] & np.uint64((1 << 8 * (d + 1)) - 1), np.ones(real.sum(), np.int64)) for d in range(ctw.DEPTH + 1)]
+    tree = ctw.ContextTree.build([k for k, _ in levels], [c for _, c in levels])
+    expected = dict(zip([d for d, _ in rows], tree.score([(t or "").encode() for _, t in rows]), strict=True))
+    out = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), entries=50).collect()
+    assert len(out) == len(rows) and any(r.held_out for r in out)
+    for r in out:
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-4)
+
+
 # 4: decontamination
 
 
