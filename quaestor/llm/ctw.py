@@ -28,7 +28,7 @@ TOP = 3
 #: (context, byte) numbers that a part of the tree is meant to hold, one for TEXT_BYTES bytes of text; parts grow in number with the input.
 ENTRIES, TEXT_BYTES = 1_000_000, 16
 #: Texts are counted and scored in slices of so many bytes, or so many different numbers.
-SLICE_BYTES, SLICE_NUMBERS = 16 << 20, 2_000_000
+SLICE_BYTES, SLICE_NUMBERS = 10 << 20, 2_000_000
 #: Most frequent words whose counts are sent to the workers; all other words meet their counts in a join.
 FREQUENT = 1 << 16
 #: Bytes that no UTF-8 text holds: before a text's first byte, and behind its last.
@@ -78,19 +78,19 @@ def by_part(numbers: np.ndarray, parts: int, depth: int) -> tuple[np.ndarray, np
 
 
 def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
-    """Rows with a word's count in some training texts, with one slice's numbers of one part and how often training texts hold them, or with a text.
+    """Rows with a word's count in some training texts, with one slice's numbers of one part and how often training texts hold them, or with some of its texts, compressed.
 
     docs: doc_id, _text, and whether the row is a training row. A slice's numbers are those of all its texts.
     """
     ident = docs.schema["doc_id"].dataType.simpleString()
-    names = ["word", "n", "slice", "part", "size", "numbers", "counts", "doc_id", "_text"]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), None, pa.binary()]
+    names = ["word", "n", "slice", "part", "size", "numbers", "counts", "ids", "lengths", "texts"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), None, pa.list_(pa.int32()), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = None
 
         def rows(height: int, /, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(height, t or id_type)) for c, t in zip(names, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(height, t or pa.list_(id_type))) for c, t in zip(names, kinds, strict=True)], names=names)
 
         def words_out() -> pa.RecordBatch:
             return rows(len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
@@ -113,7 +113,7 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for whole in batches:
             id_type = whole.column(0).type
-            for batch in slices(whole, "_text", 2 << 20):
+            for batch in slices(whole, "_text", 1 << 20):
                 texts, training = bytes_of(batch.column(1)).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 for t, learn in zip(texts, training.tolist(), strict=True):
                     if learn:
@@ -123,7 +123,8 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                 for some, once in ((learned, 1), (~learned, 0)):
                     new, n = np.unique(numbers[real & some], return_counts=True)
                     keys, counts = merged(np.concatenate([keys, new]), np.concatenate([counts, n * once]))
-                yield rows(len(texts), slice=pa.array([place] * len(texts), pa.int64()), doc_id=batch.column(0), _text=pa.array(texts, pa.binary()))
+                ids, sizes = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0)), pa.array([list(map(len, texts))], pa.list_(pa.int32()))
+                yield rows(1, slice=pa.array([place], pa.int64()), ids=ids, lengths=sizes, texts=pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary()))
                 held += sum(map(len, texts))
                 if len(words) > HOLD:
                     yield words_out()
@@ -135,7 +136,7 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
             yield words_out()
             yield numbers_out()
 
-    return docs.mapInArrow(tidied(work), f"word binary, n long, slice long, part int, size int, numbers binary, counts binary, doc_id {ident}, _text binary")
+    return docs.mapInArrow(tidied(work), f"word binary, n long, slice long, part int, size int, numbers binary, counts binary, ids array<{ident}>, lengths array<int>, texts binary")
 
 
 class Subtrees:
@@ -498,8 +499,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_tokens, all_kinds = words + trained, distinct + (trained > 0)
     sent = spark.sparkContext.broadcast({w: float(np.log10(c + 1)) for w, c in top.items()})
     kind = rows.schema["doc_id"].dataType.simpleString()
-    values = number_values(counts, depth, parts).select("slice", "part", "scores", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("_text"))
-    texts = counts.where("_text IS NOT NULL").select("slice", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("scores"), "doc_id", "_text")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("lengths", "array<int>"), ("texts", "binary"))]
+    values = number_values(counts, depth, parts).select("slice", "part", "scores", *none)
+    texts = counts.where("texts IS NOT NULL").select("slice", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("scores"), "ids", "lengths", "texts")
     met = values.unionByName(texts).repartition(parts, "slice").sortWithinPartitions("slice", F.col("part").asc_nulls_last())
 
     def scored_slice(scores: list[bytes], groups: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
@@ -537,8 +539,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     scores, groups = [], []
                 now, run = place[begin], whole.slice(begin, end - begin)
                 scores += run.column(2).drop_null().to_pylist()
-                run = run.filter(run.column(4).is_valid())
-                groups += [(b.column(3), bytes_of(b.column(4)).to_pylist()) for b in slices(run, "_text", 1 << 20)]
+                for i in np.flatnonzero(run.column(5).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    ends = np.cumsum([0, *run.column(4)[i].as_py()]).tolist()
+                    data = pa.decompress(run.column(5)[i].as_py(), ends[-1], codec="zstd", asbytes=True)
+                    groups.append((run.column(3)[i].values, [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]))
         if groups:
             yield from scored_slice(scores, groups)
 
