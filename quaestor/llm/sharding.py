@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.tables import quoted, staged
 
 SLOTS = 4096
-#: Slots that one slot is split into when it alone outweighs a shard.
+#: Slots that a slot, and then a text, is split into when it alone outweighs a shard.
 FAN = 1024
 #: Runs over which rows are numbered; each holds one in so many rows of every shard.
 RUNS = 4096
@@ -106,8 +107,9 @@ def size_of(text: Column) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Each row's id, size, text_crc32, vslot, shard and slot (its place in its shard, gapless from 0), and the map.
 
-    Law: bytes. A row's virtual slot is the hash of its text, so equal texts share slot and shard; a slot that alone
-    outweighs a shard is split by id over FAN further slots, as no map can balance it. The map begins even and one
+    Law: bytes. A row's virtual slot is the hash of its text, so equal texts share slot and shard. A slot that alone
+    outweighs a shard is split by a second hash of the text over FAN further slots; only a text whose own rows outweigh
+    a shard, of which there are fewer than shards, is dealt by id over FAN slots, as no map can balance it. The map begins even and one
     edit, from the bytes of each slot, rebalances it. Null texts count 1 byte and share a slot; null ids are hashed as
     a value of their own. Repeated rows each get their own place. An empty table gives an empty result.
     Places come from the rows' numbers in RUNS runs dealt by id, plus what the shard holds in earlier runs, so no
@@ -122,19 +124,28 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, doc_i
             c(doc_id).alias("doc_id"),
             size_of(c(text)).alias("size"),
             F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+            F.xxhash64(body).alias("first"),
+            F.xxhash64(F.lit("fan"), body).alias("second"),
             F.pmod(F.xxhash64(body), F.lit(slots)).cast("int").alias("vslot"),
             F.pmod(F.xxhash64(c(doc_id), F.lit("run")), F.lit(RUNS)).cast("int").alias("run"),
         ),
         "sharding",
     )
     sizes = slot_sizes(rows, slots)
-    heavy = [s for s, n in enumerate(sizes) if n > sum(sizes) / shards]
+    share = sum(sizes) / shards
+    heavy = [s for s, n in enumerate(sizes) if n > share]
     if heavy:
-        place = F.lit(None).cast("int")
+        same = ["first", "second", "text_crc32", "size"]
+        hot = rows.where(F.col("vslot").isin(heavy)).groupBy(*same).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > share).orderBy(*same).collect()
+        fan = lambda k, hashed: slots + k * FAN + F.pmod(hashed, F.lit(FAN)).cast("int")
+        place = F.col("vslot")
         for k, s in enumerate(heavy):
-            place = F.when(F.col("vslot") == s, slots + k * FAN + F.pmod(F.xxhash64("doc_id", F.lit("fan")), F.lit(FAN)).cast("int")).otherwise(place)
-        rows = rows.withColumn("vslot", F.coalesce(place, F.col("vslot")))
-        slots += len(heavy) * FAN
+            place = F.when(F.col("vslot") == s, fan(k, F.col("second"))).otherwise(place)
+        for k, text_key in enumerate(hot, len(heavy)):
+            its = reduce(lambda x, y: x & y, (F.col(c) == text_key[c] for c in same))
+            place = F.when(its, fan(k, F.xxhash64("doc_id", F.lit("fan")))).otherwise(place)
+        rows = rows.withColumn("vslot", place)
+        slots += (len(heavy) + len(hot)) * FAN
         sizes = slot_sizes(rows, slots)
     slot_map = SlotMap.even(slots, shards).rebalanced(sizes)
     if map_path:

@@ -86,6 +86,19 @@ def test_shards_of_odd_rows_and_hot_slots(spark, odd, empty, tmp_path):
     assert max(loads.values()) - min(loads.values()) < 0.1 * sum(loads.values()) / 8
 
 
+def test_only_the_hot_text_is_torn(spark):
+    """Of a slot that outweighs a shard, groups of copies that fit into a shard stay whole."""
+    text = F.when(F.col("id") < 2000, "x" * 50).otherwise(F.concat(F.lit("y"), F.floor(F.col("id") / 5)))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    shards_of, loads = defaultdict(set), Counter()
+    for r in sharding.shard_documents(docs, shards=8, slots=8)[0].collect():
+        shards_of[texts[r.doc_id]].add(r.shard)
+        loads[r.shard] += r.size
+    assert len(shards_of.pop("x" * 50)) > 1 and len(shards_of) == 400
+    assert all(len(s) == 1 for s in shards_of.values()) and max(loads.values()) < 1.1 * sum(loads.values()) / 8
+
+
 def test_slot_map_grows_into_the_new_shard_only():
     sizes = [random.Random(1).randint(1, 100) for _ in range(512)]
     first = sharding.SlotMap.even(512, 4).rebalanced(sizes)
