@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -192,134 +193,124 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Signatures: SIGNATURE fingerprints of 64 bits each, over distinct shingles of WORDS words.
-SIGNATURE, WORDS = 4, 5
-#: Two signatures are similar if at most so many of their 256 bits differ: what a Jaccard similarity of 0.8 comes to,
-#: as a bit differs with the angle between the sets, acos(2 * 0.8 / 1.8) / pi = 0.15.
-SIMILAR_BITS = 38
+#: Texts are similar if the sets of their shingles of WORDS words have a Jaccard similarity of SIMILAR[0] / SIMILAR[1] or more.
+WORDS, SIMILAR = 5, (4, 5)
+#: Two texts are compared if all least values of a band are equal: at a similarity of 0.8 that fails in every band for 3 pairs of a million.
+BANDS, BAND = 24, 4
+MIX = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def signature(text: bytes) -> np.ndarray:
-    """SIGNATURE fingerprints of the text's distinct shingles, each from values mixed anew."""
+def shingle_set(text: bytes) -> np.ndarray:
+    """XXH64 values of the text's distinct shingles, in order."""
     runs = set(shingles(text, WORDS))
-    out = np.zeros(SIGNATURE, np.uint64)
-    if not runs:
-        return out
-    h = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(runs))
-    for k in range(SIGNATURE):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            x = h[at : at + (1 << 16)] * np.uint64(2 * 0x9E3779B97F4A7C15 * k + 1 & (1 << 64) - 1)
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            ones += np.unpackbits((x ^ x >> np.uint64(32)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
-        out[k] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
-    return out
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(runs)))
 
 
-def connected(signatures: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect whatever pairs of signatures at most `most` bits apart connect.
+def bands(values: np.ndarray) -> np.ndarray:
+    """A value for each band: a hash of BAND least values of the set, each under an order of its own."""
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for at in range(0, len(values), 1 << 13):
+        x = (values[at : at + (1 << 13)] ^ MIX[0]) * MIX[1]
+        least = np.minimum(least, ((x ^ x >> np.uint64(32)) * MIX[0]).min(1))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, BAND)], np.uint64)
 
-    Each one reached is compared with those not reached yet, so a tight group of any size is settled by its first.
+
+def similar_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect whatever pairs of similar sets connect.
+
+    Each one reached is compared with all not reached yet, so a tight group of any size is settled by its first.
     """
-    edges, left = [], np.arange(len(signatures))
+    sizes = np.array(list(map(len, sets)), np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    edges, left = [], np.arange(len(sets))
+    rest = flat
     while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
+        queue, fresh = [int(left[0])], np.ones(len(left), bool)
+        fresh[0] = False
+        while True:
+            if not fresh.all():
+                rest, left = rest[np.repeat(fresh, sizes[left])], left[fresh]
+            if not queue or not len(left):
+                break
             a = queue.pop()
-            near = np.bitwise_count(signatures[left] ^ signatures[a]).sum(1, dtype=np.int64) <= most
-            found = left[near].tolist()
+            own = flat[begins[a] : begins[a + 1]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[rest], np.concatenate([[0], np.cumsum(sizes[left])[:-1]]), dtype=np.int64)
+            mark[own] = False
+            fresh = SIMILAR[1] * shared < SIMILAR[0] * (sizes[left] + sizes[a] - shared)
+            found = left[~fresh].tolist()
             edges += [(a, b) for b in found]
             queue += found
-            left = left[~near]
     return edges
 
 
-def signature_links(distinct: DataFrame, most: int = SIMILAR_BITS) -> DataFrame:
-    """Edges (a, b) between the ids of similar signatures (id, s0, s1, ...).
+def similar_links(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) between the ids of similar texts (id, packed, bands), each set of shingles there once.
 
-    A signature is cut into words of 32 bits. For each word the trie is joined with itself within 2 bits, dealt by two
-    of the word's four blocks, of which two must agree; signatures brought together by it are compared as a whole.
-    Two signatures with 38 of 256 bits unlike share such a word with a chance of about 0.65, with 27 (similarity 0.9)
-    of 0.96, with 18 (0.95) of nearly 1.
+    Texts with an equal band are linked, and within each component of these links, where a text is sent once, all texts
+    are compared by their sets.
     """
-    choices = list(combinations(range(BLOCKS), 2))
-    names = [f"s{k}" for k in range(SIGNATURE)]
-    parts = []
-    for w in range(2 * SIGNATURE):
-        s = F.col(names[w // 2])
-        high = s if w % 2 == 0 else F.shiftleft(s, 32)
-        parts += [F.struct(F.lit(w * len(choices) + k).alias("turn"), _blocks_first(high, c, 8).alias("value")) for k, c in enumerate(choices)]
-    rows = distinct.select("id", *names, F.explode(F.array(*parts)).alias("t")).select(F.col("t.turn").alias("turn"), F.col("t.value").alias("value"), "id", *names)
-    dealt = rows.repartition("turn", F.shiftrightunsigned("value", 48))
+    by_band = distinct.select("id", F.posexplode("bands").alias("band", "value"))
+    low = staged(by_band.groupBy("band", "value").agg(F.min("id").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"), "bands")
+    near = components(by_band.join(low, ["band", "value"]).select(F.col("id").alias("a"), F.col("low").alias("b")))
+    met = distinct.select("id", "packed").join(near.select(F.col("node").alias("id"), "low"), "id").select("low", "id", "packed")
+
+    def compared(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        edges = similar_pairs([shingle_set(zlib.decompress(t)) for t in texts]) if len(ids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        column = lambda i: np.concatenate([b.column(i).to_numpy() for b in held])
-        turn, value, ids = column(0).astype(np.int64), column(1).view(np.uint64), column(2)
-        signs = np.stack([column(3 + k).view(np.uint64) for k in range(SIGNATURE)], 1)
-        order = np.lexsort((value, turn))
-        turn, value, ids, signs = turn[order], value[order], ids[order], signs[order]
-        new = np.concatenate([[True], (turn[1:] != turn[:-1]) | (value[1:] != value[:-1])])
-        first = np.flatnonzero(new)  # rows of each distinct value of a trie
-        ends = np.concatenate([first[1:], [len(value)]])
-        node = value[first] >> np.uint64(48)
-        edge = np.flatnonzero((turn[first][1:] != turn[first][:-1]) | (node[1:] != node[:-1])) + 1
-        bounds = np.concatenate([[0], edge, [len(first)]]).astype(np.int64)
-        root = np.arange(len(first))
-        for a, b in forest(trie_pairs(value[first], bounds[:-1], bounds[1:], 16, 2, 32)):
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            root[max(a, b)] = min(a, b)
-        while (root[root] != root).any():
-            root = root[root]
-        together = np.argsort(root, kind="stable")
-        sizes = ends - first
-        cuts = np.flatnonzero(np.concatenate([[True], root[together][1:] != root[together][:-1]]))
-        total = np.add.reduceat(sizes[together], cuts)
-        out: list[tuple[int, int]] = []
-        for k in np.flatnonzero(total > 1).tolist():
-            members = np.concatenate([np.arange(first[v], ends[v]) for v in together[cuts[k] : cuts[k + 1] if k + 1 < len(cuts) else None].tolist()])
-            out += [(int(ids[members[a]]), int(ids[members[b]])) for a, b in connected(signs[members], most)]
-        pairs = np.array(forest(np.array(out, np.int64).reshape(-1, 2)), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        now, ids, texts = None, [], []
+        for batch in batches:
+            for low, ident, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if low != now:
+                    yield compared(ids, texts)
+                    now, ids, texts = low, [], []
+                ids.append(ident)
+                texts.append(text)
+        yield compared(ids, texts)
 
-    return dealt.mapInArrow(tidied(work), "a long, b long").distinct()
+    return met.repartition("low").sortWithinPartitions("low").mapInArrow(tidied(work), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3, most: int = SIMILAR_BITS) -> DataFrame:
+def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3) -> DataFrame:
     """One row per row of docs: `keep` columns, row (an id of its own) and group, the least row reachable.
 
-    Rows are linked by fingerprints of `words`-word shingles 2 or fewer bits apart, as in near_groups(), and by similar
-    signatures of five-word shingles, for near copies that no longer have the same fingerprint. Texts without words
-    are linked by the fingerprint alone.
+    Rows are linked by fingerprints of `words`-word shingles 2 or fewer bits apart, as in near_groups(), and by a Jaccard
+    similarity of 0.8 or more over distinct five-word shingles, for near copies that no longer have the same fingerprint.
+    Texts without words are linked by the fingerprint alone.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(keep)
-        for batch in (part for whole in batches for part in slices(whole, "_text")):
+        for batch in (part for whole in batches for part in slices(whole, "_text", 1 << 20)):
             texts = bytes_of(batch.column(at)).to_pylist()
             fp = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts)).view(np.int64)
-            signs = np.stack([signature(t) for t in texts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(fp), pa.array([bool(t.split()) for t in texts]), *(pa.array(signs[:, k]) for k in range(SIGNATURE))], names=[*keep, "fp", "worded", *names])
+            sets = [shingle_set(t) for t in texts]
+            columns = [
+                pa.array(fp),
+                pa.array([xxhash.xxh3_128_digest(v.tobytes()) if len(v) else None for v in sets], pa.binary()),
+                pa.array([bands(v).view(np.int64) if len(v) else None for v in sets], pa.list_(pa.int64())),
+                pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*keep, "fp", "set", "bands", "packed"])
 
-    names = [f"s{k}" for k in range(SIGNATURE)]
     source = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep)
-    made = source.mapInArrow(tidied(work), f"{head}, fp long, worded boolean, " + ", ".join(f"{n} long" for n in names))
-    rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    made = source.mapInArrow(tidied(work), f"{head}, fp long, set binary, bands array<long>, packed binary")
+    rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("low")), "by-fp")
-    by_sign = staged(rows.where("worded").groupBy(*names).agg(F.min("row").alias("low")), "by-signature")
+    by_set = staged(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("low")), "by-set")
+    distinct = rows.select(F.col("row").alias("id"), "packed", "bands").join(by_set.select(F.col("low").alias("id")), "id", "left_semi")
     ends = links(by_fp.select("fp"))
     ends = ends.join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), "b")
     edges = [
         ends.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")),
-        signature_links(by_sign.withColumnRenamed("low", "id"), most),
+        similar_links(distinct),
         rows.join(by_fp, "fp").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
-        rows.where("worded").join(by_sign, names).where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
+        rows.join(by_set, "set").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
     ]
     found = staged(components(union_all(edges)).select(F.col("node").alias("row"), F.col("low").alias("group")), "groups")
     return rows.select(*map(quoted, keep), "row").join(found, "row", "left").select(*map(quoted, keep), "row", F.coalesce("group", "row").alias("group"))

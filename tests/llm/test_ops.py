@@ -403,6 +403,34 @@ def test_near_copies(spark, odd, empty):
     assert simhash.drop_near_copies(empty).count() == 0 and simhash.near_groups(empty).count() == 0
 
 
+def test_similar_groups_by_brute_force(spark):
+    """Texts around a similarity of 0.8 are linked if and only if they reach it, or their fingerprints link them."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for changed in (0, *rng.sample(range(1, 12), 3)):
+            words = list(base)
+            for k in range(changed):
+                words[10 + 16 * k] = f"n{rng.randrange(5000)}"
+            texts.append(" ".join(words))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    prints = [simhash.fingerprint(t.encode(), 3) for t in texts]
+    root = list(range(len(texts)))
+    linked = missed = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            similar = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            linked, missed = linked + similar, missed + (not similar and len(sets[a] & sets[b]) > 0)
+            if similar or (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert linked > 30 and missed > 30
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    of = {r.doc_id: r.group for r in out}
+    assert len({(root[i], of[i]) for i in of}) == len(set(root)) == len(set(of.values()))
+
+
 # 9: exact dedup
 
 
