@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import quoted
+from quaestor.llm.tables import in_arrow, quoted
 
 START, END = "<|im_start|>", "<|im_end|>"
 EVENTS = ("message", "delta", "edit", "regenerate")
@@ -127,7 +127,7 @@ def conversations(events: DataFrame, conv_id: str = "conv_id", seq: str = "seq",
             out.append((now, *state.rendered()))
         yield batch_of(out)
 
-    return ordered.mapInArrow(work, SCHEMA)
+    return in_arrow(ordered, work, SCHEMA)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "mask").mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(formatted.select("conv_id", "formatted", "mask"), work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def sql_escape(text: str) -> str:

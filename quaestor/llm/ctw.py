@@ -3,7 +3,8 @@
 A node of the tree is a context of d bytes, for each place in the decisions of the next byte. Its Krichevsky-Trofimov
 estimate needs only how often either bit followed, so nodes are counted over all training texts at once. The weighted
 probability of a node is half its own estimate and half the product of its children's, which says how far each depth
-from 0 to DEPTH is to be trusted; a text is scored by the mixture over all depths along its contexts.
+from 0 to DEPTH is to be trusted; a text is scored by the mixture over all depths along its contexts, which is the
+ratio of the root's weighted probabilities with and without the bit to come.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, quoted, slices, staged, tidied
+from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices, staged
 
 #: Bytes of context. A context and the byte behind it are one number of DEPTH + 1 bytes.
 DEPTH = 5
@@ -136,7 +137,7 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
             yield words_out()
             yield numbers_out()
 
-    return docs.mapInArrow(tidied(work), f"word binary, n long, slice long, part int, size int, numbers binary, counts binary, ids array<{ident}>, lengths array<int>, texts binary")
+    return in_arrow(docs, work, f"word binary, n long, slice long, part int, size int, numbers binary, counts binary, ids array<{ident}>, lengths array<int>, texts binary")
 
 
 class Subtrees:
@@ -178,30 +179,28 @@ class Subtrees:
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def log10(self, top: Top) -> np.ndarray:
-        """Log10 probability of each number's last byte: each decision is mixed over all contexts that have met it, else 1/2."""
+        """Log10 probability of each number's last byte: each decision is mixed over all depths; a node not met says 1/2."""
         sums = np.zeros(len(self.numbers[self.depth]))
         for k in range(8):
             of, _, total, ones, up, trust, node, _ = self.decision(k)
-            mixed, rest, one = top.of(node)
+            mixed, rest = top.of(node)
             for d in range(self.top, self.depth + 1):
                 if d > self.top:
-                    u = up[d]
-                    mixed, rest, one = (mixed + rest * trust[d - 1] * estimate)[u], (rest * (1 - trust[d - 1]))[u], one[u]
+                    mixed, rest = mixed[up[d]], rest[up[d]]
                 estimate = (ones[d] + 0.5) / (total[d] + 1)
-                one = np.where(total[d] > 0, mixed + rest * estimate, one)
-            p = np.clip(one, 1e-12, 1 - 1e-12)[of[self.depth]]
+                mixed, rest = mixed + rest * trust[d] * estimate, rest * (1 - trust[d])
+            p = np.clip(mixed, 1e-12, 1 - 1e-12)[of[self.depth]]
             sums += np.log10(np.where(self.numbers[self.depth] >> np.uint64(7 - k) & np.uint64(1), p, 1 - p))
         return sums
 
 
 @dataclass
 class Top:
-    """What nodes of TOP - 1 bytes hand down: the sum mixed so far, the share left to those below, their own probability of a one."""
+    """What nodes of TOP - 1 bytes hand down: the sum mixed so far, and the share left to those below."""
 
     nodes: np.ndarray
     mixed: np.ndarray
     rest: np.ndarray
-    one: np.ndarray
 
     @classmethod
     def build(cls, nodes: np.ndarray, total: np.ndarray, ones: np.ndarray, below: np.ndarray, depth: int) -> Top:
@@ -217,18 +216,16 @@ class Top:
             weighted, trust[d] = weigh(kt_of_counts((n - hits).astype(np.int64), hits.astype(np.int64)), below)
             below = np.bincount(ups[d - 1], weighted, len(levels[d - 1][0])) if d else below
         size = len(levels[0][0])
-        mixed, rest, one = np.zeros(size), np.ones(size), np.full(size, 0.5)
+        mixed, rest = np.zeros(size), np.ones(size)
         for d, (_, n, hits) in enumerate(levels):
             if d:
-                mixed, rest, one = (x[ups[d - 1]] for x in (mixed, rest, one))
-            estimate = (hits + 0.5) / (n + 1)
-            one = np.where(n > 0, mixed + rest * estimate, one)
-            mixed, rest = mixed + rest * trust[d] * estimate, rest * (1 - trust[d])
-        return cls(nodes, mixed, rest, one)
+                mixed, rest = mixed[ups[d - 1]], rest[ups[d - 1]]
+            mixed, rest = mixed + rest * trust[d] * (hits + 0.5) / (n + 1), rest * (1 - trust[d])
+        return cls(nodes, mixed, rest)
 
-    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.nodes, nodes)
-        return self.mixed[at], self.rest[at], self.one[at]
+        return self.mixed[at], self.rest[at]
 
 
 def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
@@ -258,7 +255,7 @@ def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
             node, *sums = tree.for_top()
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, sums)], names=["node", "total", "ones", "below"])
 
-    sums = dealt.mapInArrow(tidied(upward), "node long, total double, ones double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("total", "ones", "below")))
+    sums = in_arrow(dealt, upward, "node long, total double, ones double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("total", "ones", "below")))
     lowest = sums.toArrow().sort_by("node")
     nodes, total, ones, below = (lowest[c].to_numpy() for c in ("node", "total", "ones", "below"))
     sent = spark.sparkContext.broadcast(Top.build(nodes.astype(np.uint64), total, ones, below, min(TOP, depth) - 1))
@@ -270,7 +267,7 @@ def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
                 at = np.searchsorted(tree.numbers[depth], np.cumsum(unpacked(numbers, size, np.uint64), dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([part], pa.int32()), pa.array([values[at].tobytes()], pa.binary())], names=["slice", "part", "scores"])
 
-    return dealt.mapInArrow(tidied(downward), "slice long, part int, scores binary")
+    return in_arrow(dealt, downward, "slice long, part int, scores binary")
 
 
 def text_scores(groups: list[list[bytes]], scores: np.ndarray, depth: int, parts: int) -> list[np.ndarray]:
@@ -326,151 +323,6 @@ def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return weighted, np.exp(np.minimum(own + np.log(0.5) - weighted, 0))
 
 
-class Table:
-    """Numbers looked up in a hash table of two arrays, many at a time."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
-        size = 1 << int(64 - self.shift)
-        self.keys, self.values = np.full(size, ~np.uint64(0)), np.zeros(size, np.float32)
-        at, left = self._at(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[at[left]] == ~np.uint64(0)
-            slot, first = np.unique(at[left[free]], return_index=True)
-            put = left[free][first]
-            self.keys[slot], self.values[slot] = keys[put], values[put]
-            stays = np.ones(len(keys), bool)
-            stays[put] = False
-            left = left[stays[left]]
-            at[left] = np.where(self.keys[at[left]] != ~np.uint64(0), at[left] + 1 & size - 1, at[left])
-
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        """The table whose arrays these are."""
-        out = cls.__new__(cls)
-        out.keys, out.values, out.shift = keys, values, np.uint64(65 - len(keys).bit_length())
-        return out
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, 0 where a key is missing, and whether it is there."""
-        at, size = self._at(keys), len(self.keys)
-        there = self.keys[at] == keys
-        out = np.where(there, self.values[at], np.float32(0))
-        left = np.flatnonzero(~there & (self.keys[at] != ~np.uint64(0)))
-        while len(left):
-            at[left] = at[left] + 1 & size - 1
-            held = self.keys[at[left]]
-            hit = held == keys[left]
-            out[left[hit]], there[left[hit]] = self.values[at[left[hit]]], True
-            left = left[~hit & (held != ~np.uint64(0))]
-        return out, there
-
-
-@dataclass
-class ContextTree:
-    """The whole tree in one process, which tests hold the parts against. Log10 probabilities of bytes in contexts of the tree, and for other bytes those of single decisions."""
-
-    depth: int
-    bytes: Table
-    nodes: Table
-
-    @classmethod
-    def build(cls, numbers: list[np.ndarray], counts: list[np.ndarray]) -> ContextTree:
-        """Arrays are dropped as soon as they have done, so that little more than the tree itself is held."""
-        depth = len(numbers) - 1
-        keys, total, own, estimate = [], [], [], []
-        for g, n in zip(numbers, counts, strict=True):
-            byte = (g & np.uint64(255)).astype(np.int64)
-            parts = []
-            for k in range(8):
-                node = g >> np.uint64(8) << np.uint64(8) | (1 << k | byte >> 8 - k).astype(np.uint64)
-                first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-                bit = n * (byte >> 7 - k & 1)
-                both = (np.add.reduceat(n, first), np.add.reduceat(bit, first)) if len(first) else (n, bit)
-                parts.append((node[first], both[0].astype(float), both[1].astype(float)))
-            node, sums, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(node)
-            node, sums, ones = node[order], sums[order], ones[order]
-            keys.append(node)
-            total.append(sums)
-            own.append(kt_log_probability(sums - ones, ones))
-            estimate.append(((ones + 0.5) / (sums + 1)).astype(np.float32))
-        parents: list[np.ndarray] = [np.zeros(0, np.int32)] * (depth + 1)
-        trust: list[np.ndarray] = [np.zeros(0, np.float32)] * (depth + 1)
-        weighted = own[depth]
-        trust[depth] = np.ones(len(weighted), np.float32)
-        for d in range(depth - 1, -1, -1):
-            up = parents[d + 1] = np.searchsorted(keys[d], keys[d + 1] & np.uint64((1 << 8 * (d + 1)) - 1)).astype(np.int32)
-            size = len(keys[d])
-            below = np.bincount(up, weighted, size) if len(up) else np.zeros(size)
-            kept = np.bincount(up, total[d + 1], size) if len(up) else np.zeros(size)
-            below += (1 - kept / np.maximum(total[d], 1)) * own[d]  # what was cut off counts as a leaf's share
-            weighted = np.logaddexp(own[d], below) + np.log(0.5)
-            trust[d] = np.where(kept > 0, np.exp(np.minimum(own[d] + np.log(0.5) - weighted, 0)), 1.0).astype(np.float32)
-            own[d + 1] = total[d + 1] = None
-        del own, total, weighted
-        byte_values, chances = [], []
-        mixed, rest = np.zeros(len(keys[0])), np.ones(len(keys[0]))
-        for d in range(depth + 1):
-            if d:
-                up = parents[d]
-                mixed, rest = mixed[up] + rest[up] * trust[d - 1][up] * estimate[d - 1][up], rest[up] * (1 - trust[d - 1][up])
-                estimate[d - 1] = trust[d - 1] = parents[d] = None
-            one = np.clip(mixed + rest * estimate[d], 1e-12, 1 - 1e-12)
-            chances.append(one.astype(np.float32))
-            byte = (numbers[d] & np.uint64(255)).astype(np.int64)
-            sums = np.zeros(len(byte))
-            for k in range(8):
-                node = numbers[d] >> np.uint64(8) << np.uint64(8) | (1 << k | byte >> 8 - k).astype(np.uint64)
-                p = one[np.searchsorted(keys[d], node)] if len(node) else np.zeros(0)
-                sums += np.log10(np.where(byte >> 7 - k & 1, p, 1 - p))
-            byte_values.append(sums.astype(np.float32))
-        mark = lambda values: np.concatenate([v | np.uint64(d << 56) for d, v in enumerate(values)])
-        whole = Table(mark(numbers), np.concatenate(byte_values))
-        return cls(depth, whole, Table(mark(keys), np.concatenate(chances)))
-
-    def log10(self, numbers: np.ndarray) -> np.ndarray:
-        """Log10 probability of each number's last byte in the context of its other bytes."""
-        out, left = np.zeros(len(numbers)), np.arange(len(numbers))
-        for d in range(self.depth, -1, -1):
-            g = numbers[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            value, there = self.bytes.find(g | np.uint64(d << 56))
-            out[left[there]] = value[there]
-            g, left = g[~there], left[~there]
-            if not len(left):
-                break
-            _, known = self.nodes.find(g >> np.uint64(8) << np.uint64(8) | np.uint64(1) | np.uint64(d << 56))
-            out[left[known]] = self._by_decisions(numbers[left[known]], d)
-            left = left[~known]
-        out[left] = self._by_decisions(numbers[left], 0)
-        return out
-
-    def _by_decisions(self, numbers: np.ndarray, depth: int) -> np.ndarray:
-        """For bytes that are new in a context: each decision by the deepest context that has met it, else 1/2."""
-        byte, total = (numbers & np.uint64(255)).astype(np.int64), np.zeros(len(numbers))
-        for k in range(8):
-            code, one, left = (1 << k | byte >> 8 - k).astype(np.uint64), np.full(len(numbers), 0.5), np.arange(len(numbers))
-            for d in range(depth, -1, -1):
-                context = numbers[left] >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)
-                value, there = self.nodes.find(context << np.uint64(8) | code[left] | np.uint64(d << 56))
-                one[left[there]] = value[there]
-                left = left[~there]
-                if not len(left):
-                    break
-            total += np.log10(np.where(byte >> 7 - k & 1, one, 1 - one))
-        return total
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Log10 probability of each whole text, its end included."""
-        numbers, real, starts = spread(texts, self.depth)
-        values = np.zeros(len(numbers))
-        values[real] = self.log10(numbers[real])
-        return np.add.reduceat(values, starts) if len(texts) else np.zeros(0)
-
-
 def is_held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds == fold
 
@@ -546,7 +398,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if groups:
             yield from scored_slice(scores, groups)
 
-    scored = met.mapInArrow(tidied(work), f"doc_id {kind}, n_bytes long, n_tokens long, known long, sums double, score double, rare array<binary>, times array<int>")
+    scored = in_arrow(met, work, f"doc_id {kind}, n_bytes long, n_tokens long, known long, sums double, score double, rare array<binary>, times array<int>")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
     joined = rare.join(vocabulary, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum("k").alias("more_known"))

@@ -9,18 +9,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, quoted, slices, tidied
+from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices
 
 WINDOW = 10
 #: Bytes of text in a shard, and words between sampled suffix positions.
-SHARD_BYTES, SAMPLE = 8 << 20, 8
+SHARD_BYTES, SAMPLE = 4 << 20, 8
 #: Benchmark text, in bytes, that is compiled into one block. A larger benchmark is searched in several blocks.
 BLOCK_BYTES = 32 << 20
 
@@ -32,16 +32,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+class Bits:
+    """A plane of bits in 64-bit words, with the number of ones before each word."""
+
+    def __init__(self, plane: np.ndarray):
+        packed = np.packbits(plane, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int64)])
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+
+
 class WaveletTree:
     """A sequence of numbers as planes of bits, the highest first, each stably sorted by the bits above it; ranks by counting."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.planes, self.zeros = bits, [], []
-        rest = symbols
+        rest = symbols.astype(np.int32)
         for level in range(bits - 1, -1, -1):
             plane = (rest >> level & 1).astype(bool)
-            self.planes.append(np.concatenate([[0], np.cumsum(plane, dtype=np.int32)]))
-            self.zeros.append(int(len(plane) - self.planes[-1][-1]))
+            self.planes.append(Bits(plane))
+            self.zeros.append(int(len(plane) - plane.sum()))
             rest = np.concatenate([rest[~plane], rest[plane]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -49,34 +67,42 @@ class WaveletTree:
         begin, end = np.zeros_like(at), at
         for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
             one = (symbol >> (self.bits - 1 - level) & 1).astype(bool)
-            begin = np.where(one, zeros + plane[begin], begin - plane[begin])
-            end = np.where(one, zeros + plane[end], end - plane[end])
+            low, high = plane.ones(begin), plane.ones(end)
+            begin = np.where(one, zeros + low, begin - low)
+            end = np.where(one, zeros + high, end - high)
         return end - begin
 
     def at(self, place: np.ndarray) -> np.ndarray:
         """The symbols at the given places."""
         out = np.zeros_like(place)
         for plane, zeros in zip(self.planes, self.zeros, strict=True):
-            one = plane[place + 1] - plane[place]
+            one = plane.at(place)
             out = out << 1 | one
-            place = np.where(one == 1, zeros + plane[place], place - plane[place])
+            before = plane.ones(place)
+            place = np.where(one == 1, zeros + before, place - before)
         return out
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes of a sequence in order, by doubling the number of symbols that ranks stand for until no two are equal."""
-    n, rank, width = len(symbols), symbols.astype(np.int64), 1
+    """Suffixes of a sequence in order, by doubling the number of symbols that ranks stand for until no two are equal.
+
+    The first ranks stand for as many symbols as fit into 62 bits.
+    """
+    n, bits = len(symbols), int(symbols.max()).bit_length() + 1
+    rank, width = np.zeros(n, np.int64), max(1, 62 // bits)
+    for k in range(width):
+        rank <<= bits
+        rank[: max(0, n - k)] |= symbols[k:] + 1  # 0: behind the end
     while True:
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
+        order = np.argsort(rank)
+        rank = rank[order]
         new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) + 1
+        new[order] = np.concatenate([[0], np.cumsum(rank[1:] != rank[:-1])]) + 1
         if width >= n or new.max() == n:
             return order
-        follow = np.zeros(n, np.int64)
-        if width < n:
-            follow[:-width] = new[width:]
-        rank, width = new * (n + 2) + follow, width * 2
+        rank = new * (n + 2)
+        rank[: n - width] += new[width:]
+        width *= 2
 
 
 class FMIndex:
@@ -92,7 +118,7 @@ class FMIndex:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 2))]).astype(np.int64)
         self.size = len(text)
         self.sampled = order % SAMPLE == 0
-        self.before = np.concatenate([[0], np.cumsum(self.sampled, dtype=np.int64)])
+        self.before = np.concatenate([[0], np.cumsum(self.sampled, dtype=np.int32)])
         self.samples = order[self.sampled]
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,26 +201,35 @@ class Phrases:
         return found, place[index.locate(rows)]
 
 
+def numbers_of(texts: list[bytes], blocks: list[Phrases]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of words of each text, and for each block the texts' words as its numbers, end to end, with a gap behind each text."""
+    sizes = np.zeros(len(texts), np.int64)
+    found: list[list[np.ndarray]] = [[] for _ in blocks]
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        sizes[i] = len(words)
+        for own, block in zip(found, blocks, strict=True):
+            own.append(np.fromiter(chain(map(block.numbers.get, words, repeat(0)), (0,)), np.int32, len(words) + 1))
+    return sizes, [np.concatenate(own) if own else np.zeros(0, np.int32) for own in found]
+
+
 def shard_hits(texts: list[bytes], blocks: list[Phrases]) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
     """For each text of a shard: number of words, merged spans of hit words [begin, end), and items with occurring windows."""
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)  # a gap behind each text
+    sizes, numbers = numbers_of(texts, blocks)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
     marks = np.zeros(starts[-1] + 1, np.int32)
     items: list[set[str]] = [set() for _ in texts]
-    for block in blocks:
-        get = block.numbers.get
-        ids = np.zeros(starts[-1], np.int64)
-        for w, s in zip(words, starts.tolist(), strict=False):
-            ids[s : s + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
+    for block, ids in zip(blocks, numbers, strict=True):
         window, at = block.occurrences(ids)
         np.add.at(marks, at, 1)
         np.add.at(marks, at + block.lengths[window], -1)
         owner = np.searchsorted(starts, at, side="right") - 1
+        seen = np.unique(owner * len(block.lengths) + window) if len(window) else np.zeros(0, np.int64)
+        owner, window = np.divmod(seen, max(1, len(block.lengths)))
         counts = block.item_at[window + 1] - block.item_at[window]
         rows = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]) - block.item_at[window], counts)
-        pairs = np.unique(np.stack([np.repeat(owner, counts), block.items[rows]], 1), axis=0)
-        for doc, item in pairs.tolist():
+        pairs = np.unique(np.repeat(owner, counts) * max(1, len(block.names)) + block.items[rows])
+        for doc, item in zip(*np.divmod(pairs, max(1, len(block.names))), strict=True):
             items[doc].add(block.names[item])
     hit = np.cumsum(marks[:-1]) > 0
     spans = []
@@ -226,7 +261,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     words of an item; an item of fewer words, but not none, is one window. Words inside any occurrence are hit; spans
     are those words, merged, counted from 0. Null texts have no words and no hits; items without words have no
     window; a null item_id still hits words but is not listed. Equal ids of different items count as one item. Each
-    shard (rows of about 8 MB of text, a longer text alone) gets its own index in the task that reads it: nothing is
+    shard (rows of about 4 MB of text, a longer text alone) gets its own index in the task that reads it: nothing is
     shuffled, and a lost task is read and indexed again.
     """
     spark = docs.sparkSession
@@ -246,7 +281,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(tidied(work), f"{head}, {HITS}")
+    return in_arrow(rows, work, f"{head}, {HITS}")
 
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -302,4 +337,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                     batch = batch.filter(pa.array([i not in gone for i in range(batch.num_rows)]))
                 yield batch
 
-    return docs.mapInArrow(tidied(work), docs.schema)
+    return in_arrow(docs, work, docs.schema)

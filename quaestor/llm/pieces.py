@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, quoted, slices, tidied
+from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices
 
 SPACE = "▁"
 #: Chunks and neighbouring pieces that a worker remembers.
-MEMORY = 300_000
+MEMORY = 100_000
 #: Fixed values of the model file's format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -275,4 +275,4 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
 
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(tidied(work), f"{head}, n_chars long, n_pieces long, " + "ids array<int>, " * ids + "ids_crc32 long, decodes_to_text boolean")
+    return in_arrow(rows, work, f"{head}, n_chars long, n_pieces long, " + "ids array<int>, " * ids + "ids_crc32 long, decodes_to_text boolean")

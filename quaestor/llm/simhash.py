@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.tables import bytes_of, numbered, quoted, renamed_back, slices, staged, tidied, union_all, with_locator, without
+from quaestor.llm.tables import bytes_of, in_arrow, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
 
 SEED = 42
 #: Blocks that a fingerprint is cut into. Two that differ in 2 bits or fewer agree in all but two of them.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     rows = docs.select(*map(quoted, keep), quoted(text))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(tidied(work), f"{head}, fp long")
+    return in_arrow(rows, work, f"{head}, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def links(distinct: DataFrame, budget: int = 2, hot: int = HOT) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     dealt = units.select(F.col("turn").cast("int"), F.col("unit").cast("int"), "value", "fp", "node").repartition("turn", "node", "unit").drop("node")
-    return dealt.mapInArrow(tidied(work), "a long, b long").distinct()
+    return in_arrow(dealt, work, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), words: int = 3, hot: int = HOT) -> DataFrame:
@@ -272,7 +272,7 @@ def similar_links(distinct: DataFrame) -> DataFrame:
                 texts.append(text)
         yield compared(ids, texts)
 
-    return met.repartition("low").sortWithinPartitions("low").mapInArrow(tidied(work), "a long, b long")
+    return in_arrow(met.repartition("low").sortWithinPartitions("low"), work, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3) -> DataFrame:
@@ -299,7 +299,7 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
 
     source = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep)
-    made = source.mapInArrow(tidied(work), f"{head}, fp long, set binary, bands array<long>, packed binary")
+    made = in_arrow(source, work, f"{head}, fp long, set binary, bands array<long>, packed binary")
     rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("low")), "by-fp")
     by_set = staged(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("low")), "by-set")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,10 +23,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is taken and set.
+    Only where it is unset and all runs in one process, as in tests, a temporary folder is taken and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quaestor-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -106,6 +109,21 @@ def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+#: Spark's setting for the bytes of a batch that goes to Python, its default, and what is set where that still holds.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def in_arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow(work), with memory given back behind the last batch.
+
+    Whole texts go to Python in batches of about BATCH_BYTES, unless the session names a size of its own: two tasks of
+    an executor otherwise hold 10,000 texts each, in Spark's buffers and in Python.
+    """
+    if rows.sparkSession.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        rows.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return rows.mapInArrow(tidied(work), schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about `most` bytes; a longer text is a run of its own."""
     if not batch.num_rows:

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from quaestor.llm.tables import bytes_of, quoted, tidied
+from quaestor.llm.tables import bytes_of, in_arrow, quoted
 
 #: Pre-tokens whose number of tokens a worker remembers.
 MEMORY = 300_000
@@ -112,4 +112,4 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, text: str = "text", keep:
 
     rows = docs.select(*map(quoted, keep), quoted(text))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(tidied(work), f"{head}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(rows, work, f"{head}, n_bytes long, n_tokens long, over_limit boolean")

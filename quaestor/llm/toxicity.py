@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.fmindex import words_of
-from quaestor.llm.tables import bytes_of, quoted, slices, tidied
+from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices
 
 BUCKETS = 1 << 20
 #: Bytes of the word beginnings that are terms beside the whole word; inflected forms share them.
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary())], names=["doc_id", "label", "terms", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(tidied(work), f"doc_id {kind}, label int, terms binary, counts binary").toArrow()
+    found = in_arrow(texts, work, f"doc_id {kind}, label int, terms binary, counts binary").toArrow()
     order = np.argsort(np.array([xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"].to_pylist()], np.uint64), kind="stable")[:rows]
     view = lambda name, i, kind: np.frombuffer(found[name][int(i)].as_buffer(), kind)  # noqa: E731  no copy
     bags = [(view("terms", i, np.int32), view("counts", i, np.uint8)) for i in order]
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep:
 
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(tidied(work), f"{head}, score double")
+    return in_arrow(rows, work, f"{head}, score double")
 
 
 def keep_harmless(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
@@ -218,4 +218,4 @@ def keep_harmless(docs: DataFrame, machine: Machine, text: str = "text", limit:
         for batch in (part for whole in batches for part in slices(whole, text)):
             yield batch.filter(pa.array(m.score(bytes_of(batch.column(at)).to_pylist(), terms) < limit))
 
-    return docs.mapInArrow(tidied(work), docs.schema)
+    return in_arrow(docs, work, docs.schema)

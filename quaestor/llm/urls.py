@@ -14,7 +14,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm.tables import bytes_of, quoted
+from quaestor.llm.tables import bytes_of, in_arrow, quoted
 
 #: Rules that one index takes; 12 bytes and the rule's text each on an executor's disk, mapped and not loaded.
 MAX_RULES = 50_000_000
@@ -142,4 +142,4 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], url: str = "url", keep:
 
     rows = pages.select(*map(quoted, keep), quoted(url))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(work, f"{head}, {SCHEMA}")
+    return in_arrow(rows, work, f"{head}, {SCHEMA}")

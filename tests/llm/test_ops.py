@@ -138,23 +138,78 @@ def test_fold_events(spark):
 # 3: context-tree weighting
 
 
-def test_ctw_probabilities_sum_to_one():
-    texts = [b"abracadabra", b"abrabra cad", b"", "é門".encode()]
-    numbers, real, _ = ctw.spread(texts, 3)
-    levels = [ctw.merged(numbers[real] & np.uint64((1 << 8 * (d + 1)) - 1), np.ones(real.sum(), np.int64)) for d in range(4)]
-    tree = ctw.ContextTree.build([k for k, _ in levels], [c for _, c in levels])
-    for context in (b"abr", b"xyz", b"bra", b"\xfe\xfea", b"zab"):
-        base = int.from_bytes(context, "big") << 8
-        total = (10.0 ** tree.log10(np.array([base | b for b in range(256)], np.uint64))).sum()
-        assert total == pytest.approx(1, abs=1e-4)
-    known, new = tree.score([b"abracadabra", b"qqqqqqqqqqq"])
-    assert known > new
-
-
-def test_kt_weights_equal_exact_mixture():
-    """Depth 1 on one bit pattern: the root's mixture of its own and its children's estimate, worked out by hand."""
-    assert ctw.kt_log_probability(np.array([2.0]), np.array([1.0]))[0] == pytest.approx(math.log(0.5 * 0.75 * 0.5 / 3))
-    assert ctw.kt_log_probability(np.array([0.0]), np.array([0.0]))[0] == pytest.approx(0, abs=1e-9)
+class BruteTree:
+    """Context-tree weighting by its definition: P(bit) is P_w(training and bit) / P_w(training) at the root of a decision."""
+
+    def __init__(self, texts: list[bytes], depth: int):
+        self.depth, self.counts = depth, defaultdict(lambda: [0, 0])
+        for t in texts:
+            for context, byte in self.steps(t):
+                for k in range(8):
+                    for d in range(depth + 1):
+                        self.counts[context[depth - d :], byte >> 8 - k | 1 << k][byte >> 7 - k & 1] += 1
+        self.below = defaultdict(set)
+        for context, decision in self.counts:
+            if context:
+                self.below[context[1:], decision].add(context[0])
+        self.known: dict = {}
+
+    def steps(self, text: bytes):
+        data = bytes([ctw.BEFORE]) * self.depth + text + bytes([ctw.END])
+        return [(data[i - self.depth : i], data[i]) for i in range(self.depth, len(data))]
+
+    @staticmethod
+    def kt(zeros: int, ones: int) -> float:
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.log(math.pi) - math.lgamma(zeros + ones + 1)
+
+    def weighted(self, context: bytes, decision: int) -> float:
+        if (context, decision) not in self.known:
+            own = self.kt(*self.counts.get((context, decision), (0, 0)))
+            if len(context) < self.depth:
+                below = sum(self.weighted(bytes([c]) + context, decision) for c in self.below.get((context, decision), ()))
+                own = float(np.logaddexp(own, below)) + math.log(0.5)
+            self.known[context, decision] = own
+        return self.known[context, decision]
+
+    def with_bit(self, context: bytes, decision: int, bit: int, d: int) -> float:
+        """The weighted probability of the node of d bytes with one more bit in this context."""
+        node = context[self.depth - d :]
+        zeros, ones = self.counts.get((node, decision), (0, 0))
+        own = self.kt(zeros + (bit == 0), ones + (bit == 1))
+        if d == self.depth:
+            return own
+        child = context[self.depth - d - 1]
+        others = sum(self.weighted(bytes([c]) + node, decision) for c in self.below.get((node, decision), ()) if c != child)
+        return float(np.logaddexp(own, others + self.with_bit(context, decision, bit, d + 1))) + math.log(0.5)
+
+    def log10(self, context: bytes, byte: int) -> float:
+        out = 0.0
+        for k in range(8):
+            decision = byte >> 8 - k | 1 << k
+            out += self.with_bit(context, decision, byte >> 7 - k & 1, 0) - self.weighted(b"", decision)
+        return out / math.log(10)
+
+    def score(self, text: bytes) -> float:
+        return sum(self.log10(*s) for s in self.steps(text))
+
+
+@pytest.mark.parametrize("depth", [2, 5])
+def test_ctw_equals_exact_weighting(spark, depth):
+    """Random small texts, among them held-out ones with contexts, bytes and decisions that training has not met."""
+    rng = random.Random(depth)
+    rows = [(i, "".join(rng.choices("ab é門", k=rng.randint(0, 30)))) for i in range(40)] + [(i, "".join(rng.choices("abcq\x00ß", k=8))) for i in range(40, 60)] + [(60, None), (61, "")]
+    tree = BruteTree([(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], depth)
+    out = {r.doc_id: r for r in ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, entries=1).collect()}
+    assert len(out) == len(rows) and sum(r.held_out for r in out.values()) > 3
+    for i, t in rows:
+        assert out[i].score == pytest.approx(tree.score((t or "").encode()), rel=1e-6)
+    assert sum(10 ** tree.log10(b"\xfe\xfe\xfeab"[-depth:], b) for b in range(256)) == pytest.approx(1)
+
+
+def test_kt_of_counts_by_definition():
+    counts = np.array([[0, 0], [2, 1], [7, 0], [40_000, 3]])
+    assert ctw.kt_of_counts(*counts.T) == pytest.approx([BruteTree.kt(*c) for c in counts.tolist()], rel=1e-9, abs=1e-12)
+    assert math.exp(BruteTree.kt(2, 1)) == pytest.approx(0.5 * 0.75 * 0.5 / 3)
 
 
 def test_ctw_query_base_by_brute_force(spark, duck):
@@ -181,20 +236,6 @@ def test_ctw_odd_rows(odd, empty):
     assert ctw.score_documents(odd, entries=50).count() == len(ODD)
 
 
-def test_ctw_scores_by_the_whole_tree(spark, duck):
-    """However small the parts are, no context is left out: scores equal those of the whole tree in one process."""
-    rows = duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 60").fetchall() + [(-1, "zß門 new \x00 " * 3), (-2, None)]
-    texts = [(t or "").encode() for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
-    numbers, real, _ = ctw.spread(texts)
-    levels = [ctw.merged(numbers[real] & np.uint64((1 << 8 * (d + 1)) - 1), np.ones(real.sum(), np.int64)) for d in range(ctw.DEPTH + 1)]
-    tree = ctw.ContextTree.build([k for k, _ in levels], [c for _, c in levels])
-    expected = dict(zip([d for d, _ in rows], tree.score([(t or "").encode() for _, t in rows]), strict=True))
-    out = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), entries=50).collect()
-    assert len(out) == len(rows) and any(r.held_out for r in out)
-    for r in out:
-        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-4)
-
-
 # 4: decontamination
 
 
