@@ -7,14 +7,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.tables import in_arrow, quoted
 
 START, END = "<|im_start|>", "<|im_end|>"
 EVENTS = ("message", "delta", "edit", "regenerate")
-SCHEMA = "conv_id long, n_turns long, formatted string, mask array<struct<begin: long, end: long>>"
+SCHEMA = "n_turns long, formatted string, mask array<struct<begin: long, end: long>>"
 
 
 def escape(text: str) -> str:
@@ -45,14 +45,17 @@ class Fold:
     """
 
     messages: list[list] = field(default_factory=list)  # [key, role, parts]
+    places: dict[int | None, list[int]] = field(default_factory=dict)  # of each key's messages, the last one last
 
     def find(self, target: int | None) -> int | None:
         if target is None:
             return len(self.messages) - 1 if self.messages else None
-        return next((i for i in range(len(self.messages) - 1, -1, -1) if self.messages[i][0] == target), None)
+        held = self.places.get(target)
+        return held[-1] if held else None
 
     def take(self, event: str, seq: int | None, role: str, text: str, target: int | None) -> None:
         if event == "message":
+            self.places.setdefault(seq, []).append(len(self.messages))
             self.messages.append([seq, role, [text]])
         elif (i := self.find(target)) is not None:
             if event == "delta":
@@ -60,7 +63,8 @@ class Fold:
             elif event == "edit":
                 self.messages[i][2] = [text]
             elif event == "regenerate":
-                del self.messages[i + 1 :]
+                while len(self.messages) > i + 1:
+                    self.places[self.messages.pop()[0]].pop()
                 self.messages[i][2] = [text]
 
     def rendered(self, learn: str = "assistant") -> tuple[int, str, list[tuple[int, int]]]:
@@ -95,24 +99,27 @@ def conversations(events: DataFrame, conv_id: str = "conv_id", seq: str = "seq",
     Events are dealt by conversation, sorted by sequence (then event, role and text, so ties and repeated rows have
     one order) and folded as they stream past; a task holds one conversation at a time, which is one row of the result.
     Null texts and roles are empty, a null event is a message, null sequences come first and a null conv_id is a
-    conversation of its own. An empty log gives no rows.
+    conversation of its own. An empty log gives no rows; conv_id keeps its type, and other columns are not read, whatever
+    their names. A conversation is one value of the result, so its events meet in one task and its text has to fit there.
     """
     c = lambda name: F.col(quoted(name))
     blank = lambda name: F.coalesce(c(name).cast("string"), F.lit(""))
-    log = events.select(c(conv_id).cast("long").alias("conv_id"), c(seq).cast("long").alias("seq"), F.coalesce(c(event), F.lit("message")).alias("event"), blank(role).alias("role"), blank(text).alias("text"), c(target).cast("long").alias("target"))
+    log = events.select(c(conv_id).alias("conv_id"), c(seq).cast("long").alias("seq"), F.coalesce(c(event), F.lit("message")).alias("event"), blank(role).alias("role"), blank(text).alias("text"), c(target).cast("long").alias("target"))
     ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.array_position(F.array(*map(F.lit, EVENTS)), F.col("event")), "role", "text", "target")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "formatted", "mask"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+        ident = pa.string()
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             spans = [[{"begin": a, "end": b} for a, b in m] for m in columns[3]]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([*columns[:3], spans], kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], ident), *(pa.array(v, k) for v, k in zip([*columns[1:3], spans], kinds, strict=True))], names=names)
 
         state, now, begun, out, size = Fold(), None, False, [], 0
         for batch in batches:
+            ident = batch.column(0).type
             for conv, *event in zip(*(x.to_pylist() for x in (batch.column(0), batch.column(2), batch.column(1), batch.column(3), batch.column(4), batch.column(5))), strict=True):
                 if begun and conv != now:
                     out.append((now, *state.rendered()))
@@ -125,9 +132,10 @@ def conversations(events: DataFrame, conv_id: str = "conv_id", seq: str = "seq",
                 state.take(*event)
         if begun:
             out.append((now, *state.rendered()))
-        yield batch_of(out)
+        if out:
+            yield batch_of(out)
 
-    return in_arrow(ordered, work, SCHEMA)
+    return in_arrow(ordered, work, f"conv_id {log.schema['conv_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -143,16 +151,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 learnt = "".join(unescape(text[m["begin"] : m["end"]]) for m in mask)
                 digest = sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
                 rows.append((conv, len(turns), digest, len(learnt), sha256(learnt.encode()).hexdigest(), len(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            kinds = (batch.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return in_arrow(formatted.select("conv_id", "formatted", "mask"), work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(formatted.select("conv_id", "formatted", "mask"), work, f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def sql_escape(text: str) -> str:
     return rf"replace(replace({text}, '\', '\\'), '<|', '<\|')"
-
-
-def is_assistant(role: Column) -> Column:
-    return role == "assistant"

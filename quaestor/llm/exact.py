@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.tables import maybe_in, new_path, numbered, quoted, renamed_back, staged, with_locator, without
 
+PARTITIONS = "spark.sql.shuffle.partitions"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a query that has ended are unloaded by then
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store reserves some MB of disk
@@ -32,20 +33,13 @@ def run_state(spark: SparkSession, log_path: str, schema, state_path: str) -> Da
     One row per digest: digest, keep (the survivor's id and locator) and group_size. The state lies at `state_path`
     in the shared folder and never expires; a second call, after the log has grown, takes only the new files.
     """
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(schema).parquet(log_path)
-        groups = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("group_size"))
-        query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    own = spark.newSession()  # the settings hold for this stream alone
+    for k, v in {PARTITIONS: spark.conf.get(PARTITIONS), **STATE}.items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(schema).parquet(log_path)
+    groups = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("group_size"))
+    query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path).trigger(availableNow=True).start()
+    query.awaitTermination()
     held = spark.read.format("statestore").load(state_path)
     keep, count = held.schema["value"].dataType.names[:2]
     return held.select("key.digest", F.col("value")[keep].alias("keep"), F.col("value")[count].alias("group_size"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices
+from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
 
 WINDOW = 10
 #: Bytes of text in a shard, and words between sampled suffix positions.
@@ -262,8 +262,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     are those words, merged, counted from 0. Null texts have no words and no hits; items without words have no
     window; a null item_id still hits words but is not listed. Equal ids of different items count as one item. Each
     shard (rows of about 4 MB of text, a longer text alone) gets its own index in the task that reads it: nothing is
-    shuffled, and a lost task is read and indexed again.
+    shuffled, and a lost task is read and indexed again. Rows are searched each for itself, so repeated rows and equal
+    ids are alike; an empty table gives no rows. A `keep` column may not have the name of a result.
     """
+    no_clash(keep, "n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(b) for b in compiled(benchmark, item_id, item_text, window, block_bytes)]
 
@@ -302,7 +304,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """docs, all columns, with hit spans cut out of the texts and `length`, where there is such a column, put right.
 
     A cut text is searched again until nothing is hit, as words that a cut brings together may form a window anew. A
-    document of which no word is left goes; one without hits stays as it is.
+    document of which no word is left goes; one without hits stays as it is, also one that is null, empty or without
+    words. Texts of any length are cut whole, repeated rows alike. Other columns, whatever their names, stay; an empty
+    table, or an empty benchmark, changes nothing.
     """
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(b) for b in compiled(benchmark, window=window, block_bytes=block_bytes)]

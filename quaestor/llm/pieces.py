@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices
+from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
 
 SPACE = "▁"
 #: Chunks and neighbouring pieces that a worker remembers.
@@ -251,9 +251,11 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
     """Every row's `keep` columns with n_chars, n_pieces, ids (where asked for), ids_crc32, and decodes_to_text.
 
     ids_crc32 is the CRC-32 of the ids as little-endian 32-bit numbers; decodes_to_text says that decoding the ids gave
-    the whole text again, code point by code point. A null text counts as empty and has no pieces. The model, of
-    fixed size, is read once and sent to the workers; no row depends on another.
+    the whole text again, code point by code point. A null text counts as empty and has no pieces. A text of any length
+    is encoded whole, each row for itself, so repeated rows and equal ids are alike. An empty table gives no rows. A
+    `keep` column may not have the name of a result. The model, of fixed size, is read once and sent to the workers.
     """
+    no_clash(keep, "n_chars", "n_pieces", "ids", "ids_crc32", "decodes_to_text")
     sent = docs.sparkSession.sparkContext.broadcast(Definition.read(model_file))
     digest = sha256(Path(model_file).read_bytes()).hexdigest()
 

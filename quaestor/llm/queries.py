@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import sql_lower, sql_values, table
+from quaestor.llm.tables import new_path, sql_lower, sql_values, table
 
 TOKEN_LIMIT = 2048
 
@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.sharding import shard_documents
 
-    rows, _ = shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    rows, _ = shard_documents(table(spark, sf_dir, "documents"), shards=16, map_path=new_path(spark, "slot-map"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
@@ -90,7 +90,7 @@ def op4_sql() -> str:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaestor.llm.pieces import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +150,6 @@ def op10_sql() -> str:
       ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC LIMIT 1) AS best ON true"""
 
 
-def op1_sql() -> None:
-    """None: the greedy edit of the map is a loop; a test holds sizes, places and digests against brute force."""
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,

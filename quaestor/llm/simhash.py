@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.tables import bytes_of, in_arrow, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
+from quaestor.llm.tables import bytes_of, in_arrow, no_clash, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
 
 SEED = 42
 #: Blocks that a fingerprint is cut into. Two that differ in 2 bits or fewer agree in all but two of them.
@@ -177,7 +177,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     Links join fingerprints 2 or fewer bits apart, so also rows with equal ones; texts without words, null ones too,
     have fingerprint zero and link like any other. Null ids take part but are never a component's id, unless it has
     no other. Copies are counted once: only distinct fingerprints are joined, and they stay on the executors.
+    Texts of any length are taken whole. An empty table gives no rows. `keep` may not name doc_id, fp or component_id.
     """
+    no_clash(keep, "doc_id", "fp", "component_id")
     rows = staged(fingerprints(docs.withColumnRenamed(doc_id, "doc_id"), text, ("doc_id", *keep), words), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "distinct-fp")
     found = components(links(distinct.select("fp"), hot=hot))

@@ -73,6 +73,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def no_clash(keep: tuple[str, ...], *results: str) -> None:
+    """Raises where a kept column would stand beside a result of its name."""
+    if both := sorted({c.lower() for c in keep} & set(results)):
+        raise ValueError(f"kept columns have the names of results: {', '.join(both)}")
+
+
 def bytes_of(column: pa.Array) -> pa.Array:
     """A string column's UTF-8 bytes with nulls as empty."""
     if column.null_count:

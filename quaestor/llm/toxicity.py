@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.fmindex import words_of
-from quaestor.llm.tables import bytes_of, in_arrow, quoted, slices
+from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
 
 BUCKETS = 1 << 20
 #: Bytes of the word beginnings that are terms beside the whole word; inflected forms share them.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Labelled rows that the model is fitted on at most: those whose ids hash lowest. Scores cover all rows.
 MAX_TRAINING = 12_000
-FACTORS = 4
+FACTORS = 8
+#: Terms, the most frequent of those that at most half of the training rows hold, whose pairs are searched for signals that
+#: no sum of weights can show; rows that a pair needs, how many standard errors its residuals must add up to, and pairs taken.
+PAIR_TERMS, PAIR_ROWS, PAIR_ERRORS, PAIRS = 1024, 10, 8.0, 256
 #: Words whose terms a worker remembers.
 MEMORY = 150_000
 
@@ -54,9 +57,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def amount(counts: np.ndarray) -> np.ndarray:
+    """What a term weighs that so many words have: 1 for one word, and one more each time the number doubles or so."""
+    return np.log2(1.0 + counts)
+
+
 @dataclass
 class Machine:
-    """score = sigmoid(bias + sum w_i x_i + sum over pairs of <v_i, v_j> x_i x_j), x: number of words with the term."""
+    """score = sigmoid(bias + sum w_i x_i + sum over pairs of <v_i, v_j> x_i x_j), x: amount() of the words with the term."""
 
     terms: dict[int, int]
     bias: float
@@ -81,7 +89,7 @@ class Machine:
             return np.full(len(texts), sigmoid(np.array(self.bias)))
         width = max(1, len(self.weights))
         cells, values = np.unique(np.array(rows) * width + np.array(columns), return_counts=True)
-        return sigmoid(self.raw(cells // width, cells % width, np.minimum(values, 20).astype(float), len(texts)))
+        return sigmoid(self.raw(cells // width, cells % width, amount(values), len(texts)))
 
 
 #: A row's distinct terms, and for each how many of its words have it.
@@ -90,11 +98,11 @@ Bag = tuple[np.ndarray, np.ndarray]
 
 def bag(found: list[int]) -> Bag:
     terms, counts = np.unique(np.array(found, np.int32), return_counts=True)
-    return terms, np.minimum(counts, 20).astype(np.uint8)
+    return terms, counts.astype(np.int32)
 
 
-def select_terms(docs: list[Bag], labels: np.ndarray, passes: int = 4, l1: float = 8.0, rate: float = 0.3) -> np.ndarray:
-    """Buckets that a sparse logistic regression (FTRL-proximal, McMahan et al. 2013) keeps, trained in small batches."""
+def select_terms(docs: list[Bag], labels: np.ndarray, passes: int = 4, l1: float = 8.0, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that a sparse logistic regression (FTRL-proximal, McMahan et al. 2013) keeps, trained in small batches, and what it leaves unexplained of each row."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     order = np.random.default_rng(7).permutation(len(docs))
@@ -112,13 +120,38 @@ def select_terms(docs: list[Bag], labels: np.ndarray, passes: int = 4, l1: float
             step = (np.sqrt(n[used] + g * g) - np.sqrt(n[used])) / rate
             z[used] += g - step * w
             n[used] += g * g
-    return np.flatnonzero(np.abs(z) > l1)
+    rest = np.array([y - sigmoid(bias + weigh(terms).sum()) for (terms, _), y in zip(docs, labels, strict=True)])
+    return np.flatnonzero(np.abs(z) > l1), rest - rest.mean()
 
 
-def fit(docs: list[Bag], labels: np.ndarray, factors: int = FACTORS, passes: int = 60) -> Machine:
-    """A machine over the selected terms. Rare marks weigh in fully as rows of either label count the same in total.
-
-    Counts above 20 weigh as 20. Without both labels there is nothing to learn: the
+def paired_terms(docs: list[Bag], rest: np.ndarray) -> np.ndarray:
+    """Buckets of pairs of terms in whose common rows the residuals add up to much: signals of a pair that its terms alone don't carry."""
+    met = np.bincount(np.concatenate([t for t, _ in docs]), minlength=BUCKETS)
+    common = np.flatnonzero((met >= PAIR_ROWS) & (2 * met <= len(docs)))
+    common = common[np.argsort(-met[common], kind="stable")[:PAIR_TERMS]]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[common] = np.arange(len(common))
+    sums, squares, both = (np.zeros((len(common), len(common)), np.float32) for _ in range(3))
+    for at in range(0, len(docs), 1000):
+        held = np.zeros((len(docs[at : at + 1000]), len(common)), np.float32)
+        for i, (terms, _) in enumerate(docs[at : at + 1000]):
+            own = place[terms]
+            held[i, own[own >= 0]] = 1
+        r = rest[at : at + 1000, None].astype(np.float32)
+        sums += (held * r).T @ held
+        squares += (held * r * r).T @ held
+        both += held.T @ held
+    alone = both == np.minimum(*np.meshgrid(both.diagonal(), both.diagonal()))  # a term that is never without the other one is no pair
+    errors = np.where((both >= PAIR_ROWS) & ~alone, np.abs(sums) / np.sqrt(squares + 1e-6), 0)
+    pairs = np.flatnonzero(np.triu(errors, 1) >= PAIR_ERRORS)
+    pairs = pairs[np.argsort(-errors.ravel()[pairs], kind="stable")[:PAIRS]]
+    return common[np.unique(np.concatenate(np.divmod(pairs, max(1, len(common)))))]
+
+
+def fit(docs: list[Bag], labels: np.ndarray, factors: int = FACTORS, passes: int = 200, rate: float = 0.03) -> Machine:
+    """A machine over the selected terms, fitted by Adam (Kingma and Ba, 2015). Rows of either label count the same in total.
+
+    Terms are those that carry weight alone and those that do in pairs. Without both labels there is nothing to learn: the
     score is then the share of label 1, smoothed.
     """
     labels = labels.astype(float)
@@ -126,40 +159,40 @@ def fit(docs: list[Bag], labels: np.ndarray, factors: int = FACTORS, passes: int
     plain = Machine({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
     if len(set(labels.tolist())) < 2:
         return plain
-    kept = select_terms(docs, labels)
+    kept, rest = select_terms(docs, labels)
+    kept = np.union1d(kept, paired_terms(docs, rest))
     if not len(kept):
         return plain
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    width = len(kept)
-    rows, columns, values = [], [], []
-    for i, (terms, counts) in enumerate(docs):
-        at = place[terms]
-        own = at >= 0
-        rows.append(np.full(int(own.sum()), i))
-        columns.append(at[own])
-        values.append(counts[own].astype(float))
-    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-    n = len(docs)
-    rng = np.random.default_rng(11)
-    m = Machine({int(t): i for i, t in enumerate(kept)}, plain.bias, np.zeros(width), rng.normal(0, 0.01, (width, factors)))
+    width, n = len(kept), len(docs)
+    parts = []  # the rows' amounts, 1,000 rows at a time
+    for begin in range(0, n, 1000):
+        held = np.zeros((len(docs[begin : begin + 1000]), width), np.float32)
+        for i, (terms, counts) in enumerate(docs[begin : begin + 1000]):
+            at = place[terms]
+            held[i, at[at >= 0]] = amount(counts[at >= 0])
+        parts.append((begin, held))
+    m = Machine({int(t): i for i, t in enumerate(kept)}, plain.bias, np.zeros(width), np.random.default_rng(11).normal(0, 0.1, (width, factors)))
     balance = np.where(labels == 1, min(10.0, n / (2 * labels.sum())), n / (2 * (n - labels.sum())))
     balance /= balance.mean()
-    seen_w, seen_v, seen_b = np.full(width, 1e-6), np.full((width, factors), 1e-6), 1e-6
-    for _ in range(passes):
-        error = balance * (sigmoid(m.raw(rows, columns, values, n)) - labels)
-        at = error[rows] * values
-        g_w = np.bincount(columns, at, width) / n + 1e-5 * m.weights
-        g_v = np.empty_like(m.factors)
-        for f in range(factors):
-            v = values * m.factors[columns, f]
-            total = np.bincount(rows, v, n)
-            g_v[:, f] = np.bincount(columns, at * (total[rows] - v), width) / n + 1e-4 * m.factors[:, f]
-        g_b = error.mean()
-        seen_w, seen_v, seen_b = seen_w + g_w**2, seen_v + g_v**2, seen_b + g_b**2
-        m.weights -= 0.5 * g_w / np.sqrt(seen_w)
-        m.factors -= 0.02 * g_v / np.sqrt(seen_v)
-        m.bias -= 0.2 * g_b / np.sqrt(seen_b)
+    state = [np.concatenate([[m.bias], m.weights, m.factors.ravel()])]
+    state += [np.zeros_like(state[0]), np.zeros_like(state[0])]
+    for step in range(1, passes + 1):
+        weights, v = m.weights.astype(np.float32), m.factors.astype(np.float32)
+        g_b, g_w, g_v = 0.0, 1e-5 * n * m.weights, 1e-4 * n * m.factors
+        for begin, x in parts:
+            total, squares = x @ v, x * x
+            raw = m.bias + x @ weights + ((total * total).sum(1) - squares @ (v * v).sum(1)) / 2
+            error = (balance[begin : begin + 1000] * (sigmoid(raw) - labels[begin : begin + 1000])).astype(np.float32)
+            g_b += error.sum()
+            g_w += x.T @ error
+            g_v += x.T @ (error[:, None] * total) - v * (squares.T @ error)[:, None]
+        g = np.concatenate([[g_b], g_w, g_v.ravel()]) / n
+        state[1] = 0.9 * state[1] + 0.1 * g
+        state[2] = 0.999 * state[2] + 0.001 * g * g
+        state[0] = state[0] - rate * (state[1] / (1 - 0.9**step)) / (np.sqrt(state[2] / (1 - 0.999**step)) + 1e-8)
+        m.bias, m.weights, m.factors = float(state[0][0]), state[0][1 : width + 1], state[0][width + 1 :].reshape(width, factors)
     return m
 
 
@@ -187,12 +220,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     found = in_arrow(texts, work, f"doc_id {kind}, label int, terms binary, counts binary").toArrow()
     order = np.argsort(np.array([xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"].to_pylist()], np.uint64), kind="stable")[:rows]
     view = lambda name, i, kind: np.frombuffer(found[name][int(i)].as_buffer(), kind)  # noqa: E731  no copy
-    bags = [(view("terms", i, np.int32), view("counts", i, np.uint8)) for i in order]
+    bags = [(view("terms", i, np.int32), view("counts", i, np.int32)) for i in order]
     return fit(bags, np.array([found["label"][int(i)].as_py() for i in order], np.int64))
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row's `keep` columns and `score`, from 0 to 1, of its whole text; a null text has no terms."""
+    """Every row's `keep` columns and `score`, from 0 to 1, of its whole text, whatever its length.
+
+    Null, empty and wordless texts have no terms and get the score of the bias. Rows are scored each for itself, so
+    repeated rows and equal ids are alike, and no column but the text is looked at. An empty table gives no rows.
+    """
+    no_clash(keep, "score")
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +246,7 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep:
 
 
 def keep_harmless(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """docs, all columns, without the rows that score `limit` or more."""
+    """docs, all columns whatever their names, without the rows that score `limit` or more; rows as in score_documents()."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text)
 

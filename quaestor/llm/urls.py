@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,11 +15,10 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, in_arrow, quoted
+from quaestor.llm.tables import ascii_lower, bytes_of, in_arrow, no_clash, quoted
 
-#: Rules that one index takes; 12 bytes and the rule's text each on an executor's disk, mapped and not loaded.
-MAX_RULES = 50_000_000
 SCHEMA = "host string, path string, rule string, verdict string"
 
 
@@ -44,45 +45,57 @@ def key_of(host: bytes, path: bytes) -> bytes:
     return host + b"\0" + path
 
 
+def digest_of(key: bytes) -> int:
+    """XXH64 as Spark's xxhash64() has it."""
+    return xxhash.xxh64_intdigest(key, 42)
+
+
+def ordered_rules(spark: SparkSession, rules: Iterable[Rule] | DataFrame) -> DataFrame:
+    """(digest, key, block) of each distinct host and path in order of the digests, which Spark sorts; of equal rules a block wins."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.action, r.host, r.path) for r in rules], "action string, host string, path string")
+    action = F.when(F.col("action").isin("allow", "block"), F.col("action")).otherwise(F.raise_error(F.concat(F.lit("a rule's action is allow or block, not "), F.coalesce("action", F.lit("null")))))
+    key = F.concat(F.encode(ascii_lower(F.coalesce("host", F.lit(""))), "UTF-8"), F.lit(b"\0"), F.encode(F.coalesce("path", F.lit("")), "UTF-8"))
+    best = rules.select(key.alias("key"), action.alias("action")).groupBy("key").agg(F.bool_or(F.col("action") == "block").alias("block"))
+    return best.select(F.xxhash64("key").alias("digest"), "key", "block").orderBy(F.col("digest") < 0, "digest", "key")
+
+
 class DigestIndex:
     """Digests in order, and beside them where each rule's full string stands. The three files are memory-mapped."""
 
-    PARTS = ("digests", "places", "strings")
+    KINDS = {"digests": np.uint64, "places": np.int64, "strings": np.uint8}
 
     def __init__(self, digests: np.ndarray, places: np.ndarray, strings: np.ndarray, path_lengths: tuple[int, ...]):
         self.digests, self.places, self.strings, self.path_lengths = digests, places, strings, path_lengths
 
     @classmethod
-    def write(cls, rules: Iterable[Rule], folder: Path, stem: str) -> tuple[list[Path], tuple[int, ...]]:
-        """Writes the files and returns them with the lengths that rules' paths have. Of equal rules a block wins."""
-        best: dict[bytes, str] = {}
-        for rule in rules:
-            if rule.action not in ("allow", "block"):
-                raise ValueError(f"a rule's action is allow or block, not {rule.action!r}")
-            key = key_of(rule.host.encode().lower(), rule.path.encode())
-            if best.get(key) != "block":
-                best[key] = rule.action
-            if len(best) > MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules; split the list over several indexes")
-        order = sorted(best, key=lambda k: (xxhash.xxh64_intdigest(k), k))
-        digests = np.array([xxhash.xxh64_intdigest(k) for k in order], np.uint64)
-        stored = [best[k][:1].encode() + k for k in order]
-        places = np.concatenate([[0], np.cumsum([len(s) for s in stored], dtype=np.int64)]).astype(np.int64)
-        paths = [folder / f"{stem}-{part}.npy" for part in cls.PARTS]
-        for path, array in zip(paths, (digests, places, np.frombuffer(b"".join(stored), np.uint8)), strict=True):
-            np.save(path, array)
-        return paths, tuple(sorted({len(k.split(b"\0", 1)[1]) for k in best}))
+    def write(cls, rules: DataFrame, folder: Path, stem: str) -> tuple[list[Path], tuple[int, ...]]:
+        """Writes ordered_rules() to the files as they stream past, and returns them with the lengths that rules' paths have."""
+        paths, lengths, at = [folder / f"{stem}-{part}.bin" for part in cls.KINDS], set(), 0
+        with contextlib.ExitStack() as held:
+            digests, places, strings = (held.enter_context(p.open("wb")) for p in paths)
+            places.write(np.int64(0).tobytes())
+            for r in rules.toLocalIterator():
+                key = bytes(r["key"])
+                stored = (b"b" if r["block"] else b"a") + key
+                at += len(stored)
+                digests.write(np.int64(r["digest"]).tobytes())
+                places.write(np.int64(at).tobytes())
+                strings.write(stored)
+                lengths.add(len(key) - key.index(b"\0") - 1)
+        return paths, tuple(sorted(lengths))
 
     @classmethod
     def open(cls, paths: Iterable[str], path_lengths: tuple[int, ...]) -> DigestIndex:
-        return cls(*(np.load(p, mmap_mode="r") for p in paths), path_lengths)
+        mapped = (np.memmap(p, kind, "r") if os.path.getsize(p) else np.zeros(0, kind) for p, kind in zip(paths, cls.KINDS.values(), strict=True))
+        return cls(*mapped, path_lengths)
 
     def find(self, keys: list[bytes]) -> list[str | None]:
         """The action stored for each key, confirmed on the full string, or None."""
         found: list[str | None] = [None] * len(keys)
         if not len(self.digests) or not keys:
             return found
-        probe = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+        probe = np.fromiter(map(digest_of, keys), np.uint64, len(keys))
         at = np.searchsorted(self.digests, probe)
         hits = np.flatnonzero((at < len(self.digests)) & (self.digests[np.minimum(at, len(self.digests) - 1)] == probe))
         for i in hits.tolist():
@@ -118,16 +131,20 @@ class DigestIndex:
         return [(*parts[i], *(best[i][2:] if i in best else (None, default))) for i in range(len(urls))]
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """Every row's `keep` columns with host, path, rule (null: none fits) and verdict of its url.
 
     A rule fits its host and all subdomains if the path starts with the rule's; without a rule the verdict is `default`.
-    The index reaches the executors as files that each fetches once and maps, also executors that start later.
-    A null url, or one without `://`, has an empty host and path. Repeated rows are judged alike; no row is dropped.
+    Rules, of any number, are a list or a table (action, host, path). Spark makes them distinct and sorts them by digest; the
+    driver only writes them to files as they stream past, 17 bytes and its text for each rule. The files reach the
+    executors, which fetch them once and map them, also executors that start later.
+    A null url, or one without `://`, has an empty host and path. A url of any length is judged whole. Repeated rows are
+    judged alike; no row is dropped; an empty table gives no rows. A `keep` column may not have the name of a result.
     """
+    no_clash(keep, "host", "path", "rule", "verdict")
     spark: SparkSession = pages.sparkSession
     folder = Path(tempfile.mkdtemp(prefix="quaestor-urls-"))
-    files, lengths = DigestIndex.write(rules, folder, f"urls-{uuid.uuid4().hex}")
+    files, lengths = DigestIndex.write(ordered_rules(spark, rules), folder, f"urls-{uuid.uuid4().hex}")
     for file in files:
         spark.sparkContext.addFile(str(file))
     names = [f.name for f in files]
