@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.fmindex import words_of
-from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
+from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices, staged, tidy
 
 BUCKETS = 1 << 20
 #: Bytes of the word beginnings that are terms beside the whole word; inflected forms share them.
@@ -58,8 +58,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def amount(counts: np.ndarray) -> np.ndarray:
-    """What a term weighs that so many words have: 1 for one word, and one more each time the number doubles or so."""
-    return np.log2(1.0 + counts)
+    """What a term weighs that so many words have: 1 for one word, and one more each time the number doubles or so, in eighths."""
+    return np.round(8 * np.log2(1.0 + counts)) / 8
 
 
 @dataclass
@@ -92,13 +92,13 @@ class Machine:
         return sigmoid(self.raw(cells // width, cells % width, amount(values), len(texts)))
 
 
-#: A row's distinct terms, and for each how many of its words have it.
+#: A row's distinct terms, and the amount() of each in eighths, which a byte holds for any count.
 Bag = tuple[np.ndarray, np.ndarray]
 
 
 def bag(found: list[int]) -> Bag:
     terms, counts = np.unique(np.array(found, np.int32), return_counts=True)
-    return terms, counts.astype(np.int32)
+    return terms, (8 * amount(counts)).astype(np.uint8)
 
 
 def select_terms(docs: list[Bag], labels: np.ndarray, passes: int = 4, l1: float = 8.0, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +169,9 @@ def fit(docs: list[Bag], labels: np.ndarray, factors: int = FACTORS, passes: int
     parts = []  # the rows' amounts, 1,000 rows at a time
     for begin in range(0, n, 1000):
         held = np.zeros((len(docs[begin : begin + 1000]), width), np.float32)
-        for i, (terms, counts) in enumerate(docs[begin : begin + 1000]):
+        for i, (terms, eighths) in enumerate(docs[begin : begin + 1000]):
             at = place[terms]
-            held[i, at[at >= 0]] = amount(counts[at >= 0])
+            held[i, at[at >= 0]] = eighths[at >= 0] / 8
         parts.append((begin, held))
     m = Machine({int(t): i for i, t in enumerate(kept)}, plain.bias, np.zeros(width), np.random.default_rng(11).normal(0, 0.1, (width, factors)))
     balance = np.where(labels == 1, min(10.0, n / (2 * labels.sum())), n / (2 * (n - labels.sum())))
@@ -203,8 +203,10 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = MAX_TRAINING) -> Machine:
     """The machine learned from labelled rows that are not held out: at most `rows`, by the hash of their ids.
 
-    Only ids and labels of those rows go to the executors, only their terms come back; other columns are not read.
-    Null labels and ids are left out. A label table that names an id several times counts the largest label.
+    Only ids and labels of those rows go to the executors, only their terms come back, row by row from a written table;
+    other columns are not read. Null labels and ids are left out. A label table that names an id several times counts
+    the largest label. Texts of any length are taken whole; null and empty ones have no terms. Rows with equal ids all
+    count, up to `rows`. Without labels the score is even.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.where(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -217,11 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary())], names=["doc_id", "label", "terms", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = in_arrow(texts, work, f"doc_id {kind}, label int, terms binary, counts binary").toArrow()
-    order = np.argsort(np.array([xxhash.xxh64_intdigest(str(i)) for i in found["doc_id"].to_pylist()], np.uint64), kind="stable")[:rows]
-    view = lambda name, i, kind: np.frombuffer(found[name][int(i)].as_buffer(), kind)  # noqa: E731  no copy
-    bags = [(view("terms", i, np.int32), view("counts", i, np.int32)) for i in order]
-    return fit(bags, np.array([found["label"][int(i)].as_py() for i in order], np.int64))
+    found = staged(in_arrow(texts, work, f"doc_id {kind}, label int, terms binary, counts binary"), "bags")
+    held = sorted(((xxhash.xxh64_intdigest(str(r["doc_id"])), bytes(r["terms"]), bytes(r["counts"]), r["label"]) for r in found.toLocalIterator()))[:rows]
+    machine = fit([(np.frombuffer(t, np.int32), np.frombuffer(c, np.uint8)) for _, t, c, _ in held], np.array([y for *_, y in held], np.int64))
+    del held
+    tidy()
+    return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

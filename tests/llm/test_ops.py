@@ -437,7 +437,7 @@ def test_scores_by_brute_force():
     m = toxicity.Machine({t: i for i, t in enumerate(found)}, -0.3, rng.normal(size=len(found)), rng.normal(size=(len(found), 4)))
     for text, score in zip(texts, m.score(texts, toxicity.Terms(m.terms)), strict=True):
         n = Counter(m.terms[t] for w in set(fmindex.words_of(text)) for t in toxicity.terms_of(w) if t in m.terms)
-        x = {i: math.log2(1 + k) for i, k in n.items()}
+        x = {i: round(8 * math.log2(1 + k)) / 8 for i, k in n.items()}
         raw = m.bias + sum(m.weights[i] * v for i, v in x.items()) + sum(m.factors[i] @ m.factors[j] * x[i] * x[j] for i in x for j in x if i < j)
         assert score == pytest.approx(1 / (1 + math.exp(-raw)))
 
