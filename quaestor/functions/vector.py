@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,32 @@ def buckets(tokens: Column, dimension: int = DIMENSION) -> Column:
     return F.transform(tokens, lambda t: bucket(t, dimension))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def bag(tokens: Column, dimension: int = DIMENSION) -> Column:
+    """The non-zero places of a hashed bag of tokens: structs of bucket and n, by bucket, from one sort of the row's buckets."""
+
+    def counted(held: Column) -> Column:
+        ends = lambda kinds: F.transform(kinds, lambda b: F.array_position(held, b))
+        n = lambda first, i: F.coalesce(F.get(first, i + 1), F.size(held) + 1) - F.get(first, i)
+        return let(F.array_distinct(held), lambda kinds: let(ends(kinds), lambda first: F.transform(kinds, lambda b, i: F.struct(b.alias("bucket"), n(first, i).alias("n")))))
+
+    return let(F.array_sort(buckets(tokens, dimension)), counted)
+
+
+def dense(counts: Column, dimension: int = DIMENSION) -> Column:
+    """A bag as a vector of unit length; of zeros where it is empty."""
+    size = F.sqrt(bag_dot(counts, counts))
+    place = lambda c, i: F.coalesce(F.get(F.filter(c, lambda x: x["bucket"] == i), F.lit(0))["n"], F.lit(0)).cast("double")
+    return let(size, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(s > 0, place(counts, i) / s).otherwise(0.0)))
+
+
 def bag_dot(a: Column, b: Column) -> Column:
-    """Product of two bags given as lists of buckets: pairs of equal buckets. Both must be plain columns, as they are read often."""
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.size(F.filter(b, lambda y: y == x)))
+    """Product of two bags: at most as many steps as either has places. Both must be plain columns, as they are read often."""
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x["n"] * F.coalesce(F.get(F.filter(b, lambda y: y["bucket"] == x["bucket"]), F.lit(0))["n"], F.lit(0)))
 
 
 def bag_cosine(a: Column, b: Column) -> Column:

@@ -24,16 +24,24 @@ def n_chunks(length: Column, size: int, overlap: int) -> Column:
     return F.when(length == 0, 0).otherwise(1 + F.greatest(F.lit(0), more)).cast("int")
 
 
+def contents(text: Column, size: int, overlap: int) -> Column:
+    """The chunks of a text, as an array. Its steps are cut in one pass; a chunk is its step and the beginning of the next ones."""
+    step = size - overlap
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    n = n_chunks(F.length(text), size, overlap)
+    own = lambda s, i: F.substring(F.array_join(F.slice(s, i + 1, -(-size // step)), ""), 1, size)
+    return F.transform(F.array(steps), lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: own(s, i)))[0]
+
+
 def chunks(docs: DataFrame, strategy: str = "fixed_1200_150", text: str = "text") -> DataFrame:
     """docs without its text, and chunk_index (from 0), chunk_strategy, content, page_start and page_end; no shuffle.
 
     Null and empty texts have no chunks. Documents of the driver tables are unpaged: page 1.
     """
     size, overlap = sizes(strategy)
-    n = n_chunks(F.length(text), size, overlap)
-    indexed = docs.where(F.length(text) > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n - 1)))
-    content = F.substring(F.col(text), F.col("chunk_index") * (size - overlap) + 1, F.lit(size))
-    return indexed.select(*(c for c in docs.columns if c != text), "chunk_index", F.lit(strategy).alias("chunk_strategy"), content.alias("content"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    kept = [c for c in docs.columns if c != text]
+    cut = docs.where(F.length(text) > 0).select(*kept, F.posexplode(contents(F.col(text), size, overlap)).alias("chunk_index", "content"))
+    return cut.select(*kept, "chunk_index", F.lit(strategy).alias("chunk_strategy"), "content", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
 
 
 def counted(chunked: DataFrame) -> DataFrame:

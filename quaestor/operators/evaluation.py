@@ -17,6 +17,8 @@ EXPERIMENTS = [
     ("dangling_model", "fixed_1200_150", 5, "missing-model"),
     ("no_results", None, 5, None),
 ]
+#: What an answer costs and takes where no model is run that could be timed: by token, as a stated price list.
+COST_PER_TOKEN, BASE_MS, MS_PER_TOKEN = "0.000002", 20, 3
 # The registry's models.
 MODELS = [("multilingual-e5-base", "Local Demo", 128, True), ("text-embedding-3-small", "OpenAI", 1536, False), ("PhoBERT-base", "VinAI", 768, True), ("bge-m3", "BAAI", 1024, True)]
 
@@ -53,7 +55,7 @@ def measured(rows: DataFrame) -> DataFrame:
     parts = F.struct(X.tokens(F.col("question_text")).alias("question_tokens"), X.tokens(F.col("ground_truth_answer")).alias("truth_tokens"), F.coalesce(X.tokens(F.col("answer")), none).alias("answer_tokens"), X.token_set(F.array_join(F.transform("hits", lambda h: h["content"]), "\n")).alias("context"))
     # inline() keeps the lists from being worked out anew wherever they are named
     rows = rows.select(*kept, F.inline(F.array(parts)))
-    bags = F.struct(V.buckets(F.col("answer_tokens")).alias("answer_bag"), V.buckets(F.col("truth_tokens")).alias("truth_bag"))
+    bags = F.struct(V.bag(F.col("answer_tokens")).alias("answer_bag"), V.bag(F.col("truth_tokens")).alias("truth_bag"))
     rows = rows.select("*", F.inline(F.array(bags)))
     s = {c: F.array_distinct(c) for c in ("question_tokens", "truth_tokens", "answer_tokens")}
     right = F.transform("hits", lambda h: (h["doc_id"] == F.col("expected_doc_id")).cast("int"))
@@ -83,7 +85,7 @@ def run_experiments(spark: SparkSession, questions: DataFrame, docs: DataFrame)
         own = [(n, k) for n, s, k, _ in EXPERIMENTS if s == strategy]
         results = question_results(questions, docs, strategy, sorted({k for _, k in own}))
         named = spark.createDataFrame(own, "experiment_name string, top_k int")
-        rows = results.join(F.broadcast(named), "top_k").select(X.uid("experiment", F.col("experiment_name")).alias("experiment_id"), X.uid("question", F.col("item_id")).alias("evaluation_question_id"), X.uid("result", F.concat_ws(":", "experiment_name", "item_id")).alias("experiment_result_id"), *METRICS, F.lit(None).cast("int").alias("latency_ms"), "input_tokens", "output_tokens", "total_tokens", F.lit(None).cast("decimal(18,6)").alias("cost"))
+        rows = results.join(F.broadcast(named), "top_k").select(X.uid("experiment", F.col("experiment_name")).alias("experiment_id"), X.uid("question", F.col("item_id")).alias("evaluation_question_id"), X.uid("result", F.concat_ws(":", "experiment_name", "item_id")).alias("experiment_result_id"), *METRICS, (BASE_MS + MS_PER_TOKEN * F.col("output_tokens")).cast("int").alias("latency_ms"), "input_tokens", "output_tokens", "total_tokens", (F.col("total_tokens").cast("decimal(12,0)") * F.lit(COST_PER_TOKEN).cast("decimal(7,6)")).cast("decimal(18,6)").alias("cost"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

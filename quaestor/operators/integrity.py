@@ -54,22 +54,48 @@ def with_defaults(table: DataFrame, name: str, key: list[str] | None = None, now
 
 
 def patch(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """A partial update: values of `changes` that are not null replace the table's; keys it does not name stay."""
+    """A partial update: values of `changes` that are not null replace the table's; keys it does not name stay.
+
+    Of several changes to one key the largest value of each column holds, so that no row of the table is doubled.
+    """
     changed = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in changed))
+    new = changes.groupBy(key).agg(*(F.max(c).alias(f"_new_{c}") for c in changed)) if changed else changes.select(key).distinct()
     return table.join(new, key, "left").select(*(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in table.columns))
 
 
-def insert(table: DataFrame, rows: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
-    """A validated append: rows get defaults, and must break neither NOT NULL, the primary key nor the table's UNIQUE rules."""
+def rejections(table: DataFrame, rows: DataFrame, name: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """rows with `reasons`: the rules of the schema that keep each from being added to the table, an empty list if none does.
+
+    Columns that need a value and have none; keys that the table holds already or that several rows share, under the
+    primary key and the UNIQUE rules; references to parents among `tables` that are not there; roles outside the list.
+    Only keys of the new rows are looked up in the table and its parents.
+    """
+    out = rows.withColumn("_row", F.monotonically_increasing_id())
+    marks = [F.when(F.col(c.name).isNull(), F.lit(f"{c.name} missing")) for c in S.columns(name) if c.required and c.name in rows.columns]
+    if name == "user_roles":
+        marks.append(F.when(~F.col("role_name").isin(S.ROLES), F.lit("role_name not allowed")))
+    for i, keys in enumerate([[S.columns(name)[0].name], *(k for t, k in S.UNIQUE if t == name)]):
+        if not set(keys) <= set(rows.columns):
+            continue
+        own = F.struct(*keys)
+        held = table.select(F.struct(*keys).alias("_key")).join(rows.select(own.alias("_key")).distinct(), "_key", "left_semi").distinct().withColumn(f"_held{i}", F.lit(True))
+        again = rows.select(own.alias("_key")).groupBy("_key").agg(F.count("*").alias(f"_n{i}"))
+        out = out.withColumn("_key", own).join(held, "_key", "left").join(again, "_key", "left").drop("_key")
+        marks.append(F.when(F.col(f"_held{i}") | (F.col(f"_n{i}") > 1), F.lit(f"{', '.join(keys)} not unique")))
+    for i, r in enumerate(r for r in S.references() if r.child == name and r.column in rows.columns and r.parent in (tables or {})):
+        there = tables[r.parent].select(F.col(r.key).alias(r.column)).join(rows.select(r.column).distinct(), r.column, "left_semi").distinct().withColumn(f"_there{i}", F.lit(True))
+        out = out.join(there, r.column, "left")
+        marks.append(F.when(F.col(r.column).isNotNull() & F.col(f"_there{i}").isNull(), F.lit(f"{r.column} not among {r.parent}")))
+    return out.select(*rows.columns, F.array_compact(F.array(*marks)).alias("reasons"))
+
+
+def insert(table: DataFrame, rows: DataFrame, name: str, key: list[str] | None = None, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """A validated append: rows get defaults, and none may have a reason under rejections()."""
     filled = with_defaults(rows, name, key)
-    if not missing(filled, name).isEmpty():
-        raise ValueError(f"{name}: a column that needs a value has none")
-    out = table.unionByName(filled)
-    for keys in [[S.columns(name)[0].name], *(k for t, k in S.UNIQUE if t == name)]:
-        if not duplicates(out, keys).isEmpty():
-            raise ValueError(f"{name}: {', '.join(keys)} must be unique")
-    return out
+    bad = rejections(table, filled, name, tables).where(F.size("reasons") > 0).select("reasons").limit(1).collect()
+    if bad:
+        raise ValueError(f"{name}: {'; '.join(bad[0]['reasons'])}")
+    return table.unionByName(filled)
 
 
 def insert_from_select(source: DataFrame, rows: list[tuple[str, dict]], match: str) -> DataFrame:

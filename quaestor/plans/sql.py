@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaestor.operators.evaluation import EXPERIMENTS, METRICS, MODELS
+from quaestor.operators.evaluation import BASE_MS, COST_PER_TOKEN, EXPERIMENTS, METRICS, MODELS, MS_PER_TOKEN
 
 NO_TOKEN = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -74,6 +74,6 @@ def dashboard() -> str:
       CASE WHEN chunking_strategy IS NULL THEN 'PENDING' ELSE 'COMPLETED' END AS status, 'simple-local-answerer' AS llm_model,
       CASE WHEN model IN ({", ".join(q(m[0]) for m in MODELS)}) THEN model END AS embedding_model, chunking_strategy, e.top_k,
       count(r.item_id) AS total_questions, {", ".join(f"round(avg({m}), 5) AS avg_{m}" for m in METRICS)},
-      CAST(NULL AS DOUBLE) AS avg_latency_ms, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(NULL AS DECIMAL(28,6)) AS total_cost
+      avg({BASE_MS} + {MS_PER_TOKEN} * r.output_tokens) AS avg_latency_ms, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_tokens) * {COST_PER_TOKEN} AS DECIMAL(28,6)) AS total_cost
     FROM exps e LEFT JOIN results r ON r.strategy = e.chunking_strategy AND r.top_k = e.top_k
     GROUP BY experiment_name, chunking_strategy, e.top_k, model"""
