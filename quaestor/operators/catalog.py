@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaestor import schema as S
@@ -39,6 +39,11 @@ def listing(table: DataFrame, name: str, parent: str | None = None) -> DataFrame
     return rows.select(*kept) if kept else rows
 
 
+def numbered(table: DataFrame, parent: str, order: list[str], name: str) -> DataFrame:
+    """The table with its rows' places under their parent, from 1, as `name`."""
+    return table.withColumn(name, F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+
+
 def active(table: DataFrame) -> DataFrame:
     return table.where("is_active")
 

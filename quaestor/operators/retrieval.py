@@ -191,6 +191,20 @@ def citations(hits: DataFrame, quote: int = 200, query: str = "item_id") -> Data
     return hits.select(query, order.alias("citation_order"), "doc_id", "chunk_index", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.substring("content", 1, quote).alias("quote_text"))
 
 
+def cited_with(cited: DataFrame, results: DataFrame, documents: DataFrame) -> DataFrame:
+    """Citations with the score of their result and the title of their document; keys may be null or dangling, and every citation stays."""
+    scores = results.select("retrieval_result_id", "similarity_score")
+    titles = documents.select("document_id", "document_title")
+    return cited.join(scores, "retrieval_result_id", "left").join(titles, "document_id", "left")
+
+
+def embeddings_with_models(stored: DataFrame, held: DataFrame, models: DataFrame) -> DataFrame:
+    """Stored vectors (chunk_id, embedding_model_id, embedding_json) with their chunk and model, and whether they have the model's dimension."""
+    named = models.select("embedding_model_id", "model_name", F.col("dimension").alias("model_dimension"))
+    rows = stored.join(named, "embedding_model_id").join(held, "chunk_id").withColumn("dimension", F.size(V.from_json(F.col("embedding_json"))))
+    return rows.withColumn("right_dimension", F.col("dimension") == F.col("model_dimension"))
+
+
 def citations_json(cited: DataFrame, query: str = "item_id") -> DataFrame:
     """One row per answer: its citations as JSON text, in order."""
     listed = F.array_sort(F.collect_list(F.struct("citation_order", "doc_id", "chunk_index")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
 from quaestor.operators import catalog, chat, evaluation, integrity, retrieval
-from quaestor.operators.chunking import chunks, counted
+from quaestor.operators.chunking import chunks, contents, counted, paged_chunks
 from quaestor.plans import sql
 from quaestor.sources import adapters
 from quaestor.sources.adapters import read
@@ -77,7 +78,9 @@ def chunk_fixed_1200_150(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.chunks()} SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(len({sql.tokens("content")})) AS BIGINT) AS n_tokens FROM chunks GROUP BY doc_id""")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(chunks(docs(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("char_count").alias("n_chars"), F.sum("token_count").alias("n_tokens"))
+    held = docs(spark, sf_dir).where("length(text) > 0").select("doc_id", contents(F.col("text"), 1200, 150).alias("held"))
+    total = lambda f: F.aggregate("held", F.lit(0).cast("long"), lambda s, c: s + f(c))
+    return held.select("doc_id", F.size("held").cast("long").alias("n_chunks"), total(F.length).alias("n_chars"), total(lambda c: F.size(X.tokens(c))).alias("n_tokens"))
 
 
 @query(rf"""SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count, CAST(len({sql.tokens("text")}) AS INTEGER) AS token_count,
@@ -120,9 +123,26 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, b AS bucket, count(*) AS n FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 128 AS INTEGER) AS b FROM (SELECT doc_id, unnest({sql.tokens("text")}) AS t FROM documents)) GROUP BY doc_id, b""")
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The non-zero places of each document's hashed bag of tokens."""
-    held = docs(spark, sf_dir).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("t"))
-    return held.groupBy("doc_id", V.bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
+    """The non-zero places of each document's hashed bag of tokens; no shuffle."""
+    bags = docs(spark, sf_dir).select("doc_id", V.bag(X.tokens(F.col("text"))).alias("bag"))
+    return bags.select("doc_id", F.inline("bag")).select("doc_id", "bucket", F.col("n").cast("long").alias("n"))
+
+
+_BAG = "list_transform(range(128), lambda i: CAST(len(list_filter({0}, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 128 = i)) AS DOUBLE))"
+
+
+@query(f"""WITH {sql.chunks()}, c AS (SELECT doc_id, chunk_index, {_BAG.format(sql.tokens("content"))} AS v FROM chunks),
+  q AS (SELECT item_id, {_BAG.format(sql.tokens("coalesce(text, '')"))} AS a FROM benchmark),
+  u AS (SELECT doc_id, chunk_index, sqrt(list_dot_product(v, v)) AS s, v FROM c), w AS (SELECT item_id, sqrt(list_dot_product(a, a)) AS s, a FROM q)
+  SELECT item_id, doc_id, chunk_index, round(score, 6) AS score, CAST(result_rank AS INTEGER) AS result_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_index) AS result_rank FROM (
+      SELECT item_id, doc_id, chunk_index, round(CASE WHEN u.s > 0 AND w.s > 0 THEN list_dot_product(v, a) / (u.s * w.s) ELSE 0.0 END, 12) AS score FROM u, w)) WHERE result_rank <= 5""")
+def hashed_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks nearest to each benchmark item by the cosine of hashed vectors of 128 places."""
+    asked = retrieval.vectors_of(read(spark, sf_dir, "benchmark"), "text", ["item_id"]).withColumnRenamed("item_id", "query_id")
+    held = retrieval.vectors_of(chunks(docs(spark, sf_dir)), "content", ["doc_id", "chunk_index"])
+    top = retrieval.vector_topk(asked, held, keep=("doc_id", "chunk_index"))
+    return top.select(F.col("query_id").alias("item_id"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.round("score", 6).alias("score"), "result_rank")
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,8 +296,14 @@ def patch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT {sql.uid("document", "doc_id")} AS document_id, 'doc_' || doc_id AS document_title, 'doc_' || doc_id || '.txt' AS original_filename, 'TXT' AS file_type, 'UPLOADED' AS processing_status, 1 AS total_pages FROM documents WHERE source = 'src1'""")
 def documents_by_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapters.course_documents(spark, sf_dir).where(F.col("source") == "src1")
-    return catalog.listing(d, "courses").select("document_id", "document_title", "original_filename", "file_type", "processing_status", "total_pages")
+    shown = catalog.listing(adapters.course_documents(spark, sf_dir), "documents_of_workspace", _id("workspace", "src1"))
+    return shown.select("document_id", "document_title", "original_filename", "file_type", "processing_status", "total_pages")
+
+
+def _id(kind: str, key: str) -> str:
+    """X.uid() of a known key."""
+    h = hashlib.md5(f"{kind}:{key}".encode()).hexdigest()
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
 
 
 @query(f"""WITH {sql.chunks()} SELECT chunk_index, content, CAST(len({sql.tokens("content")}) AS INTEGER) AS token_count FROM chunks WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE length(text) = (SELECT max(length(text)) FROM documents))""")
@@ -338,3 +364,146 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the streaming window query; an addition of this engine."""
     e = read(spark, sf_dir, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("w.start", "event_type", "n", "total")
+
+
+_PAGES = f"""pages_of AS (SELECT doc_id, {sql.uid("document", "doc_id")} AS document_id, CAST(i + 1 AS INTEGER) AS page_number, {sql.clean(f"substr(text, i * {adapters.PAGE_CHARS} + 1, {adapters.PAGE_CHARS})")} AS cleaned_text
+  FROM documents, LATERAL (SELECT unnest(range(CAST(ceil(length(text) / {adapters.PAGE_CHARS}.0) AS BIGINT))) AS i) WHERE length(text) > 0)"""
+
+
+@query(f"WITH {_PAGES} SELECT document_id, max(page_number) AS total_pages, count(*) AS n_pages, CAST(sum(length(cleaned_text)) AS BIGINT) AS n_chars FROM pages_of GROUP BY document_id")
+def document_total_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each document, as ingested."""
+    p = adapters.paged_documents(spark, sf_dir)
+    return p.groupBy("document_id").agg(F.max("page_number").alias("total_pages"), F.count("*").alias("n_pages"), F.sum("char_count").alias("n_chars"))
+
+
+@query(f"""WITH {_PAGES}, joined AS (SELECT document_id, string_agg(cleaned_text, chr(10) ORDER BY page_number) AS text FROM pages_of GROUP BY document_id),
+  places AS (SELECT document_id, page_number, sum(length(cleaned_text) + 1) OVER (PARTITION BY document_id ORDER BY page_number) AS stop, length(cleaned_text) + 1 AS n FROM pages_of),
+  cut AS (SELECT document_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * 1050 + 1, 1200) AS content, i * 1050 AS first, least(i * 1050 + 1200, length(text)) AS last
+    FROM joined, LATERAL (SELECT unnest(range(1 + greatest(0, CAST(ceil((length(text) - 1200) / 1050.0) AS BIGINT)))) AS i) WHERE length(text) > 0)
+  SELECT document_id, chunk_index, content, min(page_number) AS page_start, max(page_number) AS page_end FROM cut JOIN places USING (document_id) WHERE stop - n < last AND stop > first GROUP BY ALL""")
+def paged_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks across the pages of each document, with the pages that they cover."""
+    return paged_chunks(adapters.paged_documents(spark, sf_dir))
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()}, f AS (SELECT item_id, content FROM hits JOIN chunks USING (doc_id, chunk_index) WHERE result_rank = 1),
+  j AS (SELECT item_id, '[' || string_agg('{{"citation_order":' || result_rank || ',"doc_id":' || doc_id || ',"chunk_index":' || chunk_index || '}}', ',' ORDER BY result_rank) || ']' AS citations_json, count(*) AS n FROM hits GROUP BY item_id)
+  SELECT item_id, coalesce(n, 0) AS n_hits, coalesce(n, 0) > 0 AS is_answerable, CASE WHEN n IS NULL THEN 'NO_CHUNK_ABOVE_THRESHOLD' END AS no_answer_reason, substr(content, 1, 200) AS answer, citations_json
+  FROM benchmark LEFT JOIN f USING (item_id) LEFT JOIN j USING (item_id)""")
+def ask_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item asked: answer, reason if there is none, citations."""
+    return retrieval.ask(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir))["answers"]
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, text AS query_text, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS rewritten_query, 5 AS top_k, 'keyword' AS similarity_metric, 0.05::DOUBLE AS similarity_threshold,
+  count(doc_id) > 0 AS is_answerable, CASE WHEN count(doc_id) = 0 THEN 'NO_CHUNK_ABOVE_THRESHOLD' END AS no_answer_reason FROM benchmark LEFT JOIN hits USING (item_id) GROUP BY item_id, text""")
+def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.ask(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir))["retrieval_queries"]
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()}, f AS (SELECT h.*, {sql.tokens("content")} AS c, {sql.tokens("b.text")} AS q FROM hits h JOIN chunks USING (doc_id, chunk_index) JOIN benchmark b USING (item_id)),
+  g AS (SELECT item_id, doc_id, chunk_index, score, result_rank, CASE WHEN result_rank % 2 = 1 THEN 2 * len(list_intersect(list_distinct(q), list_distinct(c))) / CAST(len(list_distinct(q)) + len(list_distinct(c)) AS DOUBLE) END AS rerank_score FROM f)
+  SELECT item_id, doc_id, chunk_index, round(rerank_score, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY coalesce(rerank_score, score) DESC, result_rank) AS INTEGER) AS result_rank FROM g""")
+def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in a new order: those with odd ranks by the F1 of their tokens, the others, which have no such score, by similarity."""
+    asked = read(spark, sf_dir, "benchmark").select("item_id", X.token_set(F.col("text")).alias("q"))
+    hits = _contents(spark, sf_dir).join(asked, "item_id")
+    scored = hits.withColumn("rerank_score", F.when(F.col("result_rank") % 2 == 1, X.f1(F.col("q"), X.token_set(F.col("content")))))
+    return retrieval.reranked(scored).select("item_id", "doc_id", "chunk_index", F.round("rerank_score", 6).alias("rerank_score"), "result_rank")
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()}, c AS (SELECT item_id, result_rank AS citation_order, CASE WHEN result_rank > 1 THEN item_id || ':' || result_rank END AS retrieval_result_id, CASE WHEN result_rank < 5 THEN doc_id END AS doc_id FROM hits)
+  SELECT item_id, citation_order, CASE WHEN retrieval_result_id IS NOT NULL THEN (SELECT round(score, 6) FROM hits h WHERE h.item_id || ':' || h.result_rank = retrieval_result_id) END AS similarity_score,
+    CASE WHEN doc_id IS NOT NULL THEN 'doc_' || doc_id END AS document_title FROM c""")
+def citations_with_nullable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations whose result or document is not named stay, without what it would have said."""
+    hits = _hits(spark, sf_dir).withColumn("of", F.concat_ws(":", "item_id", "result_rank"))
+    cited = hits.select("item_id", F.col("result_rank").alias("citation_order"), F.when(F.col("result_rank") > 1, F.col("of")).alias("retrieval_result_id"), F.when(F.col("result_rank") < 5, X.uid("document", F.col("doc_id"))).alias("document_id"))
+    results = hits.select(F.col("of").alias("retrieval_result_id"), F.round("score", 6).alias("similarity_score"))
+    return retrieval.cited_with(cited, results, adapters.course_documents(spark, sf_dir)).select("item_id", "citation_order", "similarity_score", "document_title")
+
+
+@query(f"""WITH {sql.chunks()}, m(model_name, dimension) AS (VALUES {", ".join(f"('{n}', {d})" for n, _, d, _ in evaluation.MODELS)})
+  SELECT doc_id, chunk_index, model_name, m.dimension AS model_dimension, 128 AS dimension, m.dimension = 128 AS right_dimension
+  FROM chunks JOIN m ON m.model_name = CASE chunk_index % 3 WHEN 0 THEN 'multilingual-e5-base' WHEN 1 THEN 'bge-m3' END""")
+def chunk_embeddings_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors with their chunk and their model, whose dimension they should have; a model that is not in the registry joins none."""
+    cut = chunks(docs(spark, sf_dir)).withColumn("chunk_id", X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")))
+    name = F.when(F.col("chunk_index") % 3 == 0, "multilingual-e5-base").when(F.col("chunk_index") % 3 == 1, "bge-m3").otherwise("missing-model")
+    vectors = retrieval.vectors_of(cut.withColumn("embedding_model_id", X.uid("model", name)), "content", ["chunk_id", "embedding_model_id"])
+    stored = vectors.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
+    joined = retrieval.embeddings_with_models(stored, cut.select("chunk_id", "doc_id", "chunk_index"), evaluation.embedding_models(spark))
+    return joined.select("doc_id", "chunk_index", "model_name", "model_dimension", "dimension", "right_dimension")
+
+
+@query("SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) AS INTEGER) AS question_no, CAST(item_id % 7 AS INTEGER) AS dataset FROM benchmark")
+def questions_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions numbered from 1 within their dataset."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).cast("int").alias("dataset"))
+    return catalog.numbered(b, "dataset", ["item_id"], "question_no").select("item_id", "question_no", "dataset")
+
+
+@query("SELECT source, lang, CAST(row_number() OVER (PARTITION BY source ORDER BY lang) AS INTEGER) AS order_index FROM (SELECT DISTINCT source, lang FROM documents)")
+def chapters_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chapter for each language of a course, in order from 1."""
+    d = read(spark, sf_dir, "documents").select("source", "lang").distinct()
+    return catalog.numbered(d, "source", ["lang"], "order_index").select("source", "lang", "order_index")
+
+
+@query("""WITH new AS (SELECT 'r' || c_custkey % 140 AS user_role_id, CASE WHEN c_custkey % 11 > 0 THEN 'u' || c_custkey END AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'ADMIN' WHEN 'MACHINERY' THEN 'TEACHER' ELSE c_mktsegment END AS role_name FROM customer WHERE c_custkey % 10 < 5),
+  old AS (SELECT 'r' || s_suppkey AS user_role_id FROM supplier WHERE s_suppkey < 50), n AS (SELECT user_role_id, count(*) AS n FROM new GROUP BY ALL)
+  SELECT user_role_id, user_id, role_name, array_to_string(list_filter([CASE WHEN user_id IS NULL THEN 'user_id missing' END, CASE WHEN role_name NOT IN ('ADMIN', 'TEACHER', 'STUDENT', 'RESEARCHER') THEN 'role_name not allowed' END,
+    CASE WHEN n > 1 OR user_role_id IN (SELECT user_role_id FROM old) THEN 'user_role_id not unique' END, CASE WHEN user_id IS NOT NULL AND user_id NOT IN (SELECT 'u' || o_custkey FROM orders) THEN 'user_id not among users' END], lambda x: x IS NOT NULL), '; ') AS reasons
+  FROM new JOIN n USING (user_role_id)""")
+def insert_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why rows may not be added: values that are missing or outside the list, keys that are taken or shared, users who are not there."""
+    role = F.when(F.col("c_mktsegment") == "BUILDING", "ADMIN").when(F.col("c_mktsegment") == "MACHINERY", "TEACHER").otherwise(F.col("c_mktsegment"))
+    key = F.col("c_custkey")
+    new = read(spark, sf_dir, "customer").where(key % 10 < 5).select(F.concat(F.lit("r"), key % 140).alias("user_role_id"), F.when(key % 11 > 0, F.concat(F.lit("u"), key)).alias("user_id"), role.alias("role_name"))
+    old = read(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.concat(F.lit("r"), "s_suppkey").alias("user_role_id"))
+    users = read(spark, sf_dir, "orders").select(F.concat(F.lit("u"), "o_custkey").alias("user_id"))
+    return integrity.rejections(old, new, "user_roles", {"users": users}).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role IS NULL OR role = 'tool' THEN 'sender_role' END, CASE WHEN turn % 5 = 0 THEN 'message_content' END], lambda x: x IS NOT NULL), ',') AS missing FROM conversations WHERE role IS NULL OR role = 'tool' OR turn % 5 = 0")
+def not_null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that lack what the schema asks for, once every fifth turn lost its text and tools their role."""
+    c = read(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", "turn", F.when(F.col("role") != "tool", F.col("role")).alias("sender_role"), F.when(F.col("turn") % 5 > 0, F.coalesce("text", F.lit(""))).alias("message_content"))
+    return integrity.missing(rows, "chat_messages").select("conv_id", "turn", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'low' ELSE lang END AS lang FROM documents LEFT JOIN labels USING (doc_id)")
+def patch_with_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same change given twice, once without a value, doubles no row."""
+    changes = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "low").alias("lang"))
+    return integrity.patch(read(spark, sf_dir, "documents").select("doc_id", "lang"), changes.unionByName(changes.withColumn("lang", F.lit(None).cast("string"))), "doc_id")
+
+
+def _listed(name: str, oracle: str, rows: Callable[[SparkSession, str], DataFrame], parent: str | None = None) -> None:
+    """Registers a list operation over rows in the model's columns."""
+    QUERIES[f"list_{name}"] = lambda spark, sf_dir: catalog.listing(rows(spark, sf_dir), name, parent)
+    ORACLES[f"list_{name}"] = oracle
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = adapters.chat_messages(spark, sf_dir)
+    return m.select(X.uid("message", F.concat_ws(":", "conv_id", "turn")).alias("message_id"), X.uid("session", F.col("conv_id")).alias("chat_session_id"), "sender_role", "message_content", "input_tokens", "output_tokens")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark")
+    numbered = catalog.numbered(b.withColumn("dataset_id", X.uid("dataset", F.col("item_id") % 2)), "dataset_id", ["item_id"], "question_no")
+    return numbered.select(X.uid("question", F.col("item_id")).alias("evaluation_question_id"), "dataset_id", "question_no", F.col("text").alias("question_text"), F.col("text").alias("ground_truth_answer"), F.lit("FACTUAL").alias("question_type"), F.lit("MEDIUM").alias("difficulty"))
+
+
+_U = sql.uid
+_listed("users", f"SELECT {_U('user', 'c_custkey')} AS user_id, c_name AS full_name, c_acctbal > 0 AS is_active FROM customer", lambda s, d: read(s, d, "customer").select(X.uid("user", F.col("c_custkey")).alias("user_id"), F.col("c_name").alias("full_name"), (F.col("c_acctbal") > 0).alias("is_active"), F.lit("secret").alias("password_hash")))
+_listed("courses", f"SELECT DISTINCT {_U('course', 'source')} AS course_id, source AS course_code FROM documents", lambda s, d: read(s, d, "documents").select(X.uid("course", F.col("source")).alias("course_id"), F.col("source").alias("course_code")).distinct())
+_listed("pages_of_document", f"WITH {_PAGES} SELECT document_id, page_number, cleaned_text, CAST(length(cleaned_text) AS INTEGER) AS char_count FROM pages_of WHERE doc_id = 7", lambda s, d: adapters.paged_documents(s, d).drop("word_count"), _id("document", "7"))
+_listed("chunks_of_document", f"WITH {sql.chunks()} SELECT {_U('chunk', "doc_id || ':' || chunk_index")} AS chunk_id, {_U('document', 'doc_id')} AS document_id, chunk_index, 'fixed_1200_150' AS chunk_strategy, content, 1 AS page_start, 1 AS page_end, CAST(len({sql.tokens('content')}) AS INTEGER) AS token_count FROM chunks WHERE doc_id = 7", lambda s, d: counted(chunks(docs(s, d))).withColumns({"chunk_id": X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")), "document_id": X.uid("document", F.col("doc_id"))}), _id("document", "7"))
+_listed("history_of_session", f"SELECT {_U('message', "conv_id || ':' || turn")} AS message_id, {_U('session', 'conv_id')} AS chat_session_id, role AS sender_role, text AS message_content, CAST(CASE WHEN role = 'assistant' THEN 0 ELSE n END AS INTEGER) AS input_tokens, CAST(CASE WHEN role = 'assistant' THEN n ELSE 0 END AS INTEGER) AS output_tokens FROM (SELECT *, len({sql.tokens("coalesce(text, '')")}) AS n FROM conversations) WHERE conv_id = 3", _messages, _id("session", "3"))
+_listed("embedding_models", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}', {d}, {str(x).lower()})" for n, p, d, x in evaluation.MODELS) + ") AS m(model_name, provider, dimension, is_local)", lambda s, d: evaluation.embedding_models(s).drop("embedding_model_id"))
+_listed("questions_of_dataset", f"SELECT {_U('question', 'item_id')} AS evaluation_question_id, CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS question_no, text AS question_text, text AS ground_truth_answer, 'FACTUAL' AS question_type, 'MEDIUM' AS difficulty FROM benchmark WHERE item_id % 2 = 1", _questions, _id("dataset", "1"))
+_listed("results_of_experiment", f"{_ANSWERS} SELECT {_U('result', "'fixed_1200_150_top3:' || item_id")} AS experiment_result_id, {_U('experiment', "'fixed_1200_150_top3'")} AS experiment_id, {_U('question', 'item_id')} AS evaluation_question_id, faithfulness, answer_relevance, context_precision, context_recall, answer_correctness, semantic_similarity FROM r_fixed_1200_150 WHERE top_k = 3", lambda s, d: _run(s, d)[2], _id("experiment", "fixed_1200_150_top3"))

@@ -16,6 +16,11 @@ def uid(kind: str, key: str) -> str:
     return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
 
+def clean(raw: str) -> str:
+    tags = f"regexp_replace(regexp_replace({raw}, '<[^>]*>', ' ', 'g'), '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g')"
+    return rf"trim(regexp_replace({tags}, '[ \t\r\n]+', ' ', 'g'))"
+
+
 def chunks(size: int = 1200, overlap: int = 150, name: str = "chunks") -> str:
     step = size - overlap
     return f"""{name} AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * {step} + 1, {size}) AS content
