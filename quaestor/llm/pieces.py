@@ -9,7 +9,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import sha256
 from itertools import chain, groupby
 from pathlib import Path
 from zlib import crc32
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
 
 SPACE = "▁"
-#: Chunks and neighbouring pieces that a worker remembers.
+#: Chunks and neighbouring pieces that a task remembers.
 MEMORY = 100_000
 #: Fixed values of the model file's format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -98,7 +97,8 @@ class Codec:
     A text is passed over in chunks that begin with its spaces, as no piece holds a space after another character.
     """
 
-    def __init__(self, definition: Definition):
+    def __init__(self, definition: Definition, whole: frozenset[str] | None = None):
+        """whole: the pieces that merges of their own letters make, worked out anew if they are not given."""
         d = self.definition = definition
         usable = [i for i, k in enumerate(d.kinds) if k == NORMAL and d.pieces[i]]
         self.ids = {d.pieces[i]: i for i in usable}
@@ -108,9 +108,9 @@ class Codec:
         self.chunked = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            if d.model == UNIGRAM or len(p) == 1 or self.merged(p) == [p]:
-                self.automaton.add_word(p, (len(p), i))
+        self.whole = whole or frozenset(p for p in self.ids if d.model == UNIGRAM or len(p) == 1 or self.merged(p) == [p])
+        for p in self.whole:
+            self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
         self.letters = frozenset(p for p in self.ids if len(p) == 1)
         self.after_space = Remembered(self)
@@ -236,17 +236,6 @@ class Remembered(dict):
         return found
 
 
-#: The codec that this worker process has built, by the digest of its model: later tasks find its memory filled.
-_held: dict[str, Codec] = {}
-
-
-def codec_of(digest: str, definition: Definition) -> Codec:
-    if digest not in _held:
-        _held.clear()
-        _held[digest] = Codec(definition)
-    return _held[digest]
-
-
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Every row's `keep` columns with n_chars, n_pieces, ids (where asked for), ids_crc32, and decodes_to_text.
 
@@ -256,11 +245,11 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
     `keep` column may not have the name of a result. The model, of fixed size, is read once and sent to the workers.
     """
     no_clash(keep, "n_chars", "n_pieces", "ids", "ids_crc32", "decodes_to_text")
-    sent = docs.sparkSession.sparkContext.broadcast(Definition.read(model_file))
-    digest = sha256(Path(model_file).read_bytes()).hexdigest()
+    definition = Definition.read(model_file)
+    sent = docs.sparkSession.sparkContext.broadcast((definition, Codec(definition).whole))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(digest, sent.value)
+        codec = Codec(*sent.value)
         for batch in (part for whole in batches for part in slices(whole, "_text")):
             chars, counts, found, sums, same = [], [], [], [], []
             for t in bytes_of(batch.column(len(keep))):

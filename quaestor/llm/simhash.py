@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.tables import bytes_of, in_arrow, no_clash, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
+from quaestor.llm.tables import bytes_of, in_arrow, maybe_in, no_clash, numbered, quoted, renamed_back, slices, staged, union_all, with_locator, without
 
 SEED = 42
 #: Blocks that a fingerprint is cut into. Two that differ in 2 bits or fewer agree in all but two of them.
@@ -197,8 +197,9 @@ def hexed(fp: Column) -> Column:
 
 #: Texts are similar if the sets of their shingles of WORDS words have a Jaccard similarity of SIMILAR[0] / SIMILAR[1] or more.
 WORDS, SIMILAR = 5, (4, 5)
-#: Two texts are compared if all least values of a band are equal: at a similarity of 0.8 that fails in every band for 3 pairs of a million.
-BANDS, BAND = 24, 4
+#: Two texts are compared if all least values of a band are equal: that fails in every band for 8 pairs of a thousand at a
+#: similarity of 0.8 and for 5 of ten thousand at 0.85, and holds in some band for 12 of a thousand at 0.3.
+BANDS, BAND = 16, 6
 MIX = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1)
 
 
@@ -248,16 +249,16 @@ def similar_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between the ids of similar texts (id, packed, bands), each set of shingles there once.
+def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between the ids of similar texts. distinct: (id, bands), each set of shingles once; texts: (id, packed) of all.
 
     Texts with an equal band are linked, and within each component of these links, where a text is sent once, all texts
-    are compared by their sets.
+    are compared by their sets. Only texts that such a link touches, and few others, are shuffled.
     """
     by_band = distinct.select("id", F.posexplode("bands").alias("band", "value"))
     low = staged(by_band.groupBy("band", "value").agg(F.min("id").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"), "bands")
-    near = components(by_band.join(low, ["band", "value"]).select(F.col("id").alias("a"), F.col("low").alias("b")))
-    met = distinct.select("id", "packed").join(near.select(F.col("node").alias("id"), "low"), "id").select("low", "id", "packed")
+    near = staged(components(by_band.join(low, ["band", "value"]).select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), "low"), "candidates")
+    met = maybe_in(texts, near.select("id"), "id").where("_maybe").join(near, "id").select("low", "id", "packed")
 
     def compared(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
         edges = similar_pairs([shingle_set(zlib.decompress(t)) for t in texts]) if len(ids) > 1 else []
@@ -305,12 +306,12 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
     rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("low")), "by-fp")
     by_set = staged(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("low")), "by-set")
-    distinct = rows.select(F.col("row").alias("id"), "packed", "bands").join(by_set.select(F.col("low").alias("id")), "id", "left_semi")
+    distinct = rows.select(F.col("row").alias("id"), "bands").join(by_set.select(F.col("low").alias("id")), "id", "left_semi")
     ends = links(by_fp.select("fp"))
     ends = ends.join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), "b")
     edges = [
         ends.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")),
-        similar_links(distinct),
+        similar_links(distinct, rows.select(F.col("row").alias("id"), "packed")),
         rows.join(by_fp, "fp").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
         rows.join(by_set, "set").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
     ]

@@ -23,8 +23,8 @@ FACTORS = 8
 #: Terms, the most frequent of those that at most half of the training rows hold, whose pairs are searched for signals that
 #: no sum of weights can show; rows that a pair needs, how many standard errors its residuals must add up to, and pairs taken.
 PAIR_TERMS, PAIR_ROWS, PAIR_ERRORS, PAIRS = 1024, 10, 8.0, 256
-#: Words whose terms a worker remembers.
-MEMORY = 150_000
+#: Words whose terms a task remembers.
+MEMORY = 60_000
 
 
 def terms_of(word: bytes) -> set[int]:
