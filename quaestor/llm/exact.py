@@ -16,8 +16,8 @@ PARTITIONS = "spark.sql.shuffle.partitions"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",  # every store of an executor takes an eighth of it beforehand
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a query that has ended are unloaded by then
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store reserves some MB of disk
 }

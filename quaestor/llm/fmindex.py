@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
+from quaestor.llm.tables import bytes_of, gathered, in_arrow, no_clash, quoted
 
 WINDOW = 10
 #: Bytes of text in a shard, and words between sampled suffix positions.
@@ -272,14 +272,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [s.value for s in sent]
         at = len(keep)
-        for whole in batches:
-            for batch in slices(whole, whole.schema.names[at], SHARD_BYTES):
-                n, spans, items = shard_hits(bytes_of(batch.column(at)).to_pylist(), blocks)
-                hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
-                listed = [sorted(i) for i in items]
-                pieces = [[{"begin": a, "end": b} for a, b in s.tolist()] for s in spans]
-                columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(pieces, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array([h > 0 for h in hit], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*keep, "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])
+        for batch in gathered(batches, "_text", SHARD_BYTES):
+            n, spans, items = shard_hits(bytes_of(batch.column(at)).to_pylist(), blocks)
+            hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
+            listed = [sorted(i) for i in items]
+            pieces = [[{"begin": a, "end": b} for a, b in s.tolist()] for s in spans]
+            columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(pieces, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array([h > 0 for h in hit], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*keep, "n_words", "n_hit", "n_items", "items", "spans", "contaminated"])
 
     rows = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -314,31 +313,30 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [s.value for s in sent]
-        for whole in batches:
-            for batch in slices(whole, text, SHARD_BYTES):
-                texts = bytes_of(batch.column(at)).to_pylist()
-                cut, gone, left = {}, set(), list(range(len(texts)))
-                while left:
-                    n, spans, _ = shard_hits([texts[i] for i in left], blocks)
-                    hit = [(i, s, k) for i, s, k in zip(left, spans, n, strict=True) if len(s)]
-                    for i, s, k in hit:
-                        texts[i] = cut[i] = without_spans(texts[i], s)
-                        if int((s[:, 1] - s[:, 0]).sum()) == k:
-                            gone.add(i)
-                    left = [i for i, *_ in hit if i not in gone]
-                if cut:
-                    columns = list(batch.columns)
-                    old = columns[at].to_pylist()
-                    for i, t in cut.items():
-                        old[i] = t.decode("utf-8", "replace")
-                    columns[at] = pa.array(old, columns[at].type)
-                    if size is not None:
-                        sizes = columns[size].to_pylist()
-                        for i in cut:
-                            sizes[i] = len(old[i])
-                        columns[size] = pa.array(sizes, columns[size].type)
-                    batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-                    batch = batch.filter(pa.array([i not in gone for i in range(batch.num_rows)]))
-                yield batch
+        for batch in gathered(batches, text, SHARD_BYTES):
+            texts = bytes_of(batch.column(at)).to_pylist()
+            cut, gone, left = {}, set(), list(range(len(texts)))
+            while left:
+                n, spans, _ = shard_hits([texts[i] for i in left], blocks)
+                hit = [(i, s, k) for i, s, k in zip(left, spans, n, strict=True) if len(s)]
+                for i, s, k in hit:
+                    texts[i] = cut[i] = without_spans(texts[i], s)
+                    if int((s[:, 1] - s[:, 0]).sum()) == k:
+                        gone.add(i)
+                left = [i for i, *_ in hit if i not in gone]
+            if cut:
+                columns = list(batch.columns)
+                old = columns[at].to_pylist()
+                for i, t in cut.items():
+                    old[i] = t.decode("utf-8", "replace")
+                columns[at] = pa.array(old, columns[at].type)
+                if size is not None:
+                    sizes = columns[size].to_pylist()
+                    for i in cut:
+                        sizes[i] = len(old[i])
+                    columns[size] = pa.array(sizes, columns[size].type)
+                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                batch = batch.filter(pa.array([i not in gone for i in range(batch.num_rows)]))
+            yield batch
 
     return in_arrow(docs, work, docs.schema)

@@ -116,7 +116,7 @@ def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 #: Spark's setting for the bytes of a batch that goes to Python, its default, and what is set where that still holds.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1m"
 
 
 def in_arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -142,6 +142,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         begin = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches whose texts hold about `most` bytes: small ones are put together, large ones cut."""
+    held, size = [], 0
+    for batch in (part for whole in batches for part in slices(whole, column, most)):
+        held.append(batch)
+        size += int(text_and_offsets(batch.column(column))[1][-1])
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
