@@ -135,7 +135,8 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                     place, held, keys, counts = place + 1, 0, keys[:0], counts[:0]
         if id_type is not None:
             yield words_out()
-            yield numbers_out()
+            if len(keys):  # else the last slice has just been passed on
+                yield numbers_out()
 
     return in_arrow(docs, work, f"word binary, n long, slice long, part int, size int, numbers binary, counts binary, ids array<{ident}>, lengths array<int>, texts binary")
 
