@@ -200,6 +200,8 @@ WORDS, SIMILAR = 5, (4, 5)
 #: Two texts are compared if all least values of a band are equal: that fails in every band for 8 pairs of a thousand at a
 #: similarity of 0.8 and for 5 of ten thousand at 0.85, and holds in some band for 12 of a thousand at 0.3.
 BANDS, BAND = 16, 6
+#: Shingles that texts compared in one task may have together, as 32 MB of hashes; components of more are cut into parts.
+CROWD = 1 << 22
 MIX = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1)
 
 
@@ -249,36 +251,93 @@ def similar_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between the ids of similar texts. distinct: (id, bands), each set of shingles once; texts: (id, packed) of all.
-
-    Texts with an equal band are linked, and within each component of these links, where a text is sent once, all texts
-    are compared by their sets. Only texts that such a link touches, and few others, are shuffled.
+def asked_pairs(sets: list[np.ndarray], asks: list[int]) -> list[tuple[int, int]]:
+    """Edges that connect whatever pairs of similar sets connect of which one is among `asks`."""
+    sizes = np.array(list(map(len, sets)), np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    found = np.zeros((0, 2), np.int64)
+    for a in asks:
+        own = flat[begins[a] : begins[a + 1]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat], begins[:-1], dtype=np.int64)
+        mark[own] = False
+        near = np.flatnonzero(SIMILAR[1] * shared >= SIMILAR[0] * (sizes + sizes[a] - shared))
+        found = np.concatenate([found, np.stack([np.full(len(near), a), near], 1)])
+        if len(found) > 1 << 20:
+            found = np.array(forest(found), np.int64).reshape(-1, 2)
+    return forest(found)
+
+
+def _compared(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between ids of similar texts. units: (unit, id, ask); the texts of a unit meet in one task.
+
+    In a unit without rows of `ask` all are compared, else those rows with all.
     """
-    by_band = distinct.select("id", F.posexplode("bands").alias("band", "value"))
-    low = staged(by_band.groupBy("band", "value").agg(F.min("id").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"), "bands")
-    near = staged(components(by_band.join(low, ["band", "value"]).select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), "low"), "candidates")
-    met = maybe_in(texts, near.select("id"), "id").where("_maybe").join(near, "id").select("low", "id", "packed")
 
-    def compared(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        edges = similar_pairs([shingle_set(zlib.decompress(t)) for t in texts]) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def edges(ids: list[int], asks: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+        pairs = []
+        if len(ids) > 1:
+            sets = [shingle_set(zlib.decompress(t)) for t in texts]
+            pairs = asked_pairs(sets, [i for i, ask in enumerate(asks) if ask]) if any(asks) else similar_pairs(sets)
+        return pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, texts = None, [], []
+        now, ids, asks, texts = None, [], [], []
         for batch in batches:
-            for low, ident, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if low != now:
-                    yield compared(ids, texts)
-                    now, ids, texts = low, [], []
+            for unit, ident, ask, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if unit != now:
+                    yield edges(ids, asks, texts)
+                    now, ids, asks, texts = unit, [], [], []
                 ids.append(ident)
+                asks.append(ask)
                 texts.append(text)
-        yield compared(ids, texts)
+        yield edges(ids, asks, texts)
+
+    met = maybe_in(texts, units.select("id"), "id").where("_maybe").join(units, "id").select("unit", "id", "ask", "packed")
+    return in_arrow(met.repartition("unit").sortWithinPartitions("unit"), work, "a long, b long")
 
-    return in_arrow(met.repartition("low").sortWithinPartitions("low"), work, "a long, b long")
 
+def similar_links(distinct: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between the ids of similar texts. distinct: (id, bands, shingles), each set of shingles once; texts: (id, packed) of all.
 
-def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3) -> DataFrame:
+    Texts with an equal band are linked, and within each component of these links all texts are compared by their sets,
+    in one task if the component has no more than `crowd` shingles. A larger one is cut into parts of that size, and
+    each part is compared with itself and with the first. What then is in one group with most of the component need not
+    meet again; all others, in parts too, are compared with every part. So no task holds more than two parts, or a
+    longer text. Only texts that a link touches, and few others, are shuffled.
+    """
+    by_band = distinct.select("id", F.posexplode("bands").alias("band", "value"))
+    low = staged(by_band.groupBy("band", "value").agg(F.min("id").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"), "bands")
+    near = components(by_band.join(low, ["band", "value"]).select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), "low")
+    near = staged(near.join(distinct.select("id", "shingles"), "id"), "candidates")
+    parts = F.ceil(F.sum("shingles") / crowd).cast("int")
+    crowded = staged(near.groupBy("low").agg(parts.alias("parts")).where("parts > 1"), "crowded")
+
+    def part(count: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+
+    def of(count: str) -> Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    first = near.join(crowded, "low", "left").fillna(1, "parts").withColumn("part", F.explode(F.when(part("parts") == 0, of("parts")).otherwise(F.array(part("parts")))))
+    edges = _compared(first.select(F.struct("low", "part").alias("unit"), "id", F.lit(False).alias("ask")), texts)
+    if crowded.isEmpty():
+        return edges
+    edges = staged(edges, "edges")
+    members = near.join(crowded, "low").join(components(edges).select(F.col("node").alias("id"), F.col("low").alias("found")), "id", "left")
+    members = staged(members.withColumn("found", F.coalesce("found", "id")), "members")
+    most = members.groupBy("low", "found").agg(F.sum("shingles").alias("size")).groupBy("low").agg(F.max_by("found", F.struct("size", "found")).alias("most"))
+    others = members.join(most, "low").where("found <> most").drop("most")
+    asking = staged(others.groupBy("low").agg(parts.alias("asking")), "asking")
+    all_parts = members.join(asking, "low").withColumn("own", part("parts")).withColumn("by", F.explode(of("asking"))).withColumn("ask", F.lit(False))
+    all_asks = others.join(asking, "low").withColumn("by", part("asking")).withColumn("own", F.explode(of("parts"))).withColumn("ask", F.lit(True))
+    second = all_parts.unionByName(all_asks).groupBy("low", "by", "own", "id").agg(F.max("ask").alias("ask"))
+    return edges.unionByName(_compared(second.select(F.struct("low", "by", "own").alias("unit"), "id", "ask"), texts))
+
+
+def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: `keep` columns, row (an id of its own) and group, the least row reachable.
 
     Rows are linked by fingerprints of `words`-word shingles 2 or fewer bits apart, as in near_groups(), and by a Jaccard
@@ -296,22 +355,23 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
                 pa.array(fp),
                 pa.array([xxhash.xxh3_128_digest(v.tobytes()) if len(v) else None for v in sets], pa.binary()),
                 pa.array([bands(v).view(np.int64) if len(v) else None for v in sets], pa.list_(pa.int64())),
+                pa.array([len(v) for v in sets], pa.int64()),
                 pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*keep, "fp", "set", "bands", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*keep, "fp", "set", "bands", "shingles", "packed"])
 
     source = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
     head = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep)
-    made = in_arrow(source, work, f"{head}, fp long, set binary, bands array<long>, packed binary")
+    made = in_arrow(source, work, f"{head}, fp long, set binary, bands array<long>, shingles long, packed binary")
     rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("low")), "by-fp")
     by_set = staged(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("low")), "by-set")
-    distinct = rows.select(F.col("row").alias("id"), "bands").join(by_set.select(F.col("low").alias("id")), "id", "left_semi")
+    distinct = rows.select(F.col("row").alias("id"), "bands", "shingles").join(by_set.select(F.col("low").alias("id")), "id", "left_semi")
     ends = links(by_fp.select("fp"))
     ends = ends.join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), "b")
     edges = [
         ends.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")),
-        similar_links(distinct, rows.select(F.col("row").alias("id"), "packed")),
+        similar_links(distinct, rows.select(F.col("row").alias("id"), "packed"), crowd),
         rows.join(by_fp, "fp").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
         rows.join(by_set, "set").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
     ]

@@ -563,8 +563,9 @@ def test_near_copies(spark, odd, empty):
     assert simhash.drop_near_copies(empty).count() == 0 and simhash.near_groups(empty).count() == 0
 
 
-def test_similar_groups_by_brute_force(spark):
-    """Texts around a similarity of 0.8 are linked if and only if they reach it, or their fingerprints link them."""
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 450, 150])
+def test_similar_groups_by_brute_force(spark, crowd):
+    """Texts around a similarity of 0.8 are linked if and only if they reach it, or their fingerprints link them; crowded components too."""
     rng = random.Random(11)
     texts = []
     for _ in range(40):
@@ -586,7 +587,7 @@ def test_similar_groups_by_brute_force(spark):
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     assert linked > 30 and missed > 30
-    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crowd=crowd).collect()
     of = {r.doc_id: r.group for r in out}
     assert len({(root[i], of[i]) for i in of}) == len(set(root)) == len(set(of.values()))
 
