@@ -29,13 +29,13 @@ TOP = 3
 #: (context, byte) numbers that a part of the tree is meant to hold, one for TEXT_BYTES bytes of text; parts grow in number with the input.
 ENTRIES, TEXT_BYTES = 1_000_000, 16
 #: Texts are counted and scored in slices of so many bytes, or so many different numbers.
-SLICE_BYTES, SLICE_NUMBERS = 10 << 20, 2_000_000
+SLICE_BYTES, SLICE_NUMBERS = 20 << 20, 4_000_000
 #: Most frequent words whose counts are sent to the workers; all other words meet their counts in a join.
 FREQUENT = 1 << 16
 #: Bytes that no UTF-8 text holds: before a text's first byte, and behind its last.
 BEFORE, END = 0xFE, 0xFF
 #: Parts of the tree at least, and distinct words held before they are passed on.
-MERGE, HOLD = 64, 100_000
+MERGE, HOLD = 64, 300_000
 
 
 def spread(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +94,8 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(height, t or pa.list_(id_type))) for c, t in zip(names, kinds, strict=True)], names=names)
 
         def words_out() -> pa.RecordBatch:
-            return rows(len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+            out = pa.table({"word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())}).sort_by("word")  # in order they compress well
+            return rows(len(words), **{c: out[c].combine_chunks() for c in out.column_names})
 
         def numbers_out() -> pa.RecordBatch:
             order, part = by_part(keys, parts, depth)
@@ -230,7 +231,7 @@ class Top:
 
 
 def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
-    """(slice, part, scores): for each slice its numbers' log10 probabilities, in their order.
+    """(slice, part, size, scores): for each slice its numbers' log10 probabilities, in their order, packed.
 
     Each part of the tree is built twice where its numbers meet: for the top, which needs all parts, and with the top at hand.
     """
@@ -266,9 +267,9 @@ def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
             values = tree.log10(sent.value).astype(np.float32)
             for place, size, numbers, _ in blobs:
                 at = np.searchsorted(tree.numbers[depth], np.cumsum(unpacked(numbers, size, np.uint64), dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([part], pa.int32()), pa.array([values[at].tobytes()], pa.binary())], names=["slice", "part", "scores"])
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([part], pa.int32()), pa.array([size], pa.int32()), pa.array([packed(values[at])], pa.binary())], names=["slice", "part", "size", "scores"])
 
-    return in_arrow(dealt, downward, "slice long, part int, scores binary")
+    return in_arrow(dealt, downward, "slice long, part int, size int, scores binary")
 
 
 def text_scores(groups: list[list[bytes]], scores: np.ndarray, depth: int, parts: int) -> list[np.ndarray]:
@@ -345,21 +346,21 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(ident.alias("doc_id"), body.alias("_text"), (~is_held_out(ident)).alias("training"))
     size, trained = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count_if("training")).first()
     parts = max(MERGE, -(-size // (TEXT_BYTES * entries)))
-    counts = staged(count_texts(rows, depth, parts), "counts")
-    vocabulary = staged(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    counts = staged(count_texts(rows, depth, parts), "counts", "zstd")
+    vocabulary = staged(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary", "zstd")
     words, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = {bytes(r["word"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()}
     all_tokens, all_kinds = words + trained, distinct + (trained > 0)
     sent = spark.sparkContext.broadcast({w: float(np.log10(c + 1)) for w, c in top.items()})
     kind = rows.schema["doc_id"].dataType.simpleString()
     none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("lengths", "array<int>"), ("texts", "binary"))]
-    values = number_values(counts, depth, parts).select("slice", "part", "scores", *none)
-    texts = counts.where("texts IS NOT NULL").select("slice", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("scores"), "ids", "lengths", "texts")
+    values = number_values(counts, depth, parts).select("slice", "part", "size", "scores", *none)
+    texts = counts.where("texts IS NOT NULL").select("slice", *(F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("size", "int"), ("scores", "binary"))), "ids", "lengths", "texts")
     met = values.unionByName(texts).repartition(parts, "slice").sortWithinPartitions("slice", F.col("part").asc_nulls_last())
 
-    def scored_slice(scores: list[bytes], groups: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    def scored_slice(scores: list[np.ndarray], groups: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         get = sent.value.get
-        found_scores = text_scores([t for _, t in groups], np.frombuffer(b"".join(scores), np.float32), depth, parts)
+        found_scores = text_scores([t for _, t in groups], np.concatenate(scores), depth, parts)
         for (ids, texts), score in zip(groups, found_scores, strict=True):
             tokens, known, sums, rare, times = [], [], [], [], []
             for t in texts:
@@ -391,16 +392,16 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield from scored_slice(scores, groups)
                     scores, groups = [], []
                 now, run = place[begin], whole.slice(begin, end - begin)
-                scores += run.column(2).drop_null().to_pylist()
-                for i in np.flatnonzero(run.column(5).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    ends = np.cumsum([0, *run.column(4)[i].as_py()]).tolist()
-                    data = pa.decompress(run.column(5)[i].as_py(), ends[-1], codec="zstd", asbytes=True)
-                    groups.append((run.column(3)[i].values, [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]))
+                scores += [unpacked(x, n, np.float32) for x, n in zip(run.column(3).drop_null().to_pylist(), run.column(2).drop_null().to_pylist(), strict=True)]
+                for i in np.flatnonzero(run.column(6).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    ends = np.cumsum([0, *run.column(5)[i].as_py()]).tolist()
+                    data = pa.decompress(run.column(6)[i].as_py(), ends[-1], codec="zstd", asbytes=True)
+                    groups.append((run.column(4)[i].values, [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]))
         if groups:
             yield from scored_slice(scores, groups)
 
     scored = in_arrow(met, work, f"doc_id {kind}, n_bytes long, n_tokens long, known long, sums double, score double, rare array<binary>, times array<int>")
-    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored", "zstd")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
     joined = rare.join(vocabulary, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum("k").alias("more_known"))
     out = scored.drop("rare", "times").join(joined, "row", "left")
