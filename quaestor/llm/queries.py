@@ -150,6 +150,14 @@ def op10_sql() -> str:
       ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC LIMIT 1) AS best ON true"""
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.runs import find_runs, listed_runs, longest_run, with_planted_runs
+
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest_run(F.col("runs")).alias("best"), listed_runs(F.col("runs")).alias("listed"), "collapsed_text")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
@@ -161,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_period_runs": op11_period_runs,
 }
 
 
