@@ -158,6 +158,50 @@ def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
 
 
+def op12_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.ego import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+    WITH RECURSIVE e AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS MATERIALIZED (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN links ON a = r),
+    low AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+    n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaestor.llm.kmeans import cluster, with_clusters
+
+    found = with_clusters(spark, cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round spelt out: vectors to their nearest centroid, centroids to the floor of the mean."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, CAST(best % 64 AS INTEGER) AS j, best // 64 AS d FROM (
+          SELECT vec_id, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + j) AS best FROM v, c{r} GROUP BY vec_id))""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT j, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY j, i) GROUP BY j),
+            c{r + 1} AS MATERIALIZED (SELECT j, CAST(coalesce(m.c, o.c) AS BIGINT[]) AS c FROM c{r} o LEFT JOIN m{r} m USING (j))""")
+    return f"""
+    WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, x AS c FROM v QUALIFY j < {k}),
+    {", ".join(steps)}
+    SELECT vec_id, j AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
@@ -170,8 +214,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_period_runs": op11_period_runs,
+    "op12_embedding_links": op12_embedding_links,
+    "op13_centroids": op13_centroids,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_chat": op2_sql(), "op4_decontamination": op4_sql(), "op9_exact_dedup": OP9_SQL, "op10_url_filter": op10_sql()}
+    return {"op2_chat": op2_sql(), "op4_decontamination": op4_sql(), "op9_exact_dedup": OP9_SQL, "op10_url_filter": op10_sql(), "op12_embedding_links": OP12_SQL, "op13_centroids": op13_sql()}
