@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
 from quaestor.operators.chunking import chunks, sizes
-from quaestor.operators.retrieval import keyword_topk, with_content
+from quaestor.operators.keywords import Index, keyword_topk, search
+from quaestor.operators.retrieval import with_content
 
 METRICS = ["faithfulness", "answer_relevance", "context_precision", "context_recall", "answer_correctness", "semantic_similarity"]
 # Name, strategy, top_k and model of each experiment; a strategy of None has no results, the last model is not in the registry.
@@ -34,13 +37,15 @@ def experiments(spark: SparkSession) -> DataFrame:
     return rows.select(X.uid("experiment", F.col("experiment_name")).alias("experiment_id"), "experiment_name", F.lit("RAG").alias("experiment_type"), F.when(F.col("chunking_strategy").isNull(), "PENDING").otherwise("COMPLETED").alias("status"), F.lit("simple-local-answerer").alias("llm_model"), model.alias("embedding_model_id"), "chunking_strategy", "top_k")
 
 
-def question_results(questions: DataFrame, docs: DataFrame, strategy: str, ks: list[int]) -> DataFrame:
+def question_results(questions: DataFrame, docs: DataFrame, strategy: str, ks: list[int], index: Index | None = None) -> DataFrame:
     """For each question and k: the answer (content of rank 1), the metrics and token counts.
 
     Retrieval runs once, for the largest k; the smaller ones are its prefixes. Chunks are cut again only for hits.
+    Without a stored index of the documents' chunks one is built.
     """
     size, overlap = sizes(strategy)
-    hits = keyword_topk(questions.select("item_id", F.col("question_text").alias("text")), chunks(docs.select("doc_id", "text"), strategy), k=max(ks))
+    asked = questions.select("item_id", F.col("question_text").alias("text"))
+    hits = search(index, asked, k=max(ks)) if index else keyword_topk(asked, chunks(docs.select("doc_id", "text"), strategy), k=max(ks))
     found = with_content(hits.select("item_id", "doc_id", "chunk_index", "score", "result_rank"), docs, size, overlap)
     held = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("result_rank", "doc_id", "content"))).alias("all_hits"))
     each = questions.join(held, "item_id", "left").withColumn("top_k", F.explode(F.array(*map(F.lit, ks))))
@@ -78,12 +83,12 @@ def measured(rows: DataFrame) -> DataFrame:
     )
 
 
-def run_experiments(spark: SparkSession, questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Result rows of all experiments that have a strategy: each strategy's retrieval runs once for all its k."""
+def run_experiments(spark: SparkSession, questions: DataFrame, docs: DataFrame, index: Callable[[str], Index | None] = lambda strategy: None) -> DataFrame:
+    """Result rows of all experiments that have a strategy: each strategy's retrieval runs once for all its k. index: the stored one of a strategy."""
     out = None
     for strategy in sorted({s for _, s, _, _ in EXPERIMENTS if s}):
         own = [(n, k) for n, s, k, _ in EXPERIMENTS if s == strategy]
-        results = question_results(questions, docs, strategy, sorted({k for _, k in own}))
+        results = question_results(questions, docs, strategy, sorted({k for _, k in own}), index(strategy))
         named = spark.createDataFrame(own, "experiment_name string, top_k int")
         rows = results.join(F.broadcast(named), "top_k").select(X.uid("experiment", F.col("experiment_name")).alias("experiment_id"), X.uid("question", F.col("item_id")).alias("evaluation_question_id"), X.uid("result", F.concat_ws(":", "experiment_name", "item_id")).alias("experiment_result_id"), *METRICS, (BASE_MS + MS_PER_TOKEN * F.col("output_tokens")).cast("int").alias("latency_ms"), "input_tokens", "output_tokens", "total_tokens", (F.col("total_tokens").cast("decimal(12,0)") * F.lit(COST_PER_TOKEN).cast("decimal(7,6)")).cast("decimal(18,6)").alias("cost"))
         out = rows if out is None else out.unionByName(rows)

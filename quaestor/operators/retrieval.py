@@ -1,160 +1,20 @@
-"""Retrieval: keyword overlap or vector similarity, threshold, top k, rank, answerability, citations."""
+"""Retrieval: asking questions, answerability, citations and reranking; chunks are found by the index of `keywords` or by vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
 from quaestor.operators.chunking import chunks, sizes
+from quaestor.operators.keywords import THRESHOLD, TOP_K, Index, keyword_topk, search
 
-TOP_K, THRESHOLD = 5, 0.05
 NO_ANSWER = "NO_CHUNK_ABOVE_THRESHOLD"
-#: Queries that are scored in one pass over the chunks; more queries take more passes.
-BLOCK = 2_000
-
-
-def ranked(scored: DataFrame, query: str, tie: list[str], k: int, score: str = "score") -> DataFrame:
-    """The k best rows of each query, with `result_rank` from 1: by score, then by `tie`."""
-    order = Window.partitionBy(query).orderBy(F.desc(score), *tie)
-    return scored.withColumn("result_rank", F.row_number().over(order)).where(F.col("result_rank") <= k)
-
-
-def _block_hits(chunks: DataFrame, rows: list[tuple], query: str, id_type: str, keep: list[str], k: int, threshold: float) -> DataFrame:
-    """The k best chunks that each task finds for each query of a block."""
-    sent = chunks.sparkSession.sparkContext.broadcast(rows)
-    kind = pa.string() if id_type == "string" else pa.int64() if id_type == "bigint" else pa.int32()
-    fields = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keep)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [r[0] for r in sent.value]
-        sizes = np.array([max(1, len(r[1])) for r in sent.value], np.int64)
-        asked: dict[str, list[int]] = {}
-        for q, (_, words) in enumerate(sent.value):
-            for w in words:
-                asked.setdefault(w, []).append(q)
-        lists = {w: np.array(q, np.int64) for w, q in asked.items()}
-        n = len(ids)
-        held = None  # the best so far: query, score and the chunk's columns
-        for batch in batches:
-            words = batch.column(len(keep))
-            ends = np.asarray(words.offsets)
-            flat = words.values.to_pylist()
-            rows, queries, shared = [], [], []
-            for i in range(batch.num_rows):
-                met = [lists[w] for w in flat[ends[i] : ends[i + 1]] if w in lists]
-                if met:
-                    count = np.bincount(np.concatenate(met), minlength=n)
-                    hit = np.flatnonzero(count)
-                    rows.append(np.full(len(hit), i))
-                    queries.append(hit)
-                    shared.append(count[hit])
-            if not rows:
-                continue
-            row, q = np.concatenate(rows), np.concatenate(queries)
-            score = np.concatenate(shared) / sizes[q]
-            ok = score >= threshold
-            row, q, score = row[ok], q[ok], score[ok]
-            new = pa.table([pa.array(q), pa.array(score), *(batch.column(j).take(pa.array(row)) for j in range(len(keep)))], names=["_query", "_score", *keep])
-            held = best_of(new if held is None else pa.concat_tables([held, new]), k)
-        if held is not None:
-            of = pa.array([ids[x] for x in held["_query"].to_pylist()], kind)
-            for part in pa.table([of, held["_score"], *(held[c] for c in keep)], names=[query, "score", *keep]).combine_chunks().to_batches():
-                yield part
-
-    return chunks.mapInArrow(work, f"{query} {id_type}, score double, {fields}")
-
-
-def best_of(hits: pa.Table, k: int) -> pa.Table:
-    """The k best rows of each query: by score, then by the columns behind it."""
-    ties = [np.asarray(hits.column(j)) for j in range(hits.num_columns - 1, 1, -1)]
-    q = hits["_query"].to_numpy()
-    order = np.lexsort((*ties, -hits["_score"].to_numpy(), q))
-    first = np.searchsorted(q[order], q[order], side="left")
-    return hits.take(pa.array(order[np.arange(len(q)) - first < k]))
-
-
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, query: str = "item_id", query_text: str = "text", tie: tuple[str, ...] = ("doc_id", "chunk_index"), block: int = BLOCK) -> DataFrame:
-    """The k best chunks of each query by the share of its distinct tokens that a chunk holds, at least `threshold`.
-
-    The queries are a stated set and go to the workers in blocks, as lists by token; a chunk meets only the queries
-    that share a token with it, and a task passes on no more than its k best per query, so neither all pairs nor all
-    matches are shuffled. Ties go by the `tie` columns, which name a chunk. Ids are text or whole numbers. Queries
-    without tokens have no hits.
-    """
-    spark, keep, id_type = chunks.sparkSession, list(tie), queries.schema[query].dataType.simpleString()
-    if id_type not in ("string", "bigint", "int"):
-        raise ValueError(f"a query's id is text or a whole number, not {id_type}")
-    rows = [(r[0], list(r[1])) for r in queries.select(query, X.token_set(F.col(query_text))).where(F.col(query).isNotNull()).toLocalIterator() if r[1]]
-    found = chunks.select(*keep, X.token_set(F.col("content")).alias("words"))
-    blocks = [_block_hits(found, rows[i : i + block], query, id_type, keep, k, threshold) for i in range(0, len(rows), block)]
-    if not blocks:
-        return spark.createDataFrame([], f"{query} {id_type}, score double, " + ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keep) + ", result_rank int")
-    hits = blocks[0]
-    for b in blocks[1:]:
-        hits = hits.unionByName(b)
-    return ranked(hits, query, keep, k)
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, threshold: float | None = None, block: int = BLOCK, keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:
-    """The k best vectors (`keep`, embedding) of each query (query_id, embedding) by their product; unit lengths make it the cosine.
-
-    Queries are a stated set and go to the workers in blocks, as a matrix; a task multiplies its vectors by it and
-    passes on no more than its k best per query. `keep` names a vector by whole numbers. Scores are rounded to 12 digits, so equal vectors tie, and ties go by
-    `keep`. Rows without a vector, or with one of another length than the query's, have no score.
-    """
-    spark = vectors.sparkSession
-    asked = [(r[0], r[1]) for r in queries.where("query_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>")).toLocalIterator()]
-    sizes = sorted({len(v) for _, v in asked})
-    blocks = [own[i : i + block] for n in sizes if (own := [a for a in asked if len(a[1]) == n]) for i in range(0, len(own), block)]
-    schema = "query_id long, score double, " + ", ".join(f"{c} long" for c in keep)
-    named = " AND ".join(f"{c} IS NOT NULL" for c in keep)
-    rows = vectors.where(f"embedding IS NOT NULL AND {named}").select(*(F.col(c).cast("long") for c in keep), F.col("embedding").cast("array<double>"))
-
-    def hits(part: list[tuple]) -> DataFrame:
-        ids = np.array([q for q, _ in part], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in part], np.float64).T))
-        width = len(part[0][1])
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix = sent.value
-            best = None
-            for batch in (b for b in batches if b.num_rows):
-                score = np.round(batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width) @ matrix, 12).T
-                by_id = np.lexsort([batch.column(j).to_numpy() for j in range(len(keep) - 1, -1, -1)])
-                first = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
-                q, s = np.repeat(np.arange(len(names)), first.shape[1]), np.take_along_axis(score, first, axis=1).ravel()
-                ok = np.flatnonzero(np.ones(len(s), bool) if threshold is None else s >= threshold)
-                at = pa.array(first.ravel()[ok])
-                new = pa.table([pa.array(q[ok]), pa.array(s[ok]), *(batch.column(j).take(at) for j in range(len(keep)))], names=["_query", "_score", *keep])
-                best = best_of(new if best is None else pa.concat_tables([best, new]), k)
-            if best is not None:
-                of = pa.array(names[best["_query"].to_numpy()])
-                yield from pa.table([of, best["_score"], *(best[c] for c in keep)], names=["query_id", "score", *keep]).combine_chunks().to_batches()
-
-        return rows.where(F.size("embedding") == width).mapInArrow(work, schema)
-
-    if not blocks:
-        return spark.createDataFrame([], schema + ", result_rank int")
-    found = hits(blocks[0])
-    for part in blocks[1:]:
-        found = found.unionByName(hits(part))
-    return ranked(found, "query_id", list(keep), k)
-
-
-def vectors_of(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """`keep` columns and `embedding`: the unit vector of the text's hashed bag of tokens; null and wordless texts have zeros."""
-    bags = rows.select(*keep, V.bag(X.tokens(F.coalesce(text, F.lit("")))).alias("bag"))
-    return bags.select(*keep, V.dense(F.col("bag")).alias("embedding"))
-
-
-def ask(questions: DataFrame, docs: DataFrame, strategy: str = "fixed_1200_150", k: int = TOP_K, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
-    """From questions (item_id, text) to the tables that asking fills, and the answers.
+
+
+def ask(questions: DataFrame, docs: DataFrame, strategy: str = "fixed_1200_150", k: int = TOP_K, threshold: float = THRESHOLD, metric: str = "keyword", index: Index | None = None) -> dict[str, DataFrame]:
+    """From questions (item_id, text) to the tables that asking fills, and the answers. Without a stored index of the documents' chunks one is built.
 
     retrieval_queries: the query as rewritten, and whether it can be answered; retrieval_results: its hits by rank;
     answer_citations: their quotes; answers: the content of the best hit, with its citations as JSON. A question
@@ -162,13 +22,14 @@ def ask(questions: DataFrame, docs: DataFrame, strategy: str = "fixed_1200_150",
     """
     size, overlap = sizes(strategy)
     asked = questions.select("item_id", "text", X.rewrite(F.col("text")).alias("rewritten_query"))
-    hits = keyword_topk(asked.select("item_id", F.col("rewritten_query").alias("text")), chunks(docs.select("doc_id", "text"), strategy), k, threshold)
+    queries = asked.select("item_id", F.col("rewritten_query").alias("text"))
+    hits = search(index, queries, k, threshold, metric) if index else keyword_topk(queries, chunks(docs.select("doc_id", "text"), strategy), k, threshold, metric=metric)
     results = hits.select(X.uid("hit", F.concat_ws(":", "item_id", "result_rank")).alias("retrieval_result_id"), "item_id", "doc_id", "chunk_index", "result_rank", F.col("score").alias("similarity_score"))
     states = answerable(questions, hits)
     cited = citations(with_content(hits, docs, size, overlap))
     best = cited.where("citation_order = 1").select("item_id", F.col("quote_text").alias("answer"))
     answers = states.join(best, "item_id", "left").join(citations_json(cited), "item_id", "left")
-    queries = asked.join(states, "item_id").select("item_id", F.col("text").alias("query_text"), "rewritten_query", F.lit(k).alias("top_k"), F.lit("keyword").alias("similarity_metric"), F.lit(threshold).alias("similarity_threshold"), "is_answerable", "no_answer_reason")
+    queries = asked.join(states, "item_id").select("item_id", F.col("text").alias("query_text"), "rewritten_query", F.lit(k).alias("top_k"), F.lit(metric).alias("similarity_metric"), F.lit(threshold).alias("similarity_threshold"), "is_answerable", "no_answer_reason")
     return {"retrieval_queries": queries, "retrieval_results": results, "answer_citations": cited, "answers": answers}
 
 

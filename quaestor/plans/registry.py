@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
-from quaestor.operators import catalog, chat, evaluation, integrity, retrieval
+from quaestor.operators import catalog, chat, evaluation, integrity, keywords, retrieval, vectors
 from quaestor.operators.chunking import chunks, contents, counted, paged_chunks
 from quaestor.plans import sql
 from quaestor.sources import adapters
@@ -38,8 +38,14 @@ def rounded(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.round(c, 5).alias(c) if c.startswith("avg_") and c != "avg_latency_ms" else c for c in rows.columns))
 
 
+def _index(spark: SparkSession, sf_dir: str, strategy: str = "fixed_1200_150") -> keywords.Index:
+    """The stored index of the documents' chunks: built by the first query that needs it."""
+    return keywords.stored_index(spark, f"{sf_dir}/documents.parquet", strategy)
+
+
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return evaluation.experiments(spark), evaluation.embedding_models(spark), evaluation.run_experiments(spark, adapters.evaluation_questions(spark, sf_dir), docs(spark, sf_dir))
+    results = evaluation.run_experiments(spark, adapters.evaluation_questions(spark, sf_dir), docs(spark, sf_dir), lambda strategy: _index(spark, sf_dir, strategy))
+    return evaluation.experiments(spark), evaluation.embedding_models(spark), results
 
 
 @query(sql.dashboard())
@@ -96,7 +102,7 @@ def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    return retrieval.keyword_topk(read(spark, sf_dir, "benchmark"), chunks(docs(spark, sf_dir)), k=k)
+    return keywords.search(_index(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=k)
 
 
 @query(f"WITH {sql.chunks()}, {sql.hits()} SELECT item_id, doc_id, chunk_index, round(score, 6) AS score, result_rank FROM hits")
@@ -104,28 +110,61 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("item_id", "doc_id", "chunk_index", F.round("score", 6).alias("score"), "result_rank")
 
 
+@query(f"WITH {sql.chunks()}, {sql.bm25()} SELECT item_id, doc_id, chunk_index, round(score, 6) AS score, result_rank FROM bm25")
+def keyword_topk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions by another metric, from the same index: BM25 with the chunks' frequencies and mean length."""
+    hits = keywords.search(_index(spark, sf_dir), read(spark, sf_dir, "benchmark"), threshold=0.0, metric="bm25")
+    return hits.select("item_id", "doc_id", "chunk_index", F.round("score", 6).alias("score"), "result_rank")
+
+
 @query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, count(doc_id) AS n_hits, count(doc_id) > 0 AS is_answerable,
   CASE WHEN count(doc_id) = 0 THEN 'NO_CHUNK_ABOVE_THRESHOLD' END AS no_answer_reason FROM benchmark LEFT JOIN hits USING (item_id) GROUP BY item_id""")
 def keyword_threshold_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.answerable(read(spark, sf_dir, "benchmark"), _hits(spark, sf_dir))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 20 = 0)
+_NEAREST = """WITH q AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 20 = 0)
   SELECT query_id, vec_id, round(score, 6) AS score, CAST(result_rank AS INTEGER) AS result_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS result_rank FROM (
-      SELECT query_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(asked AS DOUBLE[])) AS score FROM embeddings, q)) WHERE result_rank <= 5""")
+      SELECT query_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(asked AS DOUBLE[])) AS score FROM embeddings, q)) WHERE result_rank <= 5"""
+
+
+@query(_NEAREST)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 as a query, against all vectors."""
-    e = read(spark, sf_dir, "embeddings")
-    top = retrieval.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
+    return _nearest(vectors.vector_topk(_twentieth(spark, sf_dir), read(spark, sf_dir, "embeddings")))
+
+
+def _twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _nearest(top: DataFrame) -> DataFrame:
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "result_rank")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> vectors.InvertedFile:
+    """The stored inverted file of the embeddings: built by the first query that needs it."""
+    return vectors.stored_inverted_file(spark, f"{sf_dir}/embeddings.parquet")
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries against the nearest cells of an inverted file of all vectors; a test measures the recall."""
+    return _nearest(vectors.index_topk(_cells(spark, sf_dir), _twentieth(spark, sf_dir)))
+
+
+@query(_NEAREST)
+def vector_index_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell asked: the rows of vector_topk, from the inverted file."""
+    index = _cells(spark, sf_dir)
+    return _nearest(vectors.index_topk(index, _twentieth(spark, sf_dir), probes=max(1, len(index.centroids))))
+
+
 @query(f"""SELECT doc_id, b AS bucket, count(*) AS n FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 128 AS INTEGER) AS b FROM (SELECT doc_id, unnest({sql.tokens("text")}) AS t FROM documents)) GROUP BY doc_id, b""")
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-zero places of each document's hashed bag of tokens; no shuffle."""
-    bags = docs(spark, sf_dir).select("doc_id", V.bag(X.tokens(F.col("text"))).alias("bag"))
-    return bags.select("doc_id", F.inline("bag")).select("doc_id", "bucket", F.col("n").cast("long").alias("n"))
+    return vectors.bags_of(docs(spark, sf_dir), "text", ["doc_id"])
 
 
 _BAG = "list_transform(range(128), lambda i: CAST(len(list_filter({0}, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 128 = i)) AS DOUBLE))"
@@ -139,9 +178,9 @@ _BAG = "list_transform(range(128), lambda i: CAST(len(list_filter({0}, lambda t:
       SELECT item_id, doc_id, chunk_index, round(CASE WHEN u.s > 0 AND w.s > 0 THEN list_dot_product(v, a) / (u.s * w.s) ELSE 0.0 END, 12) AS score FROM u, w)) WHERE result_rank <= 5""")
 def hashed_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five chunks nearest to each benchmark item by the cosine of hashed vectors of 128 places."""
-    asked = retrieval.vectors_of(read(spark, sf_dir, "benchmark"), "text", ["item_id"]).withColumnRenamed("item_id", "query_id")
-    held = retrieval.vectors_of(chunks(docs(spark, sf_dir)), "content", ["doc_id", "chunk_index"])
-    top = retrieval.vector_topk(asked, held, keep=("doc_id", "chunk_index"))
+    asked = vectors.vectors_of(read(spark, sf_dir, "benchmark"), "text", ["item_id"]).withColumnRenamed("item_id", "query_id")
+    held = vectors.vectors_of(chunks(docs(spark, sf_dir)), "content", ["doc_id", "chunk_index"])
+    top = vectors.vector_topk(asked, held, keep=("doc_id", "chunk_index"))
     return top.select(F.col("query_id").alias("item_id"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.round("score", 6).alias("score"), "result_rank")
 
 
@@ -179,7 +218,7 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ANSWERS} SELECT * FROM r_fixed_1200_150")
 def experiment_results_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.question_results(adapters.evaluation_questions(spark, sf_dir), docs(spark, sf_dir), "fixed_1200_150", [1, 3, 5])
+    return evaluation.question_results(adapters.evaluation_questions(spark, sf_dir), docs(spark, sf_dir), "fixed_1200_150", [1, 3, 5], _index(spark, sf_dir))
 
 
 @query(f"WITH {sql.QUESTIONS} SELECT item_id, question_text, question_text AS ground_truth_answer, expected_doc_id FROM questions")
@@ -393,13 +432,13 @@ def paged_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM benchmark LEFT JOIN f USING (item_id) LEFT JOIN j USING (item_id)""")
 def ask_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item asked: answer, reason if there is none, citations."""
-    return retrieval.ask(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir))["answers"]
+    return retrieval.ask(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir), index=_index(spark, sf_dir))["answers"]
 
 
 @query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, text AS query_text, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS rewritten_query, 5 AS top_k, 'keyword' AS similarity_metric, 0.05::DOUBLE AS similarity_threshold,
   count(doc_id) > 0 AS is_answerable, CASE WHEN count(doc_id) = 0 THEN 'NO_CHUNK_ABOVE_THRESHOLD' END AS no_answer_reason FROM benchmark LEFT JOIN hits USING (item_id) GROUP BY item_id, text""")
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ask(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir))["retrieval_queries"]
+    return retrieval.ask(read(spark, sf_dir, "benchmark"), docs(spark, sf_dir), index=_index(spark, sf_dir))["retrieval_queries"]
 
 
 @query(f"""WITH {sql.chunks()}, {sql.hits()}, f AS (SELECT h.*, {sql.tokens("content")} AS c, {sql.tokens("b.text")} AS q FROM hits h JOIN chunks USING (doc_id, chunk_index) JOIN benchmark b USING (item_id)),
@@ -431,8 +470,8 @@ def chunk_embeddings_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors with their chunk and their model, whose dimension they should have; a model that is not in the registry joins none."""
     cut = chunks(docs(spark, sf_dir)).withColumn("chunk_id", X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")))
     name = F.when(F.col("chunk_index") % 3 == 0, "multilingual-e5-base").when(F.col("chunk_index") % 3 == 1, "bge-m3").otherwise("missing-model")
-    vectors = retrieval.vectors_of(cut.withColumn("embedding_model_id", X.uid("model", name)), "content", ["chunk_id", "embedding_model_id"])
-    stored = vectors.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
+    made = vectors.vectors_of(cut.withColumn("embedding_model_id", X.uid("model", name)), "content", ["chunk_id", "embedding_model_id"])
+    stored = made.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
     joined = retrieval.embeddings_with_models(stored, cut.select("chunk_id", "doc_id", "chunk_index"), evaluation.embedding_models(spark))
     return joined.select("doc_id", "chunk_index", "model_name", "model_dimension", "dimension", "right_dimension")
 

@@ -34,6 +34,18 @@ def hits(k: int = 5, name: str = "hits", source: str = "chunks") -> str:
       SELECT item_id, doc_id, chunk_index, count(*) / CAST(any_value(n) AS DOUBLE) AS score FROM {name}_asked JOIN {name}_held USING (t) GROUP BY item_id, doc_id, chunk_index HAVING count(*) / CAST(any_value(n) AS DOUBLE) >= 0.05)) WHERE result_rank <= {k})"""
 
 
+def bm25(k: int = 5, source: str = "chunks") -> str:
+    """The k best chunks of each benchmark item by BM25 with k1 = 1.2 and b = 0.75; frequencies and lengths are the chunks'."""
+    return f"""b_asked AS (SELECT item_id, unnest(list_distinct({tokens("text")})) AS t FROM benchmark),
+    b_held AS (SELECT doc_id, chunk_index, unnest(w) AS t, len(w) AS n FROM (SELECT doc_id, chunk_index, {tokens("content")} AS w FROM {source})),
+    b_tf AS (SELECT doc_id, chunk_index, t, any_value(n) AS n, count(*) AS tf FROM b_held GROUP BY ALL),
+    b_df AS (SELECT t, count(*) AS df FROM b_tf GROUP BY t),
+    b_all AS (SELECT count(*) AS n_chunks, avg(len({tokens("content")})) AS mean FROM {source}),
+    bm25 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_index) AS INTEGER) AS result_rank FROM (
+      SELECT item_id, doc_id, chunk_index, round(sum(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 12) AS score
+      FROM b_asked JOIN b_tf USING (t) JOIN b_df USING (t), b_all GROUP BY item_id, doc_id, chunk_index)) WHERE result_rank <= {k})"""
+
+
 QUESTIONS = """questions AS (SELECT item_id, text AS question_text, (SELECT min(doc_id) FROM documents d WHERE contains(d.text, b.text)) AS expected_doc_id FROM benchmark b)"""
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quaestor import schema as S
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
-from quaestor.operators import catalog, chat, evaluation, integrity, retrieval
+from quaestor.operators import catalog, chat, evaluation, integrity, keywords, retrieval, vectors
 from quaestor.operators.chunking import chunks, paged_chunks, sizes
 from quaestor.sources import files
 from quaestor.streaming import chat as stream
@@ -68,12 +68,12 @@ def test_vietnamese_text(spark):
 def test_keyword_ties_threshold_and_blocks(spark):
     c = spark.createDataFrame([(2, 0, "alpha beta"), (1, 1, "Alpha beta"), (1, 0, "alpha"), (3, 0, "zzz"), (4, 0, None)], "doc_id long, chunk_index int, content string")
     q = spark.createDataFrame([(1, "alpha BETA"), (2, "nothing here"), (3, ""), (4, None), (5, "zzz alpha")], "item_id long, text string")
-    one = [tuple(r) for r in retrieval.keyword_topk(q, c, k=2).select("item_id", "doc_id", "chunk_index", "score", "result_rank").orderBy("item_id", "result_rank").collect()]
+    one = [tuple(r) for r in keywords.keyword_topk(q, c, k=2).select("item_id", "doc_id", "chunk_index", "score", "result_rank").orderBy("item_id", "result_rank").collect()]
     assert one == [(1, 1, 1, 1.0, 1), (1, 2, 0, 1.0, 2), (5, 1, 0, 0.5, 1), (5, 1, 1, 0.5, 2)]
-    assert one == [tuple(r) for r in retrieval.keyword_topk(q, c, k=2, block=1).select("item_id", "doc_id", "chunk_index", "score", "result_rank").orderBy("item_id", "result_rank").collect()]
-    assert retrieval.keyword_topk(q, c, k=5, threshold=0.5).where("item_id = 1").count() == 3
-    assert retrieval.keyword_topk(q.limit(0), c).count() == 0
-    states = {r.item_id: r.is_answerable for r in retrieval.answerable(q, retrieval.keyword_topk(q, c)).collect()}
+    assert one == [tuple(r) for r in keywords.keyword_topk(q.repartition(3), c.repartition(4), k=2).select("item_id", "doc_id", "chunk_index", "score", "result_rank").orderBy("item_id", "result_rank").collect()]
+    assert keywords.keyword_topk(q, c, k=5, threshold=0.5).where("item_id = 1").count() == 3
+    assert keywords.keyword_topk(q.limit(0), c).count() == 0
+    states = {r.item_id: r.is_answerable for r in retrieval.answerable(q, keywords.keyword_topk(q, c)).collect()}
     assert states == {1: True, 2: False, 3: False, 4: False, 5: True}
 
 
@@ -88,8 +88,8 @@ def test_vector_topk(spark):
     q = spark.createDataFrame([(7, [1.0, 0.5]), (8, [2.0]), (9, None)], "query_id long, embedding array<float>")
     rank = lambda rows: [tuple(r) for r in rows.select("query_id", "vec_id", "score", "result_rank").orderBy("query_id", "result_rank").collect()]
     want = [(7, 1, 1.0, 1), (7, 3, 1.0, 2), (8, 5, 2.0, 1)]
-    assert rank(retrieval.vector_topk(q, v, k=2)) == want == rank(retrieval.vector_topk(q, v, k=2, block=1))
-    assert rank(retrieval.vector_topk(q, v, threshold=1.5)) == [(8, 5, 2.0, 1)] and rank(retrieval.vector_topk(q.limit(0), v)) == []
+    assert rank(vectors.vector_topk(q, v, k=2)) == want 
+    assert rank(vectors.vector_topk(q, v, threshold=1.5)) == [(8, 5, 2.0, 1)] and rank(vectors.vector_topk(q.limit(0), v)) == []
 
 
 def test_integrity(spark):

@@ -5,7 +5,7 @@ import pytest
 from quaestor.plans import registry
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(name, same):
     same(registry.QUERIES[name], registry.ORACLES[name])
 
