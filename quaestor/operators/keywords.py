@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ TOP_K, THRESHOLD = 5, 0.05
 #: Chunks of a range: a token has one posting block in each range that holds it.
 RANGE = 64
 #: Folders of the postings, by hash of the token, and ranges of one file in a folder.
-BUCKETS, RANGES_PER_FILE = 32, 4_096
+BUCKETS, RANGES_PER_FILE = 16, 4_096
 #: Ranges of each query that are scored first, to know what the k-th best reaches at least.
 SEEDS = 4
 #: Queries of a block, and tokens of all queries that are broadcast at most.
@@ -62,6 +63,9 @@ METRICS = {
 }
 
 
+POSTINGS = "token string, range bigint, n int, top_tf int, least_length int, places binary, tfs binary, lengths binary, bucket int"
+
+
 @dataclass
 class Index:
     """A written index: postings (bucket, token, range, n, top_tf, least_length, places, tfs, lengths) and ranges (range, chunks' names, n, tokens)."""
@@ -70,11 +74,11 @@ class Index:
     path: str
     tie: tuple[str, ...]
 
-    @property
+    @cached_property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
 
-    @property
+    @cached_property
     def ranges(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/ranges")
 
