@@ -43,12 +43,12 @@ def with_defaults(table: DataFrame, name: str, key: list[str] | None = None, now
     out = []
     for c in S.columns(name):
         have = F.col(c.name).cast(c.type) if c.name in table.columns else F.lit(None).cast(c.type)
-        if c.default == "uuid":
-            fill = uid(name, F.concat_ws(":", *key)) if key else F.expr("uuid()")
-        elif c.default == "now":
-            fill = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
+        if c.default == "uuid()" and key:
+            fill = uid(name, F.concat_ws(":", *key))
+        elif c.default == "localtimestamp()" and now:
+            fill = F.lit(now).cast("timestamp_ntz")
         else:
-            fill = F.lit(c.default).cast(c.type) if c.default is not None else None
+            fill = F.expr(c.default).cast(c.type) if c.default is not None else None
         out.append((have if fill is None else F.coalesce(have, fill)).alias(c.name))
     return table.select(*out)
 
@@ -107,12 +107,8 @@ def insert_from_select(source: DataFrame, rows: list[tuple[str, dict]], match: s
     return out
 
 
-def delete(tables: Mapping[str, DataFrame], name: str, ids: DataFrame) -> tuple[dict[str, DataFrame], dict[tuple[str, str], DataFrame]]:
-    """Deletes rows by primary key and follows references: returns the new tables, and what blocks the delete.
-
-    Cascades take along the rows of children, set-null clears their reference. Rows that a rule of no action keeps,
-    and whose parent would go while they stay, block it: (child, column) to those rows. The caller decides.
-    """
+def rows_gone(tables: Mapping[str, DataFrame], name: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The primary keys of the rows that go with the named ones: theirs, and those of children that cascades take along."""
     gone: dict[str, DataFrame] = {name: ids.select(F.col(ids.columns[0]).alias(S.columns(name)[0].name)).distinct()}
     line, by_parent = deque([name]), {}
     for r in S.references():
@@ -127,6 +123,16 @@ def delete(tables: Mapping[str, DataFrame], name: str, ids: DataFrame) -> tuple[
                 gone[r.child] = gone[r.child].unionByName(more).distinct() if r.child in gone else more.distinct()
                 if r.child != parent:
                     line.append(r.child)
+    return gone
+
+
+def delete(tables: Mapping[str, DataFrame], name: str, ids: DataFrame) -> tuple[dict[str, DataFrame], dict[tuple[str, str], DataFrame]]:
+    """Deletes rows by primary key and follows references: returns the new tables, and what blocks the delete.
+
+    Cascades take along the rows of children, set-null clears their reference. Rows that a rule of no action keeps,
+    and whose parent would go while they stay, block it: (child, column) to those rows. The caller decides.
+    """
+    gone = rows_gone(tables, name, ids)
     left, blocked = {}, {}
     for t, rows in tables.items():
         left[t] = rows.join(gone[t], S.columns(t)[0].name, "left_anti").select(*rows.columns) if t in gone else rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
 from quaestor.operators import catalog, chat, evaluation, integrity, keywords, retrieval, vectors
+from quaestor.operators import store as stores
 from quaestor.operators.chunking import chunks, contents, counted, paged_chunks
 from quaestor.plans import sql
-from quaestor.sources import adapters
+from quaestor.sources import adapters, stored
 from quaestor.sources.adapters import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,8 +473,8 @@ def chunk_embeddings_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = chunks(docs(spark, sf_dir)).withColumn("chunk_id", X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")))
     name = F.when(F.col("chunk_index") % 3 == 0, "multilingual-e5-base").when(F.col("chunk_index") % 3 == 1, "bge-m3").otherwise("missing-model")
     made = vectors.vectors_of(cut.withColumn("embedding_model_id", X.uid("model", name)), "content", ["chunk_id", "embedding_model_id"])
-    stored = made.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
-    joined = retrieval.embeddings_with_models(stored, cut.select("chunk_id", "doc_id", "chunk_index"), evaluation.embedding_models(spark))
+    kept = made.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
+    joined = retrieval.embeddings_with_models(kept, cut.select("chunk_id", "doc_id", "chunk_index"), evaluation.embedding_models(spark))
     return joined.select("doc_id", "chunk_index", "model_name", "model_dimension", "dimension", "right_dimension")
 
 
@@ -520,6 +522,70 @@ def patch_with_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.patch(read(spark, sf_dir, "documents").select("doc_id", "lang"), changes.unionByName(changes.withColumn("lang", F.lit(None).cast("string"))), "doc_id")
 
 
+def _store(spark: SparkSession, *names: str) -> stores.Store:
+    """A new database with empty tables in the shared folder."""
+    return stores.Store.create(spark, f"quaestor_{uuid.uuid4().hex}", names, stored.new_path(spark, "database"))
+
+
+def _uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.course_documents(spark, sf_dir)
+    return d.select("document_id", "workspace_id", "course_id", "document_title", "original_filename", "file_type", F.concat(F.lit("/uploads/"), "original_filename").alias("file_path"), "file_size_bytes", "doc_id")
+
+
+@query(f"""SELECT {sql.uid("document", "doc_id")} AS document_id, 'doc_' || doc_id AS document_title, 'UPLOADED' AS processing_status, 'vi' AS language, CAST(NULL AS INTEGER) AS total_pages, octet_length(encode(text)) AS file_size_bytes FROM documents""")
+def documents_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added to a written table in two lots without the columns that have defaults; a third lot, whose keys are taken, is rejected. The table read back."""
+    store, new = _store(spark, "course_documents"), _uploaded(spark, sf_dir)
+    for lot in (0, 1):
+        store.append("course_documents", new.where(F.col("doc_id") % 2 == lot).drop("doc_id"))
+    try:
+        store.append("course_documents", new.where(F.col("doc_id") % 3 == 0).drop("doc_id"))
+    except stores.Rejected:
+        pass
+    else:
+        raise AssertionError("keys that are taken were added")
+    return store.table("course_documents").select("document_id", "document_title", "processing_status", "language", "total_pages", "file_size_bytes")
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    return c.select(X.uid("user", F.col("c_custkey")).alias("user_id"), F.col("c_name").alias("full_name"), F.concat("c_name", F.lit("@example.org")).alias("email"), F.lit("-").alias("password_hash"), (F.col("c_acctbal") > 0).alias("is_active"), "c_custkey")
+
+
+@query(f"""SELECT {sql.uid("user", "c_custkey")} AS user_id, c_acctbal > 0 AS is_active, CASE WHEN c_acctbal > 0 AND c_custkey % 7 = 0 THEN TIMESTAMP '2024-02-02 08:00:00' END AS last_login_at,
+  CASE WHEN c_custkey % 21 = 0 THEN TIMESTAMP '2024-02-02 17:00:00' END AS last_logout_at FROM customer""")
+def login_times_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in a written table, of whom some log in, and some out: their rows' partitions are rewritten. The table read back."""
+    store, users = _store(spark, "users"), _users(spark, sf_dir)
+    store.append("users", users.drop("c_custkey"))
+    some = lambda n, at: users.where(F.col("c_custkey") % n == 0).select("user_id", F.lit(at).cast("timestamp_ntz").alias("at"))
+    stores.log_in(store, some(7, "2024-02-02 08:00:00"))
+    stores.log_out(store, some(21, "2024-02-02 17:00:00"))
+    return store.table("users").select("user_id", "is_active", "last_login_at", "last_logout_at")
+
+
+@query(f"""SELECT {sql.uid("user", "c_custkey")} AS user_id, c_name || '@example.org' AS email, CASE WHEN c_custkey % 5 = 0 THEN 'TEACHER' ELSE 'STUDENT' END AS role_name FROM customer""")
+def users_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and their roles, added together in two lots; read back and joined."""
+    store, users = _store(spark, "users", "user_roles"), _users(spark, sf_dir)
+    for role, own in (("TEACHER", F.col("c_custkey") % 5 == 0), ("STUDENT", F.col("c_custkey") % 5 > 0)):
+        stores.register(store, users.where(own).drop("c_custkey"), role)
+    return store.table("users").join(store.table("user_roles"), "user_id").select("user_id", "email", "role_name")
+
+
+@query(f"WITH {_PAGES} SELECT p.document_id, page_number FROM pages_of p JOIN documents USING (doc_id) WHERE source <> 'src3'")
+def cascade_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A course's workspace is deleted from written tables, its documents and their pages with it, three levels down. The pages that stay, read back."""
+    store, new = _store(spark, "course_workspaces", "course_documents", "document_pages"), _uploaded(spark, sf_dir)
+    store.append("course_workspaces", new.select("workspace_id", "course_id").distinct().withColumn("workspace_title", F.lit("course")))
+    store.append("course_documents", new.drop("doc_id"))
+    pages = adapters.paged_documents(spark, sf_dir)
+    store.append("document_pages", pages.select("document_id", "page_number", "cleaned_text", "word_count", "char_count"), ["document_id", "page_number"])
+    gone = spark.range(1).select(X.uid("workspace", F.lit("src3")).alias("workspace_id"))
+    store.delete("course_workspaces", gone)
+    return store.table("document_pages").select("document_id", "page_number")
+
+
 def _listed(name: str, oracle: str, rows: Callable[[SparkSession, str], DataFrame], parent: str | None = None) -> None:
     """Registers a list operation over rows in the model's columns."""
     QUERIES[f"list_{name}"] = lambda spark, sf_dir: catalog.listing(rows(spark, sf_dir), name, parent)

@@ -1,4 +1,4 @@
-"""The twenty tables of the model: columns, types by rule, defaults, keys, references and their delete rules."""
+"""The twenty tables of the model: columns with types and defaults, keys, references and their delete rules."""
 
 from __future__ import annotations
 
@@ -6,79 +6,290 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-# The model's tables. A column is `name`, `name!` where null is not allowed; `=value` is its default,
-# `=uuid` and `=now` are generated. The first column is the primary key.
+# The columns of the model's tables, one to a line. The first is the primary key; uuid() and localtimestamp() are made when a row is added.
 TABLES = {
-    "users": "user_id!=uuid full_name! email! password_hash! avatar_url is_active!=true last_login_at last_logout_at created_at!=now updated_at!=now",
-    "user_roles": "user_role_id!=uuid user_id! role_name! permission_json assigned_at!=now is_active!=true",
-    "courses": "course_id!=uuid course_code! course_name! description created_by is_active!=true created_at!=now updated_at!=now",
-    "chapters": "chapter_id!=uuid course_id! chapter_title! description order_index!=1 is_active!=true created_at!=now updated_at!=now",
-    "course_workspaces": "workspace_id!=uuid course_id! owner_user_id workspace_title! description visibility!=PRIVATE is_active!=true created_at!=now updated_at!=now",
-    "course_documents": "document_id!=uuid workspace_id! course_id! chapter_id uploaded_by document_title! original_filename! file_type! mime_type file_path! file_size_bytes processing_status!=UPLOADED total_pages language!=vi error_message uploaded_at!=now updated_at!=now",
-    "document_pages": "page_id!=uuid document_id! page_number! raw_text cleaned_text word_count char_count extraction_status!=TEXT_EXTRACTED error_message extracted_at!=now",
-    "document_chunks": "chunk_id!=uuid document_id! workspace_id! course_id! chapter_id chunk_index! chunk_strategy!=fixed_1200_150 chunk_size chunk_overlap content! page_start page_end token_count word_count char_count created_at!=now",
-    "embedding_models": "embedding_model_id!=uuid model_name! provider! dimension! is_local!=false description config_json is_active!=true created_at!=now",
-    "chunk_embeddings": "chunk_embedding_id!=uuid chunk_id! embedding_model_id! embedding_json! dimension! created_at!=now",
-    "chat_sessions": "chat_session_id!=uuid workspace_id! user_id course_id! chapter_id session_title selected_embedding_model_id selected_chunking_strategy system_prompt is_active!=true started_at!=now updated_at!=now",
-    "chat_messages": "message_id!=uuid chat_session_id! sender_role! message_content! llm_model input_tokens output_tokens total_tokens latency_ms cost created_at!=now",
-    "retrieval_queries": "retrieval_query_id!=uuid chat_session_id! user_message_id! workspace_id! query_text! rewritten_query embedding_model_id top_k!=5 similarity_metric!=keyword similarity_threshold!=0.05 is_answerable no_answer_reason latency_ms created_at!=now",
-    "retrieval_results": "retrieval_result_id!=uuid retrieval_query_id! chunk_id! document_id! result_rank! similarity_score! rerank_score created_at!=now",
-    "answer_citations": "citation_id!=uuid assistant_message_id! retrieval_result_id document_id chunk_id citation_order!=1 document_title page_start page_end quote_text created_at!=now",
-    "saved_notes": "note_id!=uuid workspace_id! user_id document_id chat_session_id note_title! note_content! note_type!=MANUAL source_reference_json created_at!=now updated_at!=now",
-    "evaluation_datasets": "dataset_id!=uuid course_id! workspace_id dataset_name! dataset_version!=v1 description created_by created_at!=now updated_at!=now",
-    "evaluation_questions": "evaluation_question_id!=uuid dataset_id! course_id! chapter_id question_no! question_text! ground_truth_answer! expected_document_id expected_page question_type!=FACTUAL difficulty!=MEDIUM created_at!=now",
-    "experiments": "experiment_id!=uuid dataset_id! course_id! workspace_id experiment_name! experiment_type!=RAG llm_model! embedding_model_id chunking_strategy top_k!=5 temperature!=0.2 fine_tuned_model_name config_json status!=PENDING created_by started_at completed_at created_at!=now updated_at!=now",
-    "experiment_results": "experiment_result_id!=uuid experiment_id! evaluation_question_id! generated_answer retrieved_context_json citations_json faithfulness answer_relevance context_precision context_recall answer_correctness semantic_similarity latency_ms input_tokens output_tokens total_tokens cost error_message created_at!=now",
+    "users": """
+        user_id STRING NOT NULL DEFAULT uuid()
+        full_name STRING NOT NULL
+        email STRING NOT NULL
+        password_hash STRING NOT NULL
+        avatar_url STRING
+        is_active BOOLEAN NOT NULL DEFAULT true
+        last_login_at TIMESTAMP_NTZ
+        last_logout_at TIMESTAMP_NTZ
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "user_roles": """
+        user_role_id STRING NOT NULL DEFAULT uuid()
+        user_id STRING NOT NULL
+        role_name STRING NOT NULL
+        permission_json STRING
+        assigned_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        is_active BOOLEAN NOT NULL DEFAULT true
+    """,
+    "courses": """
+        course_id STRING NOT NULL DEFAULT uuid()
+        course_code STRING NOT NULL
+        course_name STRING NOT NULL
+        description STRING
+        created_by STRING
+        is_active BOOLEAN NOT NULL DEFAULT true
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "chapters": """
+        chapter_id STRING NOT NULL DEFAULT uuid()
+        course_id STRING NOT NULL
+        chapter_title STRING NOT NULL
+        description STRING
+        order_index INT NOT NULL DEFAULT 1
+        is_active BOOLEAN NOT NULL DEFAULT true
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "course_workspaces": """
+        workspace_id STRING NOT NULL DEFAULT uuid()
+        course_id STRING NOT NULL
+        owner_user_id STRING
+        workspace_title STRING NOT NULL
+        description STRING
+        visibility STRING NOT NULL DEFAULT 'PRIVATE'
+        is_active BOOLEAN NOT NULL DEFAULT true
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "course_documents": """
+        document_id STRING NOT NULL DEFAULT uuid()
+        workspace_id STRING NOT NULL
+        course_id STRING NOT NULL
+        chapter_id STRING
+        uploaded_by STRING
+        document_title STRING NOT NULL
+        original_filename STRING NOT NULL
+        file_type STRING NOT NULL
+        mime_type STRING
+        file_path STRING NOT NULL
+        file_size_bytes BIGINT
+        processing_status STRING NOT NULL DEFAULT 'UPLOADED'
+        total_pages INT
+        language STRING NOT NULL DEFAULT 'vi'
+        error_message STRING
+        uploaded_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "document_pages": """
+        page_id STRING NOT NULL DEFAULT uuid()
+        document_id STRING NOT NULL
+        page_number INT NOT NULL
+        raw_text STRING
+        cleaned_text STRING
+        word_count INT
+        char_count INT
+        extraction_status STRING NOT NULL DEFAULT 'TEXT_EXTRACTED'
+        error_message STRING
+        extracted_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "document_chunks": """
+        chunk_id STRING NOT NULL DEFAULT uuid()
+        document_id STRING NOT NULL
+        workspace_id STRING NOT NULL
+        course_id STRING NOT NULL
+        chapter_id STRING
+        chunk_index INT NOT NULL
+        chunk_strategy STRING NOT NULL DEFAULT 'fixed_1200_150'
+        chunk_size INT
+        chunk_overlap INT
+        content STRING NOT NULL
+        page_start INT
+        page_end INT
+        token_count INT
+        word_count INT
+        char_count INT
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "embedding_models": """
+        embedding_model_id STRING NOT NULL DEFAULT uuid()
+        model_name STRING NOT NULL
+        provider STRING NOT NULL
+        dimension INT NOT NULL
+        is_local BOOLEAN NOT NULL DEFAULT false
+        description STRING
+        config_json STRING
+        is_active BOOLEAN NOT NULL DEFAULT true
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "chunk_embeddings": """
+        chunk_embedding_id STRING NOT NULL DEFAULT uuid()
+        chunk_id STRING NOT NULL
+        embedding_model_id STRING NOT NULL
+        embedding_json STRING NOT NULL
+        dimension INT NOT NULL
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "chat_sessions": """
+        chat_session_id STRING NOT NULL DEFAULT uuid()
+        workspace_id STRING NOT NULL
+        user_id STRING
+        course_id STRING NOT NULL
+        chapter_id STRING
+        session_title STRING
+        selected_embedding_model_id STRING
+        selected_chunking_strategy STRING
+        system_prompt STRING
+        is_active BOOLEAN NOT NULL DEFAULT true
+        started_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "chat_messages": """
+        message_id STRING NOT NULL DEFAULT uuid()
+        chat_session_id STRING NOT NULL
+        sender_role STRING NOT NULL
+        message_content STRING NOT NULL
+        llm_model STRING
+        input_tokens INT
+        output_tokens INT
+        total_tokens INT
+        latency_ms INT
+        cost DECIMAL(18,6)
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "retrieval_queries": """
+        retrieval_query_id STRING NOT NULL DEFAULT uuid()
+        chat_session_id STRING NOT NULL
+        user_message_id STRING NOT NULL
+        workspace_id STRING NOT NULL
+        query_text STRING NOT NULL
+        rewritten_query STRING
+        embedding_model_id STRING
+        top_k INT NOT NULL DEFAULT 5
+        similarity_metric STRING NOT NULL DEFAULT 'keyword'
+        similarity_threshold DOUBLE NOT NULL DEFAULT 0.05
+        is_answerable BOOLEAN
+        no_answer_reason STRING
+        latency_ms INT
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "retrieval_results": """
+        retrieval_result_id STRING NOT NULL DEFAULT uuid()
+        retrieval_query_id STRING NOT NULL
+        chunk_id STRING NOT NULL
+        document_id STRING NOT NULL
+        result_rank INT NOT NULL
+        similarity_score DOUBLE NOT NULL
+        rerank_score DOUBLE
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "answer_citations": """
+        citation_id STRING NOT NULL DEFAULT uuid()
+        assistant_message_id STRING NOT NULL
+        retrieval_result_id STRING
+        document_id STRING
+        chunk_id STRING
+        citation_order INT NOT NULL DEFAULT 1
+        document_title STRING
+        page_start INT
+        page_end INT
+        quote_text STRING
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "saved_notes": """
+        note_id STRING NOT NULL DEFAULT uuid()
+        workspace_id STRING NOT NULL
+        user_id STRING
+        document_id STRING
+        chat_session_id STRING
+        note_title STRING NOT NULL
+        note_content STRING NOT NULL
+        note_type STRING NOT NULL DEFAULT 'MANUAL'
+        source_reference_json STRING
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "evaluation_datasets": """
+        dataset_id STRING NOT NULL DEFAULT uuid()
+        course_id STRING NOT NULL
+        workspace_id STRING
+        dataset_name STRING NOT NULL
+        dataset_version STRING NOT NULL DEFAULT 'v1'
+        description STRING
+        created_by STRING
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "evaluation_questions": """
+        evaluation_question_id STRING NOT NULL DEFAULT uuid()
+        dataset_id STRING NOT NULL
+        course_id STRING NOT NULL
+        chapter_id STRING
+        question_no INT NOT NULL
+        question_text STRING NOT NULL
+        ground_truth_answer STRING NOT NULL
+        expected_document_id STRING
+        expected_page INT
+        question_type STRING NOT NULL DEFAULT 'FACTUAL'
+        difficulty STRING NOT NULL DEFAULT 'MEDIUM'
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "experiments": """
+        experiment_id STRING NOT NULL DEFAULT uuid()
+        dataset_id STRING NOT NULL
+        course_id STRING NOT NULL
+        workspace_id STRING
+        experiment_name STRING NOT NULL
+        experiment_type STRING NOT NULL DEFAULT 'RAG'
+        llm_model STRING NOT NULL
+        embedding_model_id STRING
+        chunking_strategy STRING
+        top_k INT NOT NULL DEFAULT 5
+        temperature DOUBLE NOT NULL DEFAULT 0.2
+        fine_tuned_model_name STRING
+        config_json STRING
+        status STRING NOT NULL DEFAULT 'PENDING'
+        created_by STRING
+        started_at TIMESTAMP_NTZ
+        completed_at TIMESTAMP_NTZ
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+        updated_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
+    "experiment_results": """
+        experiment_result_id STRING NOT NULL DEFAULT uuid()
+        experiment_id STRING NOT NULL
+        evaluation_question_id STRING NOT NULL
+        generated_answer STRING
+        retrieved_context_json STRING
+        citations_json STRING
+        faithfulness DOUBLE
+        answer_relevance DOUBLE
+        context_precision DOUBLE
+        context_recall DOUBLE
+        answer_correctness DOUBLE
+        semantic_similarity DOUBLE
+        latency_ms INT
+        input_tokens INT
+        output_tokens INT
+        total_tokens INT
+        cost DECIMAL(18,6)
+        error_message STRING
+        created_at TIMESTAMP_NTZ NOT NULL DEFAULT localtimestamp()
+    """,
 }
 UNIQUE = [("users", ["email"]), ("courses", ["course_code"]), ("chapters", ["course_id", "order_index"]), ("document_pages", ["document_id", "page_number"]), ("embedding_models", ["model_name"])]
 ROLES = ["ADMIN", "TEACHER", "STUDENT", "RESEARCHER"]
-# References, `column>table` of each child, with the delete rule: C cascade, N set null, R no action.
-REFERENCES = {
-    "user_roles": "user_id>users:C",
-    "courses": "created_by>users:N",
-    "chapters": "course_id>courses:C",
-    "course_workspaces": "course_id>courses:C owner_user_id>users:N",
-    "course_documents": "workspace_id>course_workspaces:C course_id>courses:R chapter_id>chapters:R uploaded_by>users:N",
-    "document_pages": "document_id>course_documents:C",
-    "document_chunks": "document_id>course_documents:C workspace_id>course_workspaces:R course_id>courses:R chapter_id>chapters:R",
-    "chunk_embeddings": "chunk_id>document_chunks:C embedding_model_id>embedding_models:R",
-    "chat_sessions": "workspace_id>course_workspaces:C user_id>users:N course_id>courses:R chapter_id>chapters:R",
-    "chat_messages": "chat_session_id>chat_sessions:C",
-    "retrieval_queries": "chat_session_id>chat_sessions:C user_message_id>chat_messages:R workspace_id>course_workspaces:R",
-    "retrieval_results": "retrieval_query_id>retrieval_queries:C chunk_id>document_chunks:R document_id>course_documents:R",
-    "answer_citations": "assistant_message_id>chat_messages:R retrieval_result_id>retrieval_results:R document_id>course_documents:R chunk_id>document_chunks:R",
-    "saved_notes": "workspace_id>course_workspaces:C user_id>users:N",
-    "evaluation_datasets": "course_id>courses:C workspace_id>course_workspaces:R created_by>users:N",
-    "evaluation_questions": "dataset_id>evaluation_datasets:C course_id>courses:R",
-    "experiments": "dataset_id>evaluation_datasets:R course_id>courses:R",
-    "experiment_results": "experiment_id>experiments:C evaluation_question_id>evaluation_questions:R",
-}
-INTEGERS = {"total_pages", "page_number", "word_count", "char_count", "chunk_index", "chunk_size", "chunk_overlap", "page_start", "page_end", "token_count", "dimension", "input_tokens", "output_tokens", "total_tokens", "latency_ms", "top_k", "result_rank", "citation_order", "question_no", "expected_page", "order_index"}
-DOUBLES = {"similarity_threshold", "similarity_score", "rerank_score", "temperature", "faithfulness", "answer_relevance", "context_precision", "context_recall", "answer_correctness", "semantic_similarity"}
 
 
 @dataclass(frozen=True)
 class Column:
     name: str
+    type: T.DataType
     required: bool
     default: str | None
 
-    @property
-    def type(self) -> T.DataType:
-        """By rule: flags are `is_`, times end in `_at`, counts and measures are listed, all else is text."""
-        if self.name.startswith("is_"):
-            return T.BooleanType()
-        if self.name.endswith("_at"):
-            return T.TimestampNTZType()
-        if self.name == "cost":
-            return T.DecimalType(18, 6)
-        if self.name == "file_size_bytes":
-            return T.LongType()
-        return T.IntegerType() if self.name in INTEGERS else T.DoubleType() if self.name in DOUBLES else T.StringType()
-
 
 @dataclass(frozen=True)
 class Reference:
+    """child.column names a row of parent; rule: C cascade, N set null, R no action when that is deleted."""
+
     child: str
     column: str
     parent: str
@@ -89,12 +300,67 @@ class Reference:
         return columns(self.parent)[0].name
 
 
+# The references between them, with their delete rules.
+REFERENCES = [
+    Reference("user_roles", "user_id", "users", "C"),
+    Reference("courses", "created_by", "users", "N"),
+    Reference("chapters", "course_id", "courses", "C"),
+    Reference("course_workspaces", "course_id", "courses", "C"),
+    Reference("course_workspaces", "owner_user_id", "users", "N"),
+    Reference("course_documents", "workspace_id", "course_workspaces", "C"),
+    Reference("course_documents", "course_id", "courses", "R"),
+    Reference("course_documents", "chapter_id", "chapters", "R"),
+    Reference("course_documents", "uploaded_by", "users", "N"),
+    Reference("document_pages", "document_id", "course_documents", "C"),
+    Reference("document_chunks", "document_id", "course_documents", "C"),
+    Reference("document_chunks", "workspace_id", "course_workspaces", "R"),
+    Reference("document_chunks", "course_id", "courses", "R"),
+    Reference("document_chunks", "chapter_id", "chapters", "R"),
+    Reference("chunk_embeddings", "chunk_id", "document_chunks", "C"),
+    Reference("chunk_embeddings", "embedding_model_id", "embedding_models", "R"),
+    Reference("chat_sessions", "workspace_id", "course_workspaces", "C"),
+    Reference("chat_sessions", "user_id", "users", "N"),
+    Reference("chat_sessions", "course_id", "courses", "R"),
+    Reference("chat_sessions", "chapter_id", "chapters", "R"),
+    Reference("chat_messages", "chat_session_id", "chat_sessions", "C"),
+    Reference("retrieval_queries", "chat_session_id", "chat_sessions", "C"),
+    Reference("retrieval_queries", "user_message_id", "chat_messages", "R"),
+    Reference("retrieval_queries", "workspace_id", "course_workspaces", "R"),
+    Reference("retrieval_results", "retrieval_query_id", "retrieval_queries", "C"),
+    Reference("retrieval_results", "chunk_id", "document_chunks", "R"),
+    Reference("retrieval_results", "document_id", "course_documents", "R"),
+    Reference("answer_citations", "assistant_message_id", "chat_messages", "R"),
+    Reference("answer_citations", "retrieval_result_id", "retrieval_results", "R"),
+    Reference("answer_citations", "document_id", "course_documents", "R"),
+    Reference("answer_citations", "chunk_id", "document_chunks", "R"),
+    Reference("saved_notes", "workspace_id", "course_workspaces", "C"),
+    Reference("saved_notes", "user_id", "users", "N"),
+    Reference("evaluation_datasets", "course_id", "courses", "C"),
+    Reference("evaluation_datasets", "workspace_id", "course_workspaces", "R"),
+    Reference("evaluation_datasets", "created_by", "users", "N"),
+    Reference("evaluation_questions", "dataset_id", "evaluation_datasets", "C"),
+    Reference("evaluation_questions", "course_id", "courses", "R"),
+    Reference("experiments", "dataset_id", "evaluation_datasets", "R"),
+    Reference("experiments", "course_id", "courses", "R"),
+    Reference("experiment_results", "experiment_id", "experiments", "C"),
+    Reference("experiment_results", "evaluation_question_id", "evaluation_questions", "R"),
+]
+
+
+TYPES = {"STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "DECIMAL(18,6)": T.DecimalType(18, 6), "TIMESTAMP_NTZ": T.TimestampNTZType()}
+
+
+def _column(line: str) -> Column:
+    head, _, default = line.strip().partition(" DEFAULT ")
+    name, kind, *rest = head.split(" ", 2)
+    return Column(name, TYPES[kind], rest == ["NOT NULL"], default or None)
+
+
+_COLUMNS = {table: [_column(line) for line in text.strip().splitlines()] for table, text in TABLES.items()}
+
+
 def columns(table: str) -> list[Column]:
-    out = []
-    for word in TABLES[table].split():
-        name, _, default = word.partition("=")
-        out.append(Column(name.rstrip("!"), name.endswith("!"), default or None))
-    return out
+    return _COLUMNS[table]
 
 
 def schema(table: str) -> T.StructType:
@@ -103,16 +369,16 @@ def schema(table: str) -> T.StructType:
 
 
 def references() -> list[Reference]:
-    out = []
-    for child, text in REFERENCES.items():
-        for word in text.split():
-            column, _, rest = word.partition(">")
-            parent, _, rule = rest.partition(":")
-            out.append(Reference(child, column, parent, rule))
-    return out
-
-
-def ddl(table: str) -> str:
-    """CREATE TABLE of a Parquet table with the column types and NOT NULL marks."""
-    body = ", ".join(f"{c.name} {c.type.simpleString()}{' NOT NULL' * c.required}" for c in columns(table))
-    return f"CREATE TABLE IF NOT EXISTS {table} ({body}) USING parquet"
+    return REFERENCES
+
+
+#: Defaults that Spark's tables don't take, as each row has its own; they are filled in before rows are written.
+PER_ROW = {"uuid()"}
+
+
+def ddl(table: str, database: str | None = None, partition: str | None = None) -> str:
+    """CREATE TABLE of a Parquet table with types, NOT NULL marks and defaults; `partition` is a whole number to partition by, overwritten partition by partition."""
+    default = lambda c: f" DEFAULT {c.default}" if c.default and c.default not in PER_ROW else ""
+    body = ", ".join(f"{c.name} {c.type.simpleString()}{' NOT NULL' * c.required}{default(c)}" for c in columns(table))
+    by = f" OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({partition})" if partition else ""
+    return f"CREATE TABLE IF NOT EXISTS {f'{database}.' if database else ''}{table} ({body}{f', {partition} INT' if partition else ''}) USING parquet{by}"
