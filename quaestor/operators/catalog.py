@@ -72,9 +72,3 @@ def create_database(spark: SparkSession, database: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     for name in S.TABLES:
         spark.sql(S.ddl(name))
-
-
-def create_dashboard_view(exps: DataFrame, models: DataFrame, results: DataFrame, name: str = "v_experiment_dashboard") -> None:
-    from quaestor.operators.evaluation import dashboard
-
-    dashboard(exps, models, results).createOrReplaceTempView(name)

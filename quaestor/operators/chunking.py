@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
@@ -52,16 +52,24 @@ def counted(chunked: DataFrame) -> DataFrame:
 def paged_chunks(pages: DataFrame, strategy: str = "fixed_1200_150") -> DataFrame:
     """Chunks across a document's pages (document_id, page_number, cleaned_text), with the first and last page of each.
 
-    Pages are joined by line feeds. A chunk covers the pages whose places it touches.
+    Pages are joined by line feeds. A chunk covers the pages whose places it touches. A page's place is the running length
+    of those before it; it gives each chunk that touches it its piece, and pieces meet by chunk, so no row holds more than
+    a chunk or a page, however long the document. Null pages count as empty; documents without text have no chunks.
     """
     size, overlap = sizes(strategy)
-    place = lambda p: F.struct(p["page_number"].alias("page"), F.coalesce(p["cleaned_text"], F.lit("")).alias("body"))
-    held = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "cleaned_text"))).alias("pages"))
-    held = held.withColumn("pages", F.transform("pages", place)).withColumn("text", F.array_join(F.transform("pages", lambda p: p["body"]), "\n"))
-    begins = F.transform("pages", lambda p, i: F.aggregate(F.slice("pages", 1, i), F.lit(0), lambda s, q: s + F.length(q["body"]) + 1))
-    held = held.withColumn("spans", F.zip_with("pages", begins, lambda p, b: F.struct(p["page"].alias("page"), b.alias("begin"), (b + F.length(p["body"]) + 1).alias("end"))))
-    cut = held.where(F.length("text") > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n_chunks(F.length("text"), size, overlap) - 1)))
-    first = F.col("chunk_index") * (size - overlap)
-    last = F.least(first + size, F.length("text"))
-    touched = F.filter("spans", lambda s: (s["begin"] < last) & (s["end"] > first))
-    return cut.select("document_id", "chunk_index", F.substring(F.col("text"), first + 1, F.lit(size)).alias("content"), F.array_min(F.transform(touched, lambda s: s["page"])).alias("page_start"), F.array_max(F.transform(touched, lambda s: s["page"])).alias("page_end"))
+    step = size - overlap
+    body = F.concat(F.coalesce("cleaned_text", F.lit("")), F.lit("\n"))
+    of = Window.partitionBy("document_id")
+    placed = pages.select("document_id", "page_number", body.alias("body")).withColumn("length", F.length("body").cast("long"))
+    placed = placed.withColumn("end", F.sum("length").over(of.orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("length").over(of) - 1)
+    placed = placed.withColumn("begin", F.col("end") - F.col("length")).where("begin < total")
+    # no newline behind the last page
+    stop = F.least("end", "total")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("begin") - size) / step) + 1)
+    last = F.least(F.floor((stop - 1) / step), n_chunks(F.col("total"), size, overlap).cast("long") - 1)
+    touched = placed.withColumn("chunk_index", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("begin"), F.col("chunk_index") * step)
+    piece = F.substring("body", (start - F.col("begin") + 1).cast("int"), (F.least(stop, F.col("chunk_index") * step + size) - start).cast("int"))
+    pieces = touched.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "page_number", start.alias("start"), piece.alias("piece"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]), "")
+    return pieces.groupBy("document_id", "chunk_index").agg(content.alias("content"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))

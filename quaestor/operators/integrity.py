@@ -12,8 +12,24 @@ from quaestor import schema as S
 
 
 def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Key values that occur more than once, with their count; a key with nulls counts as a value, as UNIQUE does in T-SQL."""
-    return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    """Key values that occur more than once, with their count; a key with nulls counts as a value, as UNIQUE does in T-SQL.
+
+    Hashes are counted first; only rows whose hash occurs again are grouped by the values themselves, which may be whole texts.
+    """
+    hashed = table.withColumn("_hash", F.xxhash64(*keys))
+    again = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
+    return hashed.join(again, "_hash", "left_semi").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+#: Keys of new rows that are broadcast to look them up at most; more are joined by shuffle.
+LOOKUP = 1_000_000
+
+
+def among(keys: DataFrame, of: DataFrame) -> DataFrame:
+    """The distinct keys of a table that are among the keys `of`, of the same names: the table is not shuffled where these are no more than LOOKUP."""
+    wanted = of.distinct()
+    few = wanted.limit(LOOKUP + 1).count() <= LOOKUP
+    return keys.join(F.broadcast(wanted) if few else wanted, keys.columns, "left_semi").distinct()
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
@@ -78,12 +94,12 @@ def rejections(table: DataFrame, rows: DataFrame, name: str, tables: Mapping[str
         if not set(keys) <= set(rows.columns):
             continue
         own = F.struct(*keys)
-        held = table.select(F.struct(*keys).alias("_key")).join(rows.select(own.alias("_key")).distinct(), "_key", "left_semi").distinct().withColumn(f"_held{i}", F.lit(True))
+        held = among(table.select(F.struct(*keys).alias("_key")), rows.select(own.alias("_key"))).withColumn(f"_held{i}", F.lit(True))
         again = rows.select(own.alias("_key")).groupBy("_key").agg(F.count("*").alias(f"_n{i}"))
         out = out.withColumn("_key", own).join(held, "_key", "left").join(again, "_key", "left").drop("_key")
         marks.append(F.when(F.col(f"_held{i}") | (F.col(f"_n{i}") > 1), F.lit(f"{', '.join(keys)} not unique")))
     for i, r in enumerate(r for r in S.references() if r.child == name and r.column in rows.columns and r.parent in (tables or {})):
-        there = tables[r.parent].select(F.col(r.key).alias(r.column)).join(rows.select(r.column).distinct(), r.column, "left_semi").distinct().withColumn(f"_there{i}", F.lit(True))
+        there = among(tables[r.parent].select(F.col(r.key).alias(r.column)), rows.select(r.column)).withColumn(f"_there{i}", F.lit(True))
         out = out.join(there, r.column, "left")
         marks.append(F.when(F.col(r.column).isNotNull() & F.col(f"_there{i}").isNull(), F.lit(f"{r.column} not among {r.parent}")))
     return out.select(*rows.columns, F.array_compact(F.array(*marks)).alias("reasons"))

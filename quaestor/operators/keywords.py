@@ -23,6 +23,8 @@ TOP_K, THRESHOLD = 5, 0.05
 RANGE = 64
 #: Folders of the postings, by hash of the token, and ranges of one file in a folder.
 BUCKETS, RANGES_PER_FILE = 16, 4_096
+#: Part of a stored index's name: to be raised when what is written changes its meaning.
+LAYOUT = f"v1-{RANGE}-{BUCKETS}"
 #: Ranges of each query that are scored first, to know what the k-th best reaches at least.
 SEEDS = 4
 #: Queries of a block, and tokens of all queries that are broadcast at most.
@@ -148,11 +150,11 @@ def build_index(chunks: DataFrame, path: str, tie: tuple[str, ...] = ("doc_id",
 def stored_index(spark: SparkSession, table: str, strategy: str = "fixed_1200_150", folder: str | None = None) -> Index:
     """The index of a table of documents (doc_id, text) at a path, cut by `strategy`: read where it is written, else built and kept in `folder`.
 
-    Its name holds the strategy and a signature of the table's files, so a table that changed gets another index. It is written
+    Its name holds the strategy, the index's own layout and a signature of the table's files, so a table that changed gets another index. It is written
     beside its place and moved there when it is complete.
     """
     docs = spark.read.parquet(table)
-    path = f"{folder or stored.shared_dir(spark)}/index-{strategy}-{stored.signature(docs)}"
+    path = f"{folder or stored.shared_dir(spark)}/index-{strategy}-{LAYOUT}-{stored.signature(docs)}"
     if not stored.exists(spark, path):
         own = stored.new_path(spark, "index")
         build_index(cut(docs.select("doc_id", "text"), strategy), own)

@@ -253,7 +253,7 @@ def stored_inverted_file(spark: SparkSession, table: str, folder: str | None = N
     Its name holds a signature of the table's files. It is written beside its place and moved there when it is complete.
     """
     rows = spark.read.parquet(table)
-    path = f"{folder or stored.shared_dir(spark)}/cells-{stored.signature(rows)}"
+    path = f"{folder or stored.shared_dir(spark)}/cells-v1-{stored.signature(rows)}"
     if not stored.exists(spark, path):
         own = stored.new_path(spark, "cells")
         built = build_inverted_file(rows, f"{own}/blocks")

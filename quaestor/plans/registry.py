@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
 from quaestor.functions import vector as V
-from quaestor.operators import catalog, chat, evaluation, integrity, keywords, retrieval, vectors
+from quaestor.operators import catalog, chat, evaluation, integrity, kept, keywords, retrieval, vectors
 from quaestor.operators import store as stores
 from quaestor.operators.chunking import chunks, contents, counted, paged_chunks
 from quaestor.plans import sql
 from quaestor.sources import adapters, stored
 from quaestor.sources.adapters import read
+from quaestor.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -473,8 +474,8 @@ def chunk_embeddings_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = chunks(docs(spark, sf_dir)).withColumn("chunk_id", X.uid("chunk", F.concat_ws(":", "doc_id", "chunk_index")))
     name = F.when(F.col("chunk_index") % 3 == 0, "multilingual-e5-base").when(F.col("chunk_index") % 3 == 1, "bge-m3").otherwise("missing-model")
     made = vectors.vectors_of(cut.withColumn("embedding_model_id", X.uid("model", name)), "content", ["chunk_id", "embedding_model_id"])
-    kept = made.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
-    joined = retrieval.embeddings_with_models(kept, cut.select("chunk_id", "doc_id", "chunk_index"), evaluation.embedding_models(spark))
+    held = made.select("chunk_id", "embedding_model_id", F.to_json("embedding").alias("embedding_json"))
+    joined = retrieval.embeddings_with_models(held, cut.select("chunk_id", "doc_id", "chunk_index"), evaluation.embedding_models(spark))
     return joined.select("doc_id", "chunk_index", "model_name", "model_dimension", "dimension", "right_dimension")
 
 
@@ -586,6 +587,46 @@ def cascade_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("document_pages").select("document_id", "page_number")
 
 
+@query(sql.dashboard())
+def dashboard_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiments and models in written tables; results come in three lots, of which the second twice; the view over what they add up to."""
+    store = _store(spark, "experiments", "embedding_models")
+    exps, models, results = _run(spark, sf_dir)
+    store.append("embedding_models", models)
+    run = exps.withColumns({"dataset_id": F.lit("benchmark"), "course_id": F.lit("all")})
+    store.append("experiments", run.withColumn("embedding_model_id", F.when(F.col("embedding_model_id") != _id("model", "missing-model"), F.col("embedding_model_id"))))
+    kept.create_dashboard(store)
+    lot = F.pmod(F.xxhash64("experiment_result_id"), F.lit(3))
+    done = stored.staged(results.withColumn("lot", lot), "results")
+    for n in (0, 1, 1, 2):
+        kept.add_results(store, done.where(F.col("lot") == n).drop("lot"), f"lot{n}")
+    return rounded(kept.dashboard_view(store))
+
+
+@query(f"""WITH c AS (SELECT coalesce(text, '') || chr(10) AS raw, {sql.clean("coalesce(text, '')")} AS t FROM documents)
+  SELECT sha256(raw) AS raw_sha256, 'TXT' AS file_type, octet_length(encode(raw)) AS file_size_bytes, 'CHUNKED' AS processing_status, 1 AS total_pages, CAST(CASE WHEN length(t) = 0 THEN 0 ELSE 1 + greatest(0, ceil((length(t) - 1200) / 1050.0)) END AS BIGINT) AS n_chunks,
+    CAST(CASE WHEN length(t) = 0 THEN 0 ELSE length(t) + 150 * greatest(0, ceil((length(t) - 1200) / 1050.0)) END AS BIGINT) AS n_chars FROM c""")
+def documents_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, a file each, and taken by the file stream: their text, status, pages and chunks."""
+    folder, out = stored.new_path(spark, "uploads"), stored.new_path(spark, "ingested")
+    read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit(""))).write.option("maxRecordsPerFile", 1).text(folder, lineSep="\n")
+    made = ingest.ingest(spark, folder, out, batch=100_000)
+    chunks = made["document_chunks"].groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
+    texts = made["document_pages"].select("document_id", F.sha2("raw_text", 256).alias("raw_sha256"))
+    counts = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_chars"))
+    return made["course_documents"].join(texts, "document_id").join(chunks, "document_id", "left").select("raw_sha256", "file_type", "file_size_bytes", "processing_status", "total_pages", *counts)
+
+
+@query("""SELECT CAST(json_extract(props, '$.k') AS INTEGER) // 10 AS decade, count(*) AS n, CAST(count(json_extract(props, '$.missing')) AS BIGINT) AS n_missing_path, CAST(sum(CAST(event_id % 5 = 0 AS INTEGER)) AS BIGINT) AS n_broken
+  FROM events GROUP BY ALL""")
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open JSON by path, without a schema: every fifth text is also cut short, which makes it null and stops nothing."""
+    v = F.try_parse_json("props")
+    broken = F.when(F.col("event_id") % 5 == 0, F.try_parse_json(F.expr("substr(props, 1, length(props) - 1)")).isNull()).otherwise(False)
+    e = read(spark, sf_dir, "events").select(F.try_variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"), broken.alias("broken"))
+    return e.groupBy(F.floor(F.col("k") / 10).cast("int").alias("decade")).agg(F.count("*").alias("n"), F.count("missing").alias("n_missing_path"), F.count_if("broken").alias("n_broken"))
+
+
 def _listed(name: str, oracle: str, rows: Callable[[SparkSession, str], DataFrame], parent: str | None = None) -> None:
     """Registers a list operation over rows in the model's columns."""
     QUERIES[f"list_{name}"] = lambda spark, sf_dir: catalog.listing(rows(spark, sf_dir), name, parent)
