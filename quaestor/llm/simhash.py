@@ -197,9 +197,9 @@ def hexed(fp: Column) -> Column:
 
 #: Texts are similar if the sets of their shingles of WORDS words have a Jaccard similarity of SIMILAR[0] / SIMILAR[1] or more.
 WORDS, SIMILAR = 5, (4, 5)
-#: Two texts are compared if all least values of a band are equal: that fails in every band for 8 pairs of a thousand at a
-#: similarity of 0.8 and for 5 of ten thousand at 0.85, and holds in some band for 12 of a thousand at 0.3.
-BANDS, BAND = 16, 6
+#: Two texts are compared if all least values of a band are equal: that fails in every band for 7 pairs of ten thousand at a
+#: similarity of 0.8 and for 1 of a hundred thousand at 0.85, and holds in some band for 17 of a thousand at 0.3.
+BANDS, BAND = 24, 6
 #: Shingles that texts compared in one task may have together, as 32 MB of hashes; components of more are cut into parts.
 CROWD = 1 << 22
 MIX = np.random.default_rng(SEED).integers(1 << 64, size=(2, BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1)
@@ -342,8 +342,11 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
 
     Rows are linked by fingerprints of `words`-word shingles 2 or fewer bits apart, as in near_groups(), and by a Jaccard
     similarity of 0.8 or more over distinct five-word shingles, for near copies that no longer have the same fingerprint.
-    Texts without words are linked by the fingerprint alone.
+    Texts without words, null and empty ones among them, are linked by the fingerprint alone: they are one group. Rows
+    with repeated or null ids stand for themselves. An empty table gives an empty table. Other columns do not matter;
+    kept ones may not have a result's name.
     """
+    no_clash(keep, "fp", "set", "bands", "shingles", "packed", "row", "group")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(keep)
