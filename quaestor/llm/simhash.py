@@ -214,9 +214,12 @@ def shingle_set(text: bytes) -> np.ndarray:
 def bands(values: np.ndarray) -> np.ndarray:
     """A value for each band: a hash of BAND least values of the set, each under an order of its own."""
     least = np.full(BANDS * BAND, ~np.uint64(0))
-    for at in range(0, len(values), 1 << 13):
-        x = (values[at : at + (1 << 13)] ^ MIX[0]) * MIX[1]
-        least = np.minimum(least, ((x ^ x >> np.uint64(32)) * MIX[0]).min(1))
+    for at in range(0, len(values), 1 << 10):
+        x = values[at : at + (1 << 10)] ^ MIX[0]
+        x *= MIX[1]
+        x ^= x >> np.uint64(32)
+        x *= MIX[0]
+        least = np.minimum(least, x.min(1))
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, BAND)], np.uint64)
 
 
