@@ -149,6 +149,33 @@ def test_links_by_brute_force(spark, monkeypatch, n, size, labels, block):
     assert max(v[0] for v in want.values()) > 20 and len({v[1] for v in want.values()}) > 20
 
 
+def test_intervals_are_halved(monkeypatch):
+    """Counts and connections of two blocks, and of a block with itself, with intervals down to four vectors; distant ones are left out."""
+    monkeypatch.setattr(ego, "LEAF", 4)
+    multiplied, original = [], ego._linked
+    monkeypatch.setattr(ego, "_linked", lambda a, i, b, j, c: multiplied.append((i.stop - i.start) * (j.stop - j.start)) or original(a, i, b, j, c))
+    rng = np.random.default_rng(6)
+    x = np.array([v for _, v, _ in crowded(7, 200, 6, 1)], np.float64)
+    x = x[np.lexsort(np.floor(ego._leading(ego.units(x), {}, 8) / 0.2).T[::-1])]
+    copies = rng.integers(1, 4, 200)
+    side = lambda at: ego.Side({"lows": at.tobytes(), "copies": copies[at].tobytes(), "keys": b"0" * 32 * len(at), "vectors": x[at].tobytes()}, np.float64, {}, 8)
+    link = ego.units(x) @ ego.units(x).T >= 0.98
+    np.fill_diagonal(link, False)
+    whole, first, last = side(np.arange(200)), side(np.arange(80)), side(np.arange(80, 200))
+    n, _, forest = ego.joined(whole, whole, 0.98)
+    assert n.tolist() == (link @ copies).tolist()
+    reach = {i: i for i in range(200)}
+    for i, j in np.argwhere(link).tolist():
+        if reach[i] != reach[j]:
+            lo, hi = sorted((reach[i], reach[j]))
+            reach = {k: lo if v == hi else v for k, v in reach.items()}
+    assert [forest.root(i) for i in range(200)] == [reach[i] for i in range(200)]
+    n_a, n_b, forest = ego.joined(first, last, 0.98)
+    assert n_a.tolist() == (link[:80, 80:] @ copies[80:]).tolist() and n_b.tolist() == (copies[:80] @ link[:80, 80:]).tolist()
+    assert all(forest.root(i) == forest.root(j) for i, j in np.argwhere(link).tolist() if i < 80 <= j)
+    assert sum(multiplied) < 0.8 * (200 * 200 / 2 + 80 * 120)
+
+
 def test_blocks_that_are_far_apart_do_not_meet(spark):
     rows = [(i, np.eye(8)[i % 8].tolist(), 0) for i in range(64)]
     rows = [(i, (np.array(v) + np.random.default_rng(i).normal(size=8) * 0.001).tolist(), c) for i, v, c in rows]
