@@ -25,6 +25,11 @@ def session_tokens(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
 
 
+def with_sessions(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Messages with their session's columns; messages without a session are left out, as the reference allows none."""
+    return messages.join(sessions, "chat_session_id")
+
+
 def record(messages: Column) -> Column:
     """A chat record as one line of JSON."""
     return F.to_json(F.struct(messages.alias("messages")))

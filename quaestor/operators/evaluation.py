@@ -95,6 +95,12 @@ def run_experiments(spark: SparkSession, questions: DataFrame, docs: DataFrame,
     return out
 
 
+def with_questions(results: DataFrame, questions: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Results with their question's number and text and the name of its dataset."""
+    named = questions.join(datasets.select("dataset_id", "dataset_name"), "dataset_id").select("evaluation_question_id", "question_no", "question_text", "dataset_name")
+    return results.join(named, "evaluation_question_id")
+
+
 KEYS = ["experiment_id", "experiment_name", "experiment_type", "status", "llm_model", "embedding_model", "chunking_strategy", "top_k"]
 
 

@@ -76,3 +76,9 @@ def reranked(hits: DataFrame, query: str = "item_id") -> DataFrame:
     """Ranks anew by rerank_score where there is one, else by similarity."""
     order = Window.partitionBy(query).orderBy(F.desc(F.coalesce("rerank_score", "score")), "result_rank")
     return hits.withColumn("result_rank", F.row_number().over(order))
+
+
+def context_json(hits: DataFrame, query: str = "item_id") -> DataFrame:
+    """One row per query: its hits (result_rank, doc_id, chunk_index, content) by rank as JSON text, and the length of what they hold."""
+    listed = F.array_sort(F.collect_list(F.struct("result_rank", "doc_id", "chunk_index", F.length("content").alias("n_chars"))))
+    return hits.groupBy(query).agg(F.to_json(listed).alias("retrieved_context_json"), F.sum(F.length("content")).alias("context_chars"))

@@ -644,6 +644,40 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(X.uid("question", F.col("item_id")).alias("evaluation_question_id"), "dataset_id", "question_no", F.col("text").alias("question_text"), F.col("text").alias("ground_truth_answer"), F.lit("FACTUAL").alias("question_type"), F.lit("MEDIUM").alias("difficulty"))
 
 
+@query(f"""SELECT {sql.uid("message", "conv_id || ':' || turn")} AS message_id, role AS sender_role, 'conversation ' || conv_id AS session_title, n AS session_messages
+  FROM conversations JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id) WHERE turn > 0""")
+def messages_with_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages behind the first, each with the title and the size of its session."""
+    sessions = _sessions(spark, sf_dir)
+    later = _messages(spark, sf_dir).join(read(spark, sf_dir, "conversations").where("turn > 0").select(X.uid("message", F.concat_ws(":", "conv_id", "turn")).alias("message_id")), "message_id", "left_semi")
+    return chat.with_sessions(later, sessions).select("message_id", "sender_role", "session_title", "session_messages")
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("session_messages"))
+    return held.select(X.uid("session", F.col("conv_id")).alias("chat_session_id"), X.uid("workspace", F.col("conv_id") % 5).alias("workspace_id"), F.concat(F.lit("conversation "), "conv_id").alias("session_title"), "session_messages")
+
+
+def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("n")).distinct()
+    return own.select(X.uid("dataset", F.col("n")).alias("dataset_id"), X.uid("course", F.lit("all")).alias("course_id"), F.concat(F.lit("set "), "n").alias("dataset_name"), F.lit("v1").alias("dataset_version"))
+
+
+@query(f"""{_ANSWERS} SELECT item_id, top_k, context_recall, answer_correctness, question_no, 'set ' || item_id % 2 AS dataset_name
+  FROM r_fixed_1200_150 JOIN (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id) AS INTEGER) AS question_no FROM benchmark) USING (item_id)""")
+def results_with_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with the number of their question and the name of its dataset."""
+    results = experiment_results_by_question(spark, sf_dir).withColumn("evaluation_question_id", X.uid("question", F.col("item_id")))
+    return evaluation.with_questions(results, _questions(spark, sf_dir), _datasets(spark, sf_dir)).select("item_id", "top_k", "context_recall", "answer_correctness", "question_no", "dataset_name")
+
+
+@query(f"""WITH {sql.chunks()}, {sql.hits()} SELECT item_id, '[' || string_agg('{{"result_rank":' || result_rank || ',"doc_id":' || doc_id || ',"chunk_index":' || chunk_index || ',"n_chars":' || length(content) || '}}', ',' ORDER BY result_rank) || ']' AS retrieved_context_json, CAST(sum(length(content)) AS BIGINT) AS context_chars
+  FROM hits JOIN chunks USING (doc_id, chunk_index) GROUP BY item_id""")
+def retrieved_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question retrieved, in order of rank, as JSON."""
+    return retrieval.context_json(_contents(spark, sf_dir))
+
+
 _U = sql.uid
 _listed("users", f"SELECT {_U('user', 'c_custkey')} AS user_id, c_name AS full_name, c_acctbal > 0 AS is_active FROM customer", lambda s, d: read(s, d, "customer").select(X.uid("user", F.col("c_custkey")).alias("user_id"), F.col("c_name").alias("full_name"), (F.col("c_acctbal") > 0).alias("is_active"), F.lit("secret").alias("password_hash")))
 _listed("courses", f"SELECT DISTINCT {_U('course', 'source')} AS course_id, source AS course_code FROM documents", lambda s, d: read(s, d, "documents").select(X.uid("course", F.col("source")).alias("course_id"), F.col("source").alias("course_code")).distinct())
@@ -653,3 +687,9 @@ _listed("history_of_session", f"SELECT {_U('message', "conv_id || ':' || turn")}
 _listed("embedding_models", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}', {d}, {str(x).lower()})" for n, p, d, x in evaluation.MODELS) + ") AS m(model_name, provider, dimension, is_local)", lambda s, d: evaluation.embedding_models(s).drop("embedding_model_id"))
 _listed("questions_of_dataset", f"SELECT {_U('question', 'item_id')} AS evaluation_question_id, CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS question_no, text AS question_text, text AS ground_truth_answer, 'FACTUAL' AS question_type, 'MEDIUM' AS difficulty FROM benchmark WHERE item_id % 2 = 1", _questions, _id("dataset", "1"))
 _listed("results_of_experiment", f"{_ANSWERS} SELECT {_U('result', "'fixed_1200_150_top3:' || item_id")} AS experiment_result_id, {_U('experiment', "'fixed_1200_150_top3'")} AS experiment_id, {_U('question', 'item_id')} AS evaluation_question_id, faithfulness, answer_relevance, context_precision, context_recall, answer_correctness, semantic_similarity FROM r_fixed_1200_150 WHERE top_k = 3", lambda s, d: _run(s, d)[2], _id("experiment", "fixed_1200_150_top3"))
+_listed("user_roles", f"SELECT {_U('role', 'c_custkey')} AS user_role_id, {_U('user', 'c_custkey')} AS user_id, 'STUDENT' AS role_name FROM customer WHERE c_custkey = 12", lambda s, d: _users(s, d).select(X.uid("role", F.col("c_custkey")).alias("user_role_id"), "user_id", F.lit("STUDENT").alias("role_name")), _id("user", "12"))
+_listed("chapters_of_course", f"SELECT {_U('chapter', "source || ':' || lang")} AS chapter_id, {_U('course', 'source')} AS course_id, lang AS chapter_title, CAST(row_number() OVER (ORDER BY lang) AS INTEGER) AS order_index FROM (SELECT DISTINCT source, lang FROM documents WHERE source = 'src2')", lambda s, d: chapters_numbered(s, d).select(X.uid("chapter", F.concat_ws(":", "source", "lang")).alias("chapter_id"), X.uid("course", F.col("source")).alias("course_id"), F.col("lang").alias("chapter_title"), "order_index"), _id("course", "src2"))
+_listed("workspaces_of_course", f"SELECT DISTINCT {_U('workspace', 'source')} AS workspace_id, {_U('course', 'source')} AS course_id FROM documents WHERE source = 'src1'", lambda s, d: adapters.course_documents(s, d).select("workspace_id", "course_id").distinct(), _id("course", "src1"))
+_listed("sessions_of_workspace", f"SELECT {_U('session', 'conv_id')} AS chat_session_id, {_U('workspace', 'conv_id % 5')} AS workspace_id, 'conversation ' || conv_id AS session_title, count(*) AS session_messages FROM conversations WHERE conv_id % 5 = 2 GROUP BY conv_id", _sessions, _id("workspace", "2"))
+_listed("datasets", f"SELECT DISTINCT {_U('dataset', 'item_id % 2')} AS dataset_id, {_U('course', "'all'")} AS course_id, 'set ' || item_id % 2 AS dataset_name, 'v1' AS dataset_version FROM benchmark", _datasets)
+_listed("retrieval_results", f"WITH {sql.chunks()}, {sql.hits()} SELECT {_U('hit', "item_id || ':' || result_rank")} AS retrieval_result_id, item_id, doc_id, chunk_index, result_rank, round(score, 6) AS similarity_score FROM hits", lambda s, d: retrieval.ask(read(s, d, "benchmark"), docs(s, d), index=_index(s, d))["retrieval_results"].withColumn("similarity_score", F.round("similarity_score", 6)))
