@@ -98,6 +98,14 @@ def test_runs_of_odd_rows(spark):
         runs.find_runs(docs.withColumn("runs", F.lit(1)), keep=("doc_id", "runs"))
 
 
+def test_planted_runs_of_odd_texts(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    texts = ["", None, " \t\n", "one", " ".join(f"é{i}" for i in range(300))]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True), (None, "a b"), (None, None)], "doc_id long, text string")
+    got = [(r.doc_id, WORDS.findall(r.text or "")) for r in runs.with_planted_runs(docs).collect()]
+    assert got == [*((i, planted(i, WORDS.findall(t or ""))) for i, t in zip(ids, texts, strict=True)), (None, ["a", "b"]), (None, [])]
+
+
 def test_runs_do_not_cross_texts(spark):
     docs = spark.createDataFrame([(i, "z z z z") for i in range(50)], "doc_id long, text string").coalesce(1)
     assert all(r.runs == [] and r.collapsed_text == "z z z z" for r in runs.find_runs(docs).collect())
