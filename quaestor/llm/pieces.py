@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, groupby
+from itertools import chain, groupby, pairwise
 from pathlib import Path
 from zlib import crc32
 
@@ -24,6 +24,8 @@ from quaestor.llm.tables import bytes_of, in_arrow, no_clash, quoted, slices
 SPACE = "▁"
 #: Chunks and neighbouring pieces that a task remembers.
 MEMORY = 100_000
+#: Characters from which on a word is not remembered.
+LONG = 60
 #: Fixed values of the model file's format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -102,6 +104,7 @@ class Codec:
         d = self.definition = definition
         usable = [i for i, k in enumerate(d.kinds) if k == NORMAL and d.pieces[i]]
         self.ids = {d.pieces[i]: i for i in usable}
+        self.rank = {p: d.scores[i] for p, i in self.ids.items()}.get
         self.bytes = {int(d.pieces[i][3:5], 16): i for i, k in enumerate(d.kinds) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(d.kinds) if k == UNKNOWN), 0)
         self.fallback = d.byte_fallback and len(self.bytes) == 256
@@ -110,7 +113,8 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         self.whole = whole or frozenset(p for p in self.ids if d.model == UNIGRAM or len(p) == 1 or self.merged(p) == [p])
         for p in self.whole:
-            self.automaton.add_word(p, (len(p), self.ids[p]))
+            if d.model == UNIGRAM or len(p) > 1:
+                self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
         self.letters = frozenset(p for p in self.ids if len(p) == 1)
         self.after_space = Remembered(self)
@@ -127,16 +131,16 @@ class Codec:
     def merged(self, text: str) -> list[str]:
         """A short text after all merges: each time the neighbours whose joint piece scores highest, the first of equals."""
         parts = list(text)
-        scores, ids = self.definition.scores, self.ids
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or scores[i] > best):
-                    best, at = scores[i], k
-            if best is None:
-                break
+        rank, none = self.rank, float("-inf")
+        joint = [rank(a + b, none) for a, b in pairwise(parts)]
+        while joint and (best := max(joint)) > none:
+            at = joint.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joint[at]
+            if at:
+                joint[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(joint):
+                joint[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def fit(self, left: int, right: int) -> bool:
@@ -152,23 +156,65 @@ class Codec:
 
     def cut(self, chunk: str) -> list[int]:
         """Ids of the pieces of a chunk whose characters are all pieces themselves."""
-        n, scores, unigram, fit = len(chunk), self.definition.scores, self.definition.model == UNIGRAM, self.fit
-        last, sizes, best = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        for end, (size, i) in self.automaton.iter(chunk):
-            at = end + 1
-            begin = at - size
-            if unigram:
-                total = best[begin] + scores[i]
+        n = len(chunk)
+        last, sizes = [-1] * (n + 1), [0] * (n + 1)
+        if self.definition.model == UNIGRAM:
+            scores, best = self.definition.scores, [0.0] * (n + 1)
+            for end, (size, i) in self.automaton.iter(chunk):
+                at = end + 1
+                total = best[at - size] + scores[i]
                 if last[at] < 0 or total > best[at]:
                     best[at], last[at], sizes[at] = total, i, size
-            elif last[at] < 0 and (begin == 0 or fit(last[begin], i)):
-                last[at], sizes[at] = i, size
-        out, at = [], n
+        else:
+            self.relax(chunk, last, sizes)
+        return self.path(n, last, sizes)
+
+    def relax(self, chunk: str, last: list[int], sizes: list[int], settled: int = 0) -> None:
+        """Fills in a BPE model's entries behind position `settled`.
+
+        Single characters are not in its automaton: one stands wherever no longer piece fits, as one piece always does.
+        """
+        fits, width, ids = self.fits.get, len(self.definition.pieces), self.ids
+        for end, (size, i) in self.automaton.iter(chunk):
+            if end < settled:
+                continue
+            while settled < end:
+                last[settled + 1], sizes[settled + 1] = ids[chunk[settled]], 1
+                settled += 1
+            begin = end + 1 - size
+            if begin and not (self.fit(last[begin], i) if (known := fits(last[begin] * width + i)) is None else known):
+                continue
+            settled = end + 1
+            last[settled], sizes[settled] = i, size
+        while settled < len(chunk):
+            last[settled + 1], sizes[settled + 1] = ids[chunk[settled]], 1
+            settled += 1
+
+    def path(self, at: int, last: list[int], sizes: list[int]) -> list[int]:
+        out = []
         while at:
             out.append(last[at])
             at -= sizes[at]
         return out[::-1]
 
+    def cut_sorted(self, chunks: list[str]) -> Iterator[list[int]]:
+        """cut() of each chunk of a BPE model. In sorted order, one begins as the one before does, and keeps its entries so far."""
+        last, sizes, before = [-1], [0], ""
+        for chunk in chunks:
+            n = len(chunk)
+            if n >= len(last):
+                more = n + 1 - len(last)
+                last += [-1] * more
+                sizes += [0] * more
+            shared = 0
+            for x, y in zip(before, chunk, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            self.relax(chunk, last, sizes, shared)
+            before = chunk
+            yield self.path(n, last, sizes)
+
     def encoded(self, chunk: str) -> list[int]:
         """A chunk's ids. A character that is no piece stands alone: as its bytes, or unknown once for a run of such."""
         if self.letters.issuperset(chunk):
@@ -212,6 +258,19 @@ class Codec:
                 return list(chain.from_iterable(map(self.after_space.__getitem__, words)))
         return list(chain.from_iterable(map(self.encoded, self.chunks(text))))
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """encode() of each text. Words that are new are cut once, in sorted order, and forgotten where the memory is full."""
+        known = self.after_space
+        if self.chunked and self.definition.model == BPE:
+            words = set(chain.from_iterable(t.split(SPACE) for t in map(self.normalised, texts))) - known.keys()
+            fresh = sorted(w for w in words if len(w) < LONG and self.letters.issuperset(w))
+            if SPACE in self.letters:
+                known.update(zip(fresh, map(tuple, self.cut_sorted([SPACE + w for w in fresh])), strict=True))
+        out = list(map(self.encode, texts))
+        while len(known) > MEMORY:
+            known.popitem()
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined to characters, invalid ones become U+FFFD, control pieces say nothing."""
         d = self.definition
@@ -231,7 +290,7 @@ class Remembered(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.codec.encoded(SPACE + word))
-        if len(self) < MEMORY and len(word) < 60:
+        if len(self) < MEMORY and len(word) < LONG:
             self[word] = found
         return found
 
@@ -252,9 +311,8 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
         codec = Codec(*sent.value)
         for batch in (part for whole in batches for part in slices(whole, "_text")):
             chars, counts, found, sums, same = [], [], [], [], []
-            for t in bytes_of(batch.column(len(keep))):
-                whole = t.as_py().decode("utf-8", "replace")
-                own = codec.encode(whole)
+            texts = [t.decode("utf-8", "replace") for t in bytes_of(batch.column(len(keep))).to_pylist()]
+            for whole, own in zip(texts, codec.encode_all(texts), strict=True):
                 packed = np.array(own, np.int32)
                 chars.append(len(whole))
                 counts.append(len(own))

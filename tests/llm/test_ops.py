@@ -356,6 +356,36 @@ def test_pieces_equal_library(model_file, duck):
         assert codec.decode(ids) == text.replace("▁", " ")
 
 
+def test_pieces_of_new_words_are_cut_together(model_file, monkeypatch):
+    """Words that begin alike are cut in order and share what they have found so far, with a memory of any size."""
+    import sentencepiece
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=model_file), random.Random(8)
+    codec = pieces.Codec(pieces.Definition.read(model_file))
+    codec.fits = Counted()
+    begin = "".join(rng.choices("aehinrst", k=40))
+    words = [begin + "".join(rng.choices("aehinrst", k=5)) for _ in range(300)]
+    odd = ["", " ", "  two  spaces ", "a\nb", "門 <unk>", begin * 3, words[0]]
+    for memory in (0, 50, 1000):
+        monkeypatch.setattr(pieces, "MEMORY", memory)
+        texts = [" ".join(words[:200]), *odd, " ".join(words[100:])]
+        assert codec.encode_all(texts) == [library.encode(t) for t in texts] and len(codec.after_space) <= max(memory, 1)
+    codec.after_space.clear()
+    Counted.asked = 0
+    codec.encode_all([" ".join(words)])
+    together, Counted.asked = Counted.asked, 0
+    for word in set(words):
+        codec.cut(pieces.SPACE + word)
+    assert together < 0.3 * Counted.asked
+
+
 def test_unigram_viterbi_by_brute_force():
     rng = random.Random(4)
     names = ["a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a", "▁ab", "cab"]
