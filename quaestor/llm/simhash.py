@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -274,7 +273,7 @@ def asked_pairs(sets: list[np.ndarray], asks: list[int]) -> list[tuple[int, int]
 
 
 def _compared(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between ids of similar texts. units: (unit, id, ask); the texts of a unit meet in one task.
+    """Edges (a, b) between ids of similar texts. units: (unit, id, at, ask); the texts of a unit meet in one task.
 
     In a unit without rows of `ask` all are compared, else those rows with all.
     """
@@ -282,14 +281,14 @@ def _compared(units: DataFrame, texts: DataFrame) -> DataFrame:
     def edges(ids: list[int], asks: list[bool], texts: list[bytes]) -> pa.RecordBatch:
         pairs = []
         if len(ids) > 1:
-            sets = [shingle_set(zlib.decompress(t)) for t in texts]
+            sets = [shingle_set(t) for t in texts]
             pairs = asked_pairs(sets, [i for i, ask in enumerate(asks) if ask]) if any(asks) else similar_pairs(sets)
         return pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, asks, texts = None, [], [], []
         for batch in batches:
-            for unit, ident, ask, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for unit, ident, ask, text in zip(*(batch.column(i).to_pylist() for i in range(3)), bytes_of(batch.column(3)).to_pylist(), strict=True):
                 if unit != now:
                     yield edges(ids, asks, texts)
                     now, ids, asks, texts = unit, [], [], []
@@ -298,12 +297,12 @@ def _compared(units: DataFrame, texts: DataFrame) -> DataFrame:
                 texts.append(text)
         yield edges(ids, asks, texts)
 
-    met = maybe_in(texts, units.select("id"), "id").where("_maybe").join(units, "id").select("unit", "id", "ask", "packed")
+    met = maybe_in(texts, units.select("at"), "at").where("_maybe").join(units, "at").select("unit", "id", "ask", "text")
     return in_arrow(met.repartition("unit").sortWithinPartitions("unit"), work, "a long, b long")
 
 
 def similar_links(distinct: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between the ids of similar texts. distinct: (id, bands, shingles), each set of shingles once; texts: (id, packed) of all.
+    """Edges (a, b) between the ids of similar texts. distinct: (id, at, bands, shingles), each set of shingles once; texts: (at, text) of all.
 
     Texts with an equal band are linked, and within each component of these links all texts are compared by their sets,
     in one task if the component has no more than `crowd` shingles. A larger one is cut into parts of that size, and
@@ -311,10 +310,11 @@ def similar_links(distinct: DataFrame, texts: DataFrame, crowd: int = CROWD) ->
     meet again; all others, in parts too, are compared with every part. So no task holds more than two parts, or a
     longer text. Only texts that a link touches, and few others, are shuffled.
     """
-    by_band = distinct.select("id", F.posexplode("bands").alias("band", "value"))
-    low = staged(by_band.groupBy("band", "value").agg(F.min("id").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"), "bands")
-    near = components(by_band.join(low, ["band", "value"]).select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), "low")
-    near = staged(near.join(distinct.select("id", "shingles"), "id"), "candidates")
+    by_band = distinct.select("id", F.explode("bands").alias("value"))  # each band has orders of its own, so its values too
+    low = staged(by_band.groupBy("value").agg(F.min("id").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"), "bands")
+    shared = maybe_in(by_band, low, "value").where("_maybe").select("id", "value").join(low, "value")
+    near = components(shared.select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), "low")
+    near = staged(maybe_in(distinct.select("id", "at", "shingles"), near, "id").where("_maybe").drop("_maybe").join(near, "id"), "candidates")
     parts = F.ceil(F.sum("shingles") / crowd).cast("int")
     crowded = staged(near.groupBy("low").agg(parts.alias("parts")).where("parts > 1"), "crowded")
 
@@ -325,7 +325,7 @@ def similar_links(distinct: DataFrame, texts: DataFrame, crowd: int = CROWD) ->
         return F.sequence(F.lit(0), F.col(count) - 1)
 
     first = near.join(crowded, "low", "left").fillna(1, "parts").withColumn("part", F.explode(F.when(part("parts") == 0, of("parts")).otherwise(F.array(part("parts")))))
-    edges = _compared(first.select(F.struct("low", "part").alias("unit"), "id", F.lit(False).alias("ask")), texts)
+    edges = _compared(first.select(F.struct("low", "part").alias("unit"), "id", "at", F.lit(False).alias("ask")), texts)
     if crowded.isEmpty():
         return edges
     edges = staged(edges, "edges")
@@ -336,20 +336,21 @@ def similar_links(distinct: DataFrame, texts: DataFrame, crowd: int = CROWD) ->
     asking = staged(others.groupBy("low").agg(parts.alias("asking")), "asking")
     all_parts = members.join(asking, "low").withColumn("own", part("parts")).withColumn("by", F.explode(of("asking"))).withColumn("ask", F.lit(False))
     all_asks = others.join(asking, "low").withColumn("by", part("asking")).withColumn("own", F.explode(of("parts"))).withColumn("ask", F.lit(True))
-    second = all_parts.unionByName(all_asks).groupBy("low", "by", "own", "id").agg(F.max("ask").alias("ask"))
-    return edges.unionByName(_compared(second.select(F.struct("low", "by", "own").alias("unit"), "id", "ask"), texts))
+    second = all_parts.unionByName(all_asks).groupBy("low", "by", "own", "id", "at").agg(F.max("ask").alias("ask"))
+    return edges.unionByName(_compared(second.select(F.struct("low", "by", "own").alias("unit"), "id", "at", "ask"), texts))
 
 
-def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3, crowd: int = CROWD) -> DataFrame:
+def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 3, crowd: int = CROWD, place: str | None = None) -> DataFrame:
     """One row per row of docs: `keep` columns, row (an id of its own) and group, the least row reachable.
 
     Rows are linked by fingerprints of `words`-word shingles 2 or fewer bits apart, as in near_groups(), and by a Jaccard
     similarity of 0.8 or more over distinct five-word shingles, for near copies that no longer have the same fingerprint.
     Texts without words, null and empty ones among them, are linked by the fingerprint alone: they are one group. Rows
     with repeated or null ids stand for themselves. An empty table gives an empty table. Other columns do not matter;
-    kept ones may not have a result's name.
+    kept ones may not have a result's name. `place` names the rows' locator where there is one. Texts are not kept:
+    those that have to be compared are read once more from their places.
     """
-    no_clash(keep, "fp", "set", "bands", "shingles", "packed", "row", "group")
+    no_clash(keep, "fp", "set", "bands", "shingles", "at", "row", "group", "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(keep)
@@ -362,24 +363,25 @@ def similar_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: s
                 pa.array([xxhash.xxh3_128_digest(v.tobytes()) if len(v) else None for v in sets], pa.binary()),
                 pa.array([bands(v).view(np.int64) if len(v) else None for v in sets], pa.list_(pa.int64())),
                 pa.array([len(v) for v in sets], pa.int64()),
-                pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*keep, "fp", "set", "bands", "shingles", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns, batch.column(at + 1)], names=[*keep, "fp", "set", "bands", "shingles", "at"])
 
-    source = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"))
+    source = docs.select(*map(quoted, keep), F.col(quoted(text)).alias("_text"), *([F.col(quoted(place)).alias("at")] if place else []))
+    source = source if place else with_locator(source).withColumnRenamed("_at", "at")
     head = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep)
-    made = in_arrow(source, work, f"{head}, fp long, set binary, bands array<long>, shingles long, packed binary")
+    made = in_arrow(source, work, f"{head}, fp long, set binary, bands array<long>, shingles long, at string")
     rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     by_fp = staged(rows.groupBy("fp").agg(F.min("row").alias("low")), "by-fp")
     by_set = staged(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("low")), "by-set")
-    distinct = rows.select(F.col("row").alias("id"), "bands", "shingles").join(by_set.select(F.col("low").alias("id")), "id", "left_semi")
+    copies = staged(rows.join(by_set, "set").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")), "copies")
+    distinct = without(rows.where("set IS NOT NULL").select(F.col("row").alias("id"), "at", "bands", "shingles"), copies.select(F.col("a").alias("id")), "id")
     ends = links(by_fp.select("fp"))
     ends = ends.join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), "b")
     edges = [
         ends.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")),
-        similar_links(distinct, rows.select(F.col("row").alias("id"), "packed"), crowd),
+        similar_links(distinct, source.select("at", F.col("_text").alias("text")), crowd),
         rows.join(by_fp, "fp").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
-        rows.join(by_set, "set").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")),
+        copies,
     ]
     found = staged(components(union_all(edges)).select(F.col("node").alias("row"), F.col("low").alias("group")), "groups")
     return rows.select(*map(quoted, keep), "row").join(found, "row", "left").select(*map(quoted, keep), "row", F.coalesce("group", "row").alias("group"))
@@ -389,7 +391,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """docs, all columns, with one row of each group of similar_groups(): the one with the smallest doc_id, of those the first by place."""
     plain, names = numbered(docs)
     located = with_locator(plain)
-    groups = staged(similar_groups(located.select(F.col(names[doc_id]).alias("doc_id"), F.col(names[text]).alias("text"), "_at"), ("doc_id", "_at")), "similar")
+    groups = staged(similar_groups(located.select(F.col(names[doc_id]).alias("doc_id"), F.col(names[text]).alias("text"), "_at"), ("doc_id", "_at"), place="_at"), "similar")
     stays = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_at"))).alias("first"))
     dropped = groups.join(staged(stays.select("group", F.col("first._at").alias("stays")), "stays"), "group").where("_at <> stays").select("_at")
     return renamed_back(without(located, staged(dropped, "dropped")), names)

@@ -622,6 +622,20 @@ def test_similar_groups_by_brute_force(spark, crowd):
     assert len({(root[i], of[i]) for i in of}) == len(set(root)) == len(set(of.values()))
 
 
+def test_near_copies_keep_and_move_little(spark, monkeypatch):
+    """No stored table holds the texts, which are read again from their places."""
+    kept, staged = {}, simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name, *rest: kept.setdefault(name, staged(df, name, *rest)))
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base), " ".join([*base[:50], "new", *base[51:]]), " ".join(f"w{rng.randrange(5000)}" for _ in range(200)), None]
+    docs = tables.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-docs")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, 2, 3]
+    assert "binary" not in {t for name in ("shingles", "candidates") for c, t in kept[name].dtypes if c != "set"}
+    rows = simhash.similar_groups(docs.withColumn("at_", F.lit("x")).withColumnRenamed("at_", "_at")).collect()
+    assert len(rows) == 4 and len({r.group for r in rows}) == 3
+
+
 # 9: exact dedup
 
 
@@ -648,6 +662,16 @@ def test_exact_survives_digest_collisions(odd):
     assert Counter(r.group_size for r in out) == Counter(size[t or ""] for _, t, *_ in ODD)
 
 
+def test_exact_compares_copies_where_they_are(spark, monkeypatch):
+    """Bodies of equal digests meet once, without the copies that a task can count itself."""
+    kept, staged = {}, exact.staged
+    monkeypatch.setattr(exact, "staged", lambda df, name, *rest: kept.setdefault(name, (df, staged(df, name, *rest)))[1])
+    docs = tables.staged(spark.createDataFrame([(i, "same" if i % 2 else f"other {i}") for i in range(100)], "doc_id long, text string"), "test-docs")
+    assert exact.drop_exact_copies(docs).count() == 51
+    plan = kept["unequal"][0]._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan.replace("BroadcastHashJoin", "") and plan.count("HashAggregate") >= 2
+
+
 def test_state_takes_only_new_files(spark, tmp_path):
     log, state = str(tmp_path / "log"), tables.new_path(spark, "test-state")
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, at string, digest binary")
