@@ -682,6 +682,22 @@ def test_state_takes_only_new_files(spark, tmp_path):
     assert out == {b"x": (3, 2), b"y": (2, 1)}
 
 
+def test_state_is_a_table_that_stays(spark, tmp_path):
+    """The state's stores are not opened again to read it; a call without new files returns the whole table, and earlier ones stay."""
+    log, state = str(tmp_path / "log"), tables.new_path(spark, "test-state")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, at string, digest binary")
+    got = lambda df: {bytes(r.digest): (r.keep.doc_id, r.keep.at, r.group_size) for r in df.collect()}
+    frame([(1, "a", b"x"), (None, "b", b"y"), (None, "c", b"y")]).write.parquet(log)
+    first = exact.run_state(spark, log, frame([]).schema, state)
+    assert "StateTable" not in first._jdf.queryExecution().toString()
+    for n in range(12):  # batches count on beyond one digit
+        frame([(n, "d", b"z")]).write.mode("append").parquet(log)
+        exact.run_state(spark, log, frame([]).schema, state)
+    again = exact.run_state(spark, log, frame([]).schema, state)
+    assert got(again) == {b"x": (1, "a", 1), b"y": (None, "c", 2), b"z": (11, "d", 12)}
+    assert got(first) == {b"x": (1, "a", 1), b"y": (None, "c", 2)}
+
+
 # 10: URLs
 
 
