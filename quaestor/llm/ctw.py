@@ -30,6 +30,8 @@ TOP = 3
 ENTRIES, TEXT_BYTES = 1_000_000, 16
 #: Texts are counted and scored in slices of so many bytes, or so many different numbers.
 SLICE_BYTES, SLICE_NUMBERS = 20 << 20, 4_000_000
+#: Ranges of numbers that meet their values one after the other.
+RANGES = 16
 #: Most frequent words whose counts are sent to the workers; all other words meet their counts in a join.
 FREQUENT = 1 << 16
 #: Bytes that no UTF-8 text holds: before a text's first byte, and behind its last.
@@ -60,6 +62,15 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def added(keys: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order with their counts, which are changed in place, after others of the kind were added; nothing is sorted again."""
+    at = np.searchsorted(keys, new)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == new[there]
+    counts[at[there]] += n[there]
+    return np.insert(keys, at[~there], new[~there]), np.insert(counts, at[~there], n[~there])
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers as compressed planes of bytes."""
     return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), codec="zstd", asbytes=True)
@@ -73,8 +84,12 @@ def unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
 
 def by_part(numbers: np.ndarray, parts: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings numbers of one part together, by part and then as given, and each one's part."""
-    context = numbers >> np.uint64(8) & np.uint64((1 << 8 * min(TOP, depth)) - 1)
-    part = ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    part = numbers >> np.uint64(8)
+    part &= np.uint64((1 << 8 * min(TOP, depth)) - 1)
+    part *= np.uint64(0x9E3779B97F4A7C15)
+    part >>= np.uint64(32)
+    part %= np.uint64(parts)
+    part = part.astype(np.min_scalar_type(parts))  # 16 bits or fewer are sorted by their digits
     return np.argsort(part, kind="stable"), part
 
 
@@ -99,20 +114,21 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
 
         def numbers_out() -> pa.RecordBatch:
             order, part = by_part(keys, parts, depth)
-            edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+            dealt = part[order]
+            edges = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
             spans = [order[i:j] for i, j in zip(edges, [*edges[1:], len(order)], strict=True)]
             return rows(
                 len(spans),
                 slice=pa.array([place] * len(spans), pa.int64()),
-                part=pa.array([part[i[0]] for i in spans], pa.int32()),
+                part=pa.array(dealt[edges].astype(np.int32)),
                 size=pa.array(list(map(len, spans)), pa.int32()),
                 numbers=pa.array([packed(np.diff(keys[i], prepend=np.uint64(0))) for i in spans], pa.binary()),
-                counts=pa.array([packed(counts[i].astype(np.uint32)) for i in spans], pa.binary()),
+                counts=pa.array([packed(counts[i]) for i in spans], pa.binary()),
             )
 
         words: Counter = Counter()
         place, held = TaskContext.get().partitionId() << 32, 0
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         for whole in batches:
             id_type = whole.column(0).type
             for batch in slices(whole, "_text", 1 << 20):
@@ -124,7 +140,7 @@ def count_texts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                 learned = np.repeat(training, np.diff(np.concatenate([starts, [len(numbers)]])))
                 for some, once in ((learned, 1), (~learned, 0)):
                     new, n = np.unique(numbers[real & some], return_counts=True)
-                    keys, counts = merged(np.concatenate([keys, new]), np.concatenate([counts, n * once]))
+                    keys, counts = added(keys, counts, new, (n * once).astype(np.uint32))
                 ids, sizes = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0)), pa.array([list(map(len, texts))], pa.list_(pa.int32()))
                 yield rows(1, slice=pa.array([place], pa.int64()), ids=ids, lengths=sizes, texts=pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary()))
                 held += sum(map(len, texts))
@@ -272,21 +288,33 @@ def number_values(counts: DataFrame, depth: int, parts: int) -> DataFrame:
     return in_arrow(dealt, downward, "slice long, part int, size int, scores binary")
 
 
-def text_scores(groups: list[list[bytes]], scores: np.ndarray, depth: int, parts: int) -> list[np.ndarray]:
-    """Log10 probabilities of a slice's texts, ends included, from those of its numbers by part."""
+def text_scores(groups: list[list[bytes]], scores: list[tuple[int, np.ndarray]], depth: int, parts: int, ranges: int = RANGES) -> list[np.ndarray]:
+    """Log10 probabilities of a slice's texts, ends included, from those of its numbers, in order, by part.
+
+    Numbers meet their values range by range: held is a place and a value for each group's numbers, never all of the slice in one array.
+    """
     seen = []
     for texts in groups:
-        numbers, real, starts = spread(texts, depth)
+        numbers, real, _ = spread(texts, depth)
         own, at = np.unique(numbers[real], return_inverse=True)
-        seen.append((own, at.astype(np.int32), real, starts))
-    keys = np.unique(np.concatenate([own for own, *_ in seen]))
-    values = np.zeros(len(keys), np.float32)
-    values[by_part(keys, parts, depth)[0]] = scores
+        seen.append((own, at.astype(np.int32), np.empty(len(own), np.float32)))
+    longest = max((own for own, *_ in seen), key=len)
+    pivots = np.unique(longest[:: max(1, len(longest) // ranges)])[1:]
+    cuts = [[0, *np.searchsorted(own, pivots).tolist(), len(own)] for own, *_ in seen]
+    values, ready = np.concatenate([v for _, v in scores]), np.zeros(parts, np.int64)
+    ready[[part for part, _ in scores]] = np.cumsum([0, *(len(v) for _, v in scores)])[:-1]
+    for r in range(len(pivots) + 1):
+        keys = np.unique(np.concatenate([own[c[r] : c[r + 1]] for (own, *_), c in zip(seen, cuts, strict=True)]))
+        order, part = by_part(keys, parts, depth)
+        n = np.bincount(part, minlength=parts)
+        some = np.empty(len(keys), np.float32)
+        some[order] = values[np.arange(len(keys)) + np.repeat(ready - (np.cumsum(n) - n), n)]
+        ready += n
+        for (own, _, found), c in zip(seen, cuts, strict=True):
+            found[c[r] : c[r + 1]] = some[np.searchsorted(keys, own[c[r] : c[r + 1]])]
     out = []
-    for own, at, real, starts in seen:
-        each = np.zeros(len(real))
-        each[real] = values[np.searchsorted(keys, own)][at]
-        out.append(np.add.reduceat(each, starts))
+    for texts, (_, at, found) in zip(groups, seen, strict=True):
+        out.append(np.add.reduceat(found[at].astype(float), np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]))
     return out
 
 
@@ -358,9 +386,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = counts.where("texts IS NOT NULL").select("slice", *(F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("size", "int"), ("scores", "binary"))), "ids", "lengths", "texts")
     met = values.unionByName(texts).repartition(parts, "slice").sortWithinPartitions("slice", F.col("part").asc_nulls_last())
 
-    def scored_slice(scores: list[np.ndarray], groups: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    def scored_slice(scores: list[tuple[int, np.ndarray]], groups: list[tuple[pa.Array, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         get = sent.value.get
-        found_scores = text_scores([t for _, t in groups], np.concatenate(scores), depth, parts)
+        found_scores = text_scores([t for _, t in groups], scores, depth, parts)
         for (ids, texts), score in zip(groups, found_scores, strict=True):
             tokens, known, sums, rare, times = [], [], [], [], []
             for t in texts:
@@ -392,7 +420,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield from scored_slice(scores, groups)
                     scores, groups = [], []
                 now, run = place[begin], whole.slice(begin, end - begin)
-                scores += [unpacked(x, n, np.float32) for x, n in zip(run.column(3).drop_null().to_pylist(), run.column(2).drop_null().to_pylist(), strict=True)]
+                scores += [(p, unpacked(x, n, np.float32)) for p, n, x in zip(*(run.column(i).drop_null().to_pylist() for i in (1, 2, 3)), strict=True)]
                 for i in np.flatnonzero(run.column(6).is_valid().to_numpy(zero_copy_only=False)).tolist():
                     ends = np.cumsum([0, *run.column(5)[i].as_py()]).tolist()
                     data = pa.decompress(run.column(6)[i].as_py(), ends[-1], codec="zstd", asbytes=True)

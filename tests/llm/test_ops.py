@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,6 +296,35 @@ def test_ctw_odd_rows(odd, empty):
     assert ctw.score_documents(odd, entries=50).count() == len(ODD)
 
 
+def test_ctw_slice_is_scored_in_little_memory():
+    """A slice's numbers meet their values range by range: about half of what one array of all numbers took (50 bytes each here)."""
+    rng = np.random.default_rng(5)
+    groups = [[rng.integers(0, 0xFE, 1 << 14, np.uint8).tobytes() for _ in range(3)] + [b""] for _ in range(24)]
+    keys = np.unique(np.concatenate([n[real] for n, real, _ in (ctw.spread(g, 5) for g in groups)]))
+    order, part = ctw.by_part(keys, 7, 5)
+    values = (keys % np.uint64(1009)).astype(np.float32)[order]
+    scores = [(p, values[part[order] == p]) for p in range(7)]
+    tracemalloc.start()
+    out = ctw.text_scores(groups, scores, 5, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(keys)
+    for texts, found in zip(groups, out, strict=True):
+        for t, score in zip(texts, found, strict=True):
+            numbers, real, _ = ctw.spread([t], 5)
+            assert score == (numbers[real] % np.uint64(1009)).sum()
+
+
+def test_ctw_counts_are_added_in_place():
+    rng = np.random.default_rng(6)
+    keys, counts, all_of = np.zeros(0, np.uint64), np.zeros(0, np.uint32), Counter()
+    for most in (0, 5, 400, 90, 400, 2):
+        new, n = np.unique(rng.integers(0, 300, most).astype(np.uint64), return_counts=True)
+        keys, counts = ctw.added(keys, counts, new, n.astype(np.uint32))
+        all_of.update(dict(zip(new.tolist(), n.tolist(), strict=True)))
+    assert list(zip(keys.tolist(), counts.tolist(), strict=True)) == sorted(all_of.items())
+
+
 # 4: decontamination
 
 
