@@ -26,8 +26,8 @@ from quaestor.llm.tables import bytes_of, gathered, in_arrow, no_clash, quoted
 SPACE = "▁"
 #: Words, and pairs of neighbouring pieces, that a worker remembers.
 MEMORY, PAIRS = 100_000, 1 << 20
-#: Bytes of texts that are encoded together.
-TOGETHER = 2 << 20
+#: Bytes of texts that are encoded together, and characters of new words that one pass cuts.
+TOGETHER, PASS = 1 << 20, 1 << 17
 #: Characters from which on a word is not remembered.
 LONG = 60
 #: Fixed values of the model file's format: kinds of pieces and of models.
@@ -226,14 +226,19 @@ class Codec:
                 self.pairs, self.pair_fits = np.insert(self.pairs, at, fresh), np.insert(self.pair_fits, at, said)
         return out
 
-    def cut_all(self, chunks: list[str]) -> list[bytes]:
-        """cut() of each chunk of a BPE model, as 32-bit numbers.
+    def cut_all(self, chunks: list[str]) -> Iterator[bytes]:
+        """cut() of each chunk of a BPE model, as 32-bit numbers, in passes over about PASS characters."""
+        passes = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))) // PASS
+        for some in np.split(np.arange(len(chunks)), np.flatnonzero(np.diff(passes)) + 1):
+            if len(some):
+                yield from self.cut_pass(chunks[some[0] : some[-1] + 1])
+
+    def cut_pass(self, chunks: list[str]) -> list[bytes]:
+        """cut() of some chunks, at least one.
 
         The automaton passes once over all chunks, with a border between them that is in no piece. Entries are then
         relaxed for all chunks at once: by position in the chunk, and there the longest of the pieces that end first.
         """
-        if not chunks:
-            return []
         text, lengths = self.border.join(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(lengths + 1) - lengths - 1
         last, sizes, settled = np.full(len(text) + 1, -1, np.int32), np.ones(len(text) + 1, np.int32), np.zeros(len(text) + 1, bool)
@@ -317,7 +322,7 @@ class Codec:
         for w in words:
             (plain if self.letters.issuperset(w) else odd).append(w)
         runs = [[(letters, "".join(run)) for letters, run in groupby(SPACE + w, self.letters.__contains__)] for w in odd]
-        cut = iter(self.cut_all([SPACE + w for w in plain] + [run for some in runs for letters, run in some if letters]))
+        cut = self.cut_all([SPACE + w for w in plain] + [run for some in runs for letters, run in some if letters])
         known.update(zip(plain, cut, strict=False))
         for w, some in zip(odd, runs, strict=True):
             known[w] = b"".join(next(cut) if letters else np.array(self.alone(run), np.int32).tobytes() for letters, run in some)
