@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from quaestor.operators import keywords
+from quaestor.operators import keywords, retrieval
 from tests.test_retrieval import brute, found, made_chunks
 
 
@@ -28,3 +28,17 @@ def test_queries_in_several_passes(spark, tmp_path, monkeypatch):
     queries = [(i, chunks[i][2]) for i in range(10)]
     asked = spark.createDataFrame(queries, "item_id long, text string")
     assert found(keywords.search(index, asked, metric="bm25")) == brute(queries, chunks, keywords.TOP_K, keywords.THRESHOLD, "bm25")
+
+
+def test_documents_stay_where_they_are(spark):
+    """A few hits go to the documents; the texts are not dealt out to meet them."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    hits = spark.createDataFrame([(1, 7, 0, 1.0, 1), (1, 9, 0, 0.5, 2)], "item_id long, doc_id long, chunk_index int, score double, result_rank int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = retrieval.with_content(hits, docs, 1200, 150)
+        assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.result_rank, r.content) for r in rows.collect()) == [(1, "text 7"), (2, "text 9")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
